@@ -11,8 +11,9 @@ form, with the exponent bisected to a target entropy, is ``temperature_weights``
 The weights are realised as budgeted block permutations: whole passes over a source as long as
 the budget holds one, and of the last pass the front of a permutation. The permutation orders
 blocks of documents, then documents in a block, by hash. Blocks that fit wholly are taken by a
-running total over one row per block; only the block in which the budget ends is sorted, so a
-source with a third of all documents isn't gathered in one task.
+running total over one row per block; only in the block in which the budget ends are documents
+taken one by one, each if it still fits, so a source with a third of all documents isn't
+gathered in one task and a share is off by less than the smallest document left.
 
 Defined results: a NULL source is a source that no target names and gets nothing; targets of
 sources without tokens are reported as 0; targets are taken relative to their sum over sources
@@ -26,6 +27,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,6 +97,16 @@ def document_sizes(documents: DataFrame, vocabulary: str = VOCABULARY, folder: s
     return documents.where("doc_id IS NOT NULL").select("doc_id", "source", n_tokens("text", vocabulary, folder).alias("n_tokens")).where("n_tokens > 0")
 
 
+def _fill_room(docs: pd.DataFrame) -> pd.DataFrame:
+    """The block in which the budget ends: documents in the order of the permutation, each taken if it still fits."""
+    docs = docs.sort_values(["rank", "doc_id", "n_tokens"])
+    room, extra = float(docs["room"].iloc[0]), []
+    for n in docs["n_tokens"]:
+        extra.append(int(n <= room))
+        room -= n * extra[-1]
+    return docs.assign(extra=extra)[["doc_id", "source", "n_tokens", "passes", "extra"]]
+
+
 def mix(sizes: DataFrame, targets: DataFrame, budget: float | None = None, seed: int = 17, block_docs: int = BLOCK_DOCS) -> DataFrame:
     """(doc_id, source, n_tokens, repeats) of the chosen documents.
 
@@ -117,11 +129,10 @@ def mix(sizes: DataFrame, targets: DataFrame, budget: float | None = None, seed:
     placed = totals.withColumn("before", F.coalesce(F.sum("tokens").over(run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     in_block = docs.join(placed, ["source", "block"])
     whole, edge = F.col("before") + F.col("tokens") <= F.col("rest"), (F.col("before") < F.col("rest")) & (F.col("before") + F.col("tokens") > F.col("rest"))
-    within = Window.partitionBy("source", "block").orderBy("rank", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
-    # of the last document the half in the budget decides, so the share is off by half a document at most
-    cut_here = in_block.where(edge).withColumn("upto", F.col("before") + F.sum("n_tokens").over(within)).withColumn("extra", (F.col("upto") - F.col("n_tokens") / 2 <= F.col("rest")).cast("int"))
-    others = in_block.where(~edge).withColumn("extra", whole.cast("int"))
-    both = others.select("doc_id", "source", "n_tokens", "passes", "extra").unionByName(cut_here.select("doc_id", "source", "n_tokens", "passes", "extra"))
+    last = in_block.where(edge).select("doc_id", "source", "n_tokens", "passes", "rank", "block", (F.col("rest") - F.col("before")).alias("room"))
+    cut_here = last.groupBy("source", "block").applyInPandas(_fill_room, "doc_id long, source string, n_tokens int, passes int, extra int")
+    others = in_block.where(~edge).select("doc_id", "source", "n_tokens", "passes", whole.cast("int").alias("extra"))
+    both = others.unionByName(cut_here)
     return both.select("doc_id", "source", "n_tokens", (F.col("passes") + F.col("extra")).alias("repeats")).where("repeats > 0")
 
 
