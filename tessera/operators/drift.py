@@ -102,50 +102,50 @@ def footers(diffs: DataFrame, revisions: DataFrame) -> DataFrame:
 
 
 def lifespans(footer: DataFrame) -> DataFrame:
-    """(tab, shard, path, types, start_no, end_no, last_no): runs of consecutive files in which a field had one set of types."""
-    files = footer.where("path = ''").select("tab", "shard", "file_no")
-    producer = Window.partitionBy("tab", "shard")
-    files = files.withColumn("no", F.row_number().over(producer.orderBy("file_no"))).withColumn("last_no", F.max("no").over(producer))
-    same = F.lit(True)
-    for c in ("tab", "shard", "file_no"):
-        same = same & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
-    numbered = footer.where("path <> ''").alias("a").join(files.alias("b"), same).select("a.tab", "a.shard", "a.path", "a.types", "b.no", "b.last_no")
+    """Runs of consecutive files in which a field of a producer had one set of types.
+
+    (tab, shard, path, types, start_no, end_no, start_file, end_file, after_file): files are numbered
+    from 1 in each producer; ``after_file`` is the file after the last one, NULL if there is none.
+    """
+    files = Window.partitionBy("tab", "shard").orderBy("file_no")
+    numbered = footer.withColumn("no", F.dense_rank().over(files))  # each file has its row with path ''
+    following = Window.partitionBy("tab", "shard").orderBy("no").rangeBetween(1, 1)
+    numbered = numbered.withColumn("next_file", F.min("file_no").over(following)).where("path <> ''")
     field = Window.partitionBy("tab", "shard", "path", "types").orderBy("no")
     gap = F.coalesce(F.col("no") - F.lag("no").over(field), F.lit(0)) != 1
     islands = numbered.withColumn("island", F.sum(F.when(gap, 1).otherwise(0)).over(field))
-    return islands.groupBy("tab", "shard", "path", "types", "island").agg(F.min("no").alias("start_no"), F.max("no").alias("end_no"), F.max("last_no").alias("last_no")).drop("island")
+    spans = islands.groupBy("tab", "shard", "path", "types", "island").agg(
+        F.min("no").alias("start_no"), F.max("no").alias("end_no"), F.min("file_no").alias("start_file"), F.max("file_no").alias("end_file"),
+        F.max_by("next_file", "no").alias("after_file"),
+    )
+    return spans.drop("island")
 
 
 def changes(footer: DataFrame) -> DataFrame:
     """(tab, shard, file_no, path, change, new_path, types): each start and ending of a lifespan after the producer's first file."""
-    life = lifespans(footer)
-    events = life.select(
-        "tab", "shard", "path", "types",
-        F.inline(F.filter(F.array(
-            F.struct(F.lit("start").alias("event"), F.when(F.col("start_no") > 1, F.col("start_no")).alias("no")),
-            F.struct(F.lit("end").alias("event"), F.when(F.col("end_no") < F.col("last_no"), F.col("end_no") + 1).alias("no")),
-        ), lambda e: e["no"].isNotNull())),
-    )
+    marks = F.array(
+        F.struct(F.lit("start").alias("event"), F.when(F.col("start_no") > 1, F.col("start_file")).alias("file_no")),
+        F.struct(F.lit("end").alias("event"), F.col("after_file").alias("file_no")),
+    )
+    events = lifespans(footer).select("tab", "shard", "path", "types", F.inline(marks)).where("file_no IS NOT NULL")
     one = lambda kind: F.max(F.when(F.col("event") == kind, F.col("types")))
-    per_field = events.groupBy("tab", "shard", "no", "path").agg(one("start").alias("new_types"), one("end").alias("old_types"))
-    moved = per_field.withColumn("parent", F.when(F.instr("path", ".") > 0, F.expr("left(path, length(path) - length(substring_index(path, '.', -1)) - 1)")).otherwise(""))
-    under = Window.partitionBy("tab", "shard", "no", "parent")
+    per_field = events.groupBy("tab", "shard", "file_no", "path").agg(one("start").alias("new_types"), one("end").alias("old_types"))
+    above = F.expr("left(path, length(path) - length(substring_index(path, '.', -1)) - 1)")
+    placed = per_field.withColumn("parent", F.when(F.contains("path", F.lit(".")), above).otherwise(""))
+    under = Window.partitionBy("tab", "shard", "file_no", "parent")
     gone, come = F.col("new_types").isNull(), F.col("old_types").isNull()
     pair = (
         (F.count(F.when(gone, 1)).over(under) == 1)
         & (F.count(F.when(come, 1)).over(under) == 1)
         & (F.max(F.when(gone, F.col("old_types"))).over(under) == F.max(F.when(come, F.col("new_types"))).over(under))
     )
-    judged = moved.select("*", pair.alias("pair"), F.max(F.when(come, F.col("path"))).over(under).alias("came"))
-    named = judged.where(~(F.col("pair") & F.col("old_types").isNull())).select(
-        "tab", "shard", "no", "path", F.coalesce("new_types", "old_types").alias("types"),
-        F.when(F.col("old_types").isNotNull() & F.col("new_types").isNotNull(), "retyped").when(F.col("pair") & F.col("new_types").isNull(), "renamed")
-        .when(F.col("new_types").isNull(), "removed").otherwise("added").alias("change"),
-        F.when(F.col("pair") & F.col("new_types").isNull(), F.col("came")).otherwise("").alias("new_path"),
+    judged = placed.select("*", pair.alias("pair"), F.max(F.when(come, F.col("path"))).over(under).alias("came"))
+    renamed = F.col("pair") & gone
+    change = F.when(~gone & ~come, "retyped").when(renamed, "renamed").when(gone, "removed").otherwise("added")
+    return judged.where(~(F.col("pair") & come)).select(
+        "tab", "shard", "file_no", "path", change.alias("change"), F.when(renamed, F.col("came")).otherwise("").alias("new_path"),
+        F.coalesce("new_types", "old_types").alias("types"),
     )
-    files = footer.where("path = ''").select("tab", "shard", "file_no", F.row_number().over(Window.partitionBy("tab", "shard").orderBy("file_no")).alias("no"))
-    same = F.col("a.tab").eqNullSafe(F.col("b.tab")) & F.col("a.shard").eqNullSafe(F.col("b.shard")) & (F.col("a.no") == F.col("b.no"))
-    return named.alias("a").join(files.alias("b"), same).select("a.tab", "a.shard", "b.file_no", "a.path", "a.change", "a.new_path", "a.types")
 
 
 def found_changes(diffs: DataFrame, revisions: DataFrame) -> DataFrame:
