@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import preparation_queries
+from tessera.plans import engine_queries, preparation_queries
 
-_MODULES = (preparation_queries,)
+_MODULES = (engine_queries, preparation_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["p6_found"](spark, sf_dir)
+    return queries()["cube_query_flagship"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
