@@ -140,8 +140,8 @@ def _differs(a: str, b: str) -> Column:
     return ~same
 
 
-def changes_by_run(rows: DataFrame, done: DataFrame, key: str = "id", state: DataFrame | None = None) -> DataFrame:
-    """(run_id, key, version) of each key that is new or changed in a run.
+def progress(rows: DataFrame, done: DataFrame, key: str = "id", state: DataFrame | None = None) -> DataFrame:
+    """(run_id, key, version, changed) of each key that a run's files hold: its current version and whether it must be processed.
 
     ``done`` (file_no, run_id) says which run completed a file; rows of other files are not
     seen. ``state`` (key, version) is what the run before the first one here ended with; it
@@ -153,13 +153,18 @@ def changes_by_run(rows: DataFrame, done: DataFrame, key: str = "id", state: Dat
         best = best.unionByName(state.join(touched, key, "left_semi").select(key, F.lit(-1).cast("int").alias("run_id"), F.col("version").alias("best")))
     w = Window.partitionBy(key).orderBy("run_id")
     current = best.withColumn("version", F.max("best").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    before = current.withColumn("before", F.lag("version").over(w))
-    return before.where("run_id >= 0").where(F.col("before").isNull() | _differs("version", "before")).select("run_id", key, "version")
+    before = current.withColumn("before", F.lag("version").over(w)).where("run_id >= 0")
+    return before.select("run_id", key, "version", (F.col("before").isNull() | _differs("version", "before")).alias("changed"))
+
+
+def changes_by_run(rows: DataFrame, done: DataFrame, key: str = "id", state: DataFrame | None = None) -> DataFrame:
+    """(run_id, key) of each key that is new or changed in a run."""
+    return progress(rows, done, key, state).where("changed").select("run_id", key)
 
 
-def advance(state: DataFrame, changed: DataFrame, key: str = "id") -> DataFrame:
-    """``state`` after the changes of one run."""
-    new = changed.select(key, "version")
+def advance(state: DataFrame, moved: DataFrame, key: str = "id") -> DataFrame:
+    """``state`` after one run, from its ``progress``: also versions that differ only in time move on."""
+    new = moved.select(key, "version")
     return state.join(new, key, "left_anti").unionByName(new)
 
 
@@ -200,6 +205,6 @@ def changed_ids(revisions: DataFrame, runs: DataFrame) -> DataFrame:
     done = replay(runs, files, ledger=WorkLedger(spark, new_path(spark, "ledger")))
     completed = spark.createDataFrame(sorted(done.items()), "file_no int, run_id int")
     out = new_path(spark, "changed-by-run")
-    changes_by_run(revisions, completed).select("run_id", "id").write.partitionBy("run_id").parquet(out)
+    changes_by_run(revisions, completed).write.partitionBy("run_id").parquet(out)
     got = spark.read.schema("id long, run_id int").parquet(out)
     return got.select("run_id", "id")
