@@ -99,10 +99,11 @@ def pack(documents: DataFrame, specs: DataFrame, vocabulary: str = VOCABULARY, f
     """
     sizes = cut(passage_sizes(documents, vocabulary, folder), "sizes")  # counted once for all specifications
     blocks = max(1, -(-sizes.count() // block_items))
-    wanted = F.broadcast(specs) if specs.limit(1001).count() <= 1000 else specs
+    wanted = specs.where("capacity > 0").select("spec_id", "side", "capacity")
+    wanted = F.broadcast(wanted) if wanted.limit(1001).count() <= 1000 else wanted  # three small columns of a thousand rows at most
     sides = F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("n_tokens")) for s in ("text", "tgt_text", "both")])
     items = (
-        sizes.select("doc_id", F.inline(sides)).where("n_tokens > 0").join(wanted.where("capacity > 0"), "side")
+        sizes.select("doc_id", F.inline(sides)).where("n_tokens > 0").join(wanted, "side")
         .select("spec_id", "capacity", "doc_id", "n_tokens", F.xxhash64("doc_id").alias("mixed"))
         .withColumn("block", F.pmod("mixed", F.lit(blocks)).cast("int"))
     )

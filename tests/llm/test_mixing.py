@@ -1,0 +1,83 @@
+"""Shares, repeat limits and exponents of mixing."""
+
+import math
+import random
+
+import pytest
+
+from tessera.llm import mixing
+
+SIZES = "doc_id long, source string, n_tokens int, rank string, block string"
+TARGETS = "source string, target_share double, max_repeats int, doc_id long"
+
+
+def table(spark, docs):
+    return spark.createDataFrame([(*d, "r", "b") for d in docs], SIZES)
+
+
+@pytest.fixture(scope="module")
+def docs():
+    r = random.Random(2)
+    out = [(i, "big", r.randrange(5, 60)) for i in range(3000)] + [(10_000 + i, "small", r.randrange(5, 60)) for i in range(90)]
+    out += [(20_000 + i, "mid", r.randrange(5, 60)) for i in range(400)] + [(30_000, None, 50), (30_001, "unwanted", 50), (30_002, "big", 9000)]
+    return out
+
+
+GOAL = [("big", 0.5, 1, 0), ("small", 0.2, 3, 0), ("mid", 0.1, None, 0), ("absent", 0.2, 5, 0), ("none", None, 1, 0)]
+
+
+def test_targets_are_reached_within_limits(spark, docs):
+    sizes, targets = table(spark, docs), spark.createDataFrame(GOAL, TARGETS)
+    chosen = mixing.mix(sizes, targets, block_docs=200)
+    got = {r.doc_id: r for r in chosen.collect()}
+    limits = {"big": 1, "small": 3, "mid": 1}
+    assert all(1 <= r.repeats <= limits[r.source] for r in got.values())
+    report = {r.source: r for r in mixing.shares(chosen, sizes, targets).collect()}
+    for source, share in (("big", 0.625), ("small", 0.25), ("mid", 0.125)):
+        assert abs(report[source].share - share) < 0.002
+    assert report["absent"].used_tokens == 0 and report["none"].share == 0
+    held = {s: sum(d[2] for d in docs if d[1] == s) for s in limits}
+    largest = min(limits[s] * held[s] / g for s, g in (("big", 0.625), ("small", 0.25), ("mid", 0.125)))
+    total = sum(r.n_tokens * r.repeats for r in got.values())
+    assert 0.995 * largest < total <= largest + 1
+
+
+def test_the_mix_is_the_same_each_time_and_moves_with_the_seed(spark, docs):
+    sizes, targets = table(spark, docs), spark.createDataFrame(GOAL, TARGETS)
+    run = lambda df, seed: {(r.doc_id, r.repeats) for r in mixing.mix(df, targets, budget=5000, seed=seed, block_docs=100).collect()}
+    assert run(sizes, 1) == run(sizes.repartition(7), 1) != run(sizes, 2)
+
+
+def test_a_budget_beyond_the_limits_bends_the_weights(spark, docs):
+    held = {"big": 90_000, "small": 3000, "mid": 12_000}
+    goal = {"big": (0.5, 1), "small": (0.3, 2), "mid": (0.2, 1)}
+    a, size, w = mixing.target_weights(held, goal, 40_000)
+    assert 0 < a < 1 and size == pytest.approx(40_000)
+    assert all(w[k] * size <= held[k] * goal[k][1] * 1.000001 for k in w)
+    assert any(w[k] * size > held[k] * goal[k][1] * 0.999 for k in w)
+    assert mixing.target_weights(held, goal, 1000)[0] == 1.0
+    a, size, w = mixing.target_weights(held, goal, 10**9)
+    assert a == 0 and abs(size - 105_000) < 1e-6
+
+
+def test_plain_temperature():
+    sizes = {"a": 900, "b": 90, "c": 10}
+    t, w = mixing.temperature_weights(sizes, target_entropy=0.9)
+    assert 0 < t < 1 and abs(mixing.entropy(w) - 0.9) < 1e-9
+    assert mixing.temperature_weights(sizes, target_entropy=0.0)[0] == pytest.approx(1.0)
+    t, w = mixing.temperature_weights(sizes, target_entropy=math.log(3) + 1)
+    assert t == 0 and w["a"] == pytest.approx(1 / 3)
+    t, w = mixing.temperature_weights(sizes, budget=500, limits={"c": 4, "b": 1, "a": 1})
+    assert w["c"] * 500 <= 40.0001 and (w["c"] * 500 > 39.99 or w["b"] * 500 > 89.99)
+
+
+def test_empty_and_null(spark):
+    targets = spark.createDataFrame(GOAL, TARGETS)
+    assert mixing.mix(table(spark, []), targets).count() == 0
+    assert mixing.mix(table(spark, [(1, None, 5)]), targets).count() == 0
+    assert mixing.mix(table(spark, [(1, "big", 5)]), targets.limit(0)).count() == 0
+    same = [(1, "big", 5)] * 4
+    assert mixing.mix(table(spark, same), spark.createDataFrame([("big", 1.0, 2, 0)], TARGETS)).count() == 4
+    docs = spark.createDataFrame([(1, "big", None), (2, "big", ""), (None, "big", "x"), (3, "big", "word")], "doc_id long, source string, text string")
+    got = mixing.mix_documents(docs, spark.createDataFrame([("big", 1.0, 2, 0)], TARGETS)).collect()
+    assert [(r.doc_id, r.repeats) for r in got] == [(3, 2)]
