@@ -168,7 +168,7 @@ class CrdtCluster:
             store.remove(keys)
 
     def download(self, since=None, alive: Sequence[str] | None = None) -> DataFrame:
-        parts = [s._rows() for n, s in self.stores.items() if alive is None or n in alive]
+        parts = [s.download().withColumn("removed", F.lit(False)) for n, s in self.stores.items() if alive is None or n in alive]
         rows = parts[0]
         for p in parts[1:]:
             rows = rows.unionByName(p)

@@ -19,7 +19,7 @@ def join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner
 
     ``first`` orders the right rows of a key, of which only the first then joins: the semantics
     of a merge join that moves on only its left side. ``legacy_tail`` drops left rows above the
-    last right key, as such a join does when it ends with its right side. NULL keys match nothing.
+    last right key, as such a join does when it ends with its right side. NULL keys match nothing and sort first.
     """
     on = list(on)
     if first is not None:

@@ -305,21 +305,51 @@ def diff(repo: Repository, system: OTSystem, a: Any, b: Any) -> list:
     return system.squash(system.invert(path_diffs(repo, system, base, a)) + path_diffs(repo, system, base, b))
 
 
+class _Overlay(Repository):
+    """A repository with commits of its own on top of another, which stays as it is."""
+
+    def __init__(self, below: Repository):
+        super().__init__()
+        self.below = below
+
+    def load(self, id: Any) -> Commit:
+        return self._commits[id] if id in self._commits else self.below.load(id)
+
+
 def merge(repo: Repository, system: OTSystem, heads: Iterable) -> dict[Any, list]:
-    """For each head the diffs to a state that has the changes of all heads."""
+    """For each head the diffs to a state that has the changes of all heads.
+
+    Heads are merged one by one, each into a virtual commit of those before it, from what the
+    two have in common; several latest common parents are first merged themselves.
+    """
+    over = _Overlay(repo)
     heads = sorted(exclude_parents(repo, heads), key=repr)
-    if len(heads) == 1:
-        return {heads[0]: []}
-    base = find_any_common_parent(repo, heads)
-    paths = reduce_edges(repo, system, heads, base)
-    merged, after = paths[heads[0]], {heads[0]: []}
+    current, after = heads[0], {heads[0]: []}
     for h in heads[1:]:
-        on_merged, on_head = system.transform(merged, paths[h])
-        after = {k: v + on_merged for k, v in after.items()} | {h: on_head}
-        merged = merged + on_merged
+        common = find_all_common_parents(over, [current, h])
+        if not common:
+            raise LookupError("no common parent")
+        base = min(common, key=repr)
+        if len(common) > 1:
+            base = ("base", current, h)
+            over.push(over.make(base, merge(over, system, common)))
+        on_current, on_head = system.transform(_from(over, system, base, current), _from(over, system, base, h))
+        after = {k: v + on_current for k, v in after.items()} | {h: on_head}
+        virtual = over.make(("merge", current, h), {current: on_current, h: on_head})
+        over.push(virtual)
+        current = virtual.id
     return {k: system.squash(v) for k, v in after.items()}
 
 
+def _from(repo: Repository, system: OTSystem, base: Any, head: Any) -> list:
+    """Diffs from a base to a head; from a virtual base back to one of its parents first."""
+    back: list = []
+    if isinstance(base, tuple) and base[:1] == ("base",):
+        parent = next(iter(repo.load(base).parents))
+        back, base = system.invert(repo.load(base).parents[parent]), parent
+    return system.squash(back + path_diffs(repo, system, base, head))
+
+
 def merge_and_push(repo: Repository, system: OTSystem, new_id: Callable[[], Any]) -> Any:
     """One head out of all; returns it."""
     heads = repo.heads()
