@@ -8,13 +8,17 @@ loses them. Only where the setting is absent, as in local tests, a folder is mad
 from __future__ import annotations
 
 import atexit
+import io
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own_root: str | None = None
+_shipped: set[str] = set()
 
 
 def get_session(app: str = "tessera", master: str | None = None, **conf) -> SparkSession:
@@ -31,7 +35,26 @@ def get_session(app: str = "tessera", master: str | None = None, **conf) -> Spar
     } | {k.replace("__", "."): v for k, v in conf.items()}
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship(builder.getOrCreate())
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Makes this package importable in the Python workers of all executors; once per application."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        home = Path(__file__).resolve().parent
+        packed = io.BytesIO()
+        with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+            for f in sorted(home.rglob("*.py")):
+                z.write(f, f"{home.name}/{f.relative_to(home)}")
+        uri = f"{shared_root(spark)}/{home.name}-source.zip"
+        fs, path = hadoop_fs(spark, uri)
+        out = fs.create(path, True)
+        out.write(bytearray(packed.getvalue()))
+        out.close()
+        spark.sparkContext.addPyFile(uri)
+        _shipped.add(app)
+    return spark
 
 
 def shared_root(spark: SparkSession) -> str:
