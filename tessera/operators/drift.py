@@ -217,12 +217,20 @@ def as_number(name: str) -> Column:
     return F.expr(f"try_cast(try_cast(`{name}` AS DECIMAL(38,6)) AS BIGINT)")
 
 
-_KEY = r"^\s*\["
+_KEY, _OBJECT = r"^\s*\[", r"^\s*\{"
 
 
-def list_of_numbers(name: str) -> Column:
-    """ARRAY<BIGINT> from a JSON list of numbers or from numbers joined by '|'."""
-    return F.when(F.col(name).rlike(_KEY), F.from_json(name, "array<bigint>")).otherwise(F.split(name, r"\|").cast("array<bigint>"))
+def list_of_numbers(name: str, order: tuple = ("day", "adv")) -> Column:
+    """ARRAY<BIGINT> from a JSON list of numbers, from an object of numbers, or from numbers joined by '|'.
+
+    An object with exactly the fields of ``order`` gives them in that order, another one in the
+    order they are written in. What isn't a number becomes NULL.
+    """
+    held = F.from_json(name, "map<string,string>")
+    named = F.array(*[F.element_at(held, f) for f in order])
+    of_object = F.when(F.array_sort(F.map_keys(held)) == F.array(*[F.lit(f) for f in sorted(order)]), named).otherwise(F.map_values(held))
+    texts = F.when(F.col(name).rlike(_KEY), F.from_json(name, "array<string>")).when(F.col(name).rlike(_OBJECT), of_object).otherwise(F.split(name, r"\|"))
+    return texts.try_cast("array<bigint>")
 
 
 def list_of_names(name: str) -> Column:
@@ -236,10 +244,10 @@ _PLACE = r"^(.*)-(\d+)@(\d+)$"
 def log_place(name: str) -> Column:
     """STRUCT<file, rem, pos> from [file, rem, pos], from an object with these fields, or from 'file-rem@pos'."""
     listed = F.from_json(name, "array<string>")
-    made = lambda f, r, p: F.struct(f.alias("file"), r.cast("long").alias("rem"), p.cast("long").alias("pos"))
+    made = lambda f, r, p: F.struct(f.alias("file"), r.try_cast("long").alias("rem"), p.try_cast("long").alias("pos"))
     return (
         F.when(F.col(name).rlike(_KEY), made(listed[0], listed[1], listed[2]))
-        .when(F.col(name).rlike(r"^\s*\{"), F.from_json(name, "struct<file:string,rem:bigint,pos:bigint>"))
+        .when(F.col(name).rlike(_OBJECT), F.from_json(name, "struct<file:string,rem:bigint,pos:bigint>"))
         .when(F.col(name).rlike(_PLACE), made(F.regexp_extract(name, _PLACE, 1), F.regexp_extract(name, _PLACE, 2), F.regexp_extract(name, _PLACE, 3)))
     )
 

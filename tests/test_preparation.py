@@ -47,8 +47,8 @@ def test_p1_casts(spark):
     texts = [('["f",1,2]',), ('{"file":"f","rem":1,"pos":2}',), ("f-1@2",), (None,)]
     got = spark.createDataFrame(texts, "x string").select(drift.log_place("x").alias("p")).collect()
     assert [None if g.p is None else tuple(g.p) for g in got] == [("f", 1, 2)] * 3 + [None]
-    numbers = spark.createDataFrame([("[1,2]",), ("1|2",), (None,)], "x string").select(drift.list_of_numbers("x").alias("p")).collect()
-    assert [g.p for g in numbers] == [[1, 2], [1, 2], None]
+    numbers = spark.createDataFrame([("[1,2]",), ("1|2",), ('{"adv":2,"day":1}',), ('{"b":1,"a":2}',), ("[1,2.5]",), ("x|2",), (None,)], "x string").select(drift.list_of_numbers("x").alias("p")).collect()
+    assert [g.p for g in numbers] == [[1, 2], [1, 2], [1, 2], [1, 2], [1, None], [None, 2], None]
     counts = spark.createDataFrame([("5",), ("5.0",), ("x",)], "x string").select(drift.as_number("x").alias("p")).collect()
     assert [g.p for g in counts] == [5, 5, None]
 
