@@ -206,10 +206,18 @@ def _leaves(aliases: list[Alias], canonical: str, below: str) -> list[str]:
     return [p[len(below) + 1 :] for p in sorted(own, key=lambda p: (p != canonical, p))]
 
 
-def _from_text(raw: str, leaves: list[str]) -> str:
-    """SQL for the first non-null of the spellings in the JSON text ``raw``."""
-    gets = ", ".join("get_json_object({}, '$.{}')".format(raw, ".".join(f"{x}" for x in leaf.split("."))) for leaf in leaves)
-    return f"coalesce({gets})" if leaves else "CAST(NULL AS STRING)"
+def _first_of(record: str, leaves: list[str]) -> str:
+    """SQL for the first non-null of the spellings in a record whose fields are read as texts."""
+    gets = []
+    for leaf in leaves:
+        head, _, rest = leaf.partition(".")
+        gets.append(f"get_json_object({record}.`{head}`, '$.{rest}')" if rest else f"{record}.`{head}`")
+    return f"coalesce({', '.join(gets)})" if gets else "CAST(NULL AS STRING)"
+
+
+def _heads(leaves: dict[str, list[str]], always: str) -> list[str]:
+    """The fields to read: first names of all spellings."""
+    return sorted({always} | {x.partition(".")[0] for own in leaves.values() for x in own})
 
 
 def as_number(name: str) -> Column:
@@ -252,12 +260,6 @@ def log_place(name: str) -> Column:
     )
 
 
-def _raw_lists(df: DataFrame, text: str, keys: dict[str, Column]) -> DataFrame:
-    """Entries with positions and chunks as JSON texts, whatever their fields are called."""
-    schema = "array<struct<positions:array<string>,ops:array<map<string,struct<added:array<string>,removed:array<string>>>>>>"
-    return flatten.parsed(df, text, keys, schema)
-
-
 def _sources(diffs: DataFrame, revisions: DataFrame) -> list[tuple[DataFrame, str, dict[str, Column]]]:
     where = {"shard": F.col("shard"), "file_no": F.col("file_no"), "feed_seq": F.col("feed_seq")}
     return [(diffs, "diff", flatten.diff_keys() | where), (revisions, "snapshot", flatten.snapshot_keys() | where)]
@@ -271,17 +273,15 @@ def _catalogue(diffs: DataFrame, revisions: DataFrame) -> list[Alias]:
 def consistent_chunks(diffs: DataFrame, revisions: DataFrame) -> DataFrame:
     """All chunks of all files under the oldest names, cast to one type each."""
     aliases = _catalogue(diffs, revisions)
-    parts = []
-    for df, text, keys in _sources(diffs, revisions):
-        nested = _raw_lists(df, text, keys)
-        side = lambda name: f"transform({flatten._list(f'm.value.{name}')}, c -> struct(e.i AS entry_no, o.i AS op_no, m.key AS aggregation, '{name}' AS action, c.i AS chunk_no, c.x AS raw))"
-        rows = f"flatten(transform({flatten._list('entries')}, e -> flatten(transform({flatten._list('e.x.ops')}, o -> flatten(transform(map_entries(o.x), m -> concat({side('added')}, {side('removed')})))))))"
-        parts.append(nested.selectExpr(*keys, f"inline({rows})"))
-    chunks = parts[0].unionByName(parts[1])
-    names = ("id", "min", "max", "count", "measures", "sealed", "tier", "bytes")
-    texts = chunks.select("*", *[F.expr(_from_text("raw", _leaves(aliases, f"{CHUNK}.{n}", CHUNK))).alias(f"t_{n}") for n in names])
+    leaves = {n: _leaves(aliases, f"{CHUNK}.{n}", CHUNK) for n in ("id", "min", "max", "count", "measures", "sealed", "tier", "bytes")}
+    schema = flatten.commit_schema(_heads(leaves, "id"))
+    found = ", ".join(f"{_first_of('c.x', own)} AS t_{n}" for n, own in leaves.items())
+    side = lambda name: f"transform({flatten._list(f'm.value.{name}')}, c -> struct(e.i AS entry_no, o.i AS op_no, m.key AS aggregation, '{name}' AS action, c.i AS chunk_no, {found}))"
+    rows = f"flatten(transform({flatten._list('entries')}, e -> flatten(transform({flatten._list('e.x.ops')}, o -> flatten(transform(map_entries(o.x), m -> concat({side('added')}, {side('removed')})))))))"
+    parts = [flatten.parsed(df, text, keys, schema).selectExpr(*keys, f"inline({rows})") for df, text, keys in _sources(diffs, revisions)]
+    texts = parts[0].unionByName(parts[1])
     return texts.select(
-        *[c for c in chunks.columns if c != "raw"],
+        *[c for c in texts.columns if not c.startswith("t_")],
         as_number("t_id").alias("chunk_id"), list_of_numbers("t_min").alias("min_key"), list_of_numbers("t_max").alias("max_key"),
         as_number("t_count").alias("row_count"), list_of_names("t_measures").alias("measures"),
         F.expr("try_cast(t_sealed AS BOOLEAN)").alias("sealed"), F.expr("try_cast(t_tier AS INT)").alias("tier"), as_number("t_bytes").alias("bytes"),
@@ -291,15 +291,15 @@ def consistent_chunks(diffs: DataFrame, revisions: DataFrame) -> DataFrame:
 def consistent_positions(diffs: DataFrame, revisions: DataFrame) -> DataFrame:
     """All log positions of all files under the oldest names, with from and to as (file, rem, pos)."""
     aliases = _catalogue(diffs, revisions)
-    parts = []
-    for df, text, keys in _sources(diffs, revisions):
-        rows = f"flatten(transform({flatten._list('entries')}, e -> transform({flatten._list('e.x.positions')}, p -> struct(e.i AS entry_no, p.i AS position_no, p.x AS raw))))"
-        parts.append(_raw_lists(df, text, keys).selectExpr(*keys, f"inline({rows})"))
-    positions = parts[0].unionByName(parts[1])
-    texts = positions.select("*", *[F.expr(_from_text("raw", _leaves(aliases, f"positions.{n}", "positions"))).alias(f"t_{n}") for n in ("log", "from", "to", "lag")])
+    leaves = {n: _leaves(aliases, f"positions.{n}", "positions") for n in ("log", "from", "to", "lag")}
+    schema = flatten.commit_schema(["id"], _heads(leaves, "log"))
+    found = ", ".join(f"{_first_of('p.x', own)} AS t_{n}" for n, own in leaves.items())
+    rows = f"flatten(transform({flatten._list('entries')}, e -> transform({flatten._list('e.x.positions')}, p -> struct(e.i AS entry_no, p.i AS position_no, {found}))))"
+    parts = [flatten.parsed(df, text, keys, schema).selectExpr(*keys, f"inline({rows})") for df, text, keys in _sources(diffs, revisions)]
+    texts = parts[0].unionByName(parts[1])
     place = texts.select("*", log_place("t_from").alias("f"), log_place("t_to").alias("t"))
     return place.select(
-        *[c for c in positions.columns if c != "raw"], F.col("t_log").alias("log"),
+        *[c for c in texts.columns if not c.startswith("t_")], F.col("t_log").alias("log"),
         F.col("f.file").alias("from_file"), F.col("f.rem").alias("from_rem"), F.col("f.pos").alias("from_pos"),
         F.col("t.file").alias("to_file"), F.col("t.rem").alias("to_rem"), F.col("t.pos").alias("to_pos"),
         F.expr("try_cast(t_lag AS INT)").alias("lag"),
