@@ -134,12 +134,10 @@ def _(spark, d):
     return joins.join(table(spark, d, "customer"), right, ["c_custkey"], "left", first=["o_orderkey"]).select("c_custkey", "o_orderkey")
 
 
-@query("join_legacy_tail", """SELECT c_custkey, o_orderkey FROM customer LEFT JOIN
-    (SELECT * FROM orders WHERE o_custkey < 500 QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 1) AS o ON o_custkey = c_custkey
-    WHERE c_custkey <= (SELECT max(o_custkey) FROM orders WHERE o_custkey < 500)""")
+@query("join_legacy_tail", """SELECT p_partkey AS k, s_name FROM part LEFT JOIN supplier ON s_suppkey = p_partkey WHERE p_partkey <= (SELECT max(s_suppkey) FROM supplier)""")
 def _(spark, d):
-    right = table(spark, d, "orders").where("o_custkey < 500").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey")
-    return joins.join(table(spark, d, "customer"), right, ["c_custkey"], "left", first=["o_orderkey"], legacy_tail=True).select("c_custkey", "o_orderkey")
+    left, right = table(spark, d, "part").select(F.col("p_partkey").alias("k")), table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), "s_name")
+    return joins.join(left, right, ["k"], "left", first=["s_name"], legacy_tail=True)
 
 
 @query("value_join", """SELECT c_custkey, CASE WHEN o_orderkey IS NULL THEN 'none' ELSE o_orderstatus END AS status FROM customer
@@ -231,13 +229,13 @@ _RANKS = "".join(
 )
 
 
-@query("pagerank_10", f"""WITH links AS (SELECT DISTINCT n_nationkey AS a, unnest([(n_nationkey * 7 + 1) % 25, (n_nationkey + 1) % 25, n_regionkey]) AS b FROM nation),
+@query("pagerank_10", f"""WITH links AS (SELECT DISTINCT revision_id AS a, parent_id AS b FROM ot_diffs WHERE parent_id > 0),
     edges AS (SELECT a, b, count(*) OVER (PARTITION BY a) AS n FROM links), r0 AS (SELECT DISTINCT a AS page_id, 1.0::DOUBLE AS rank FROM edges){_RANKS}
     SELECT page_id, round(rank, 6) AS rank FROM r10""")
 def _(spark, d):
-    out = F.array_distinct(F.array(((F.col("n_nationkey") * 7 + 1) % 25).cast("int"), ((F.col("n_nationkey") + 1) % 25).cast("int"), F.col("n_regionkey")))
-    pages = table(spark, d, "nation").select(F.col("n_nationkey").alias("page_id"), out.alias("links"))
-    return reducers.pagerank(pages, 10).select("page_id", F.round("rank", 6).alias("rank"))
+    """Revisions hand their rank on to their parents."""
+    links = table(spark, d, "ot_diffs").where("parent_id > 0").groupBy(F.col("revision_id").alias("page_id")).agg(F.collect_set("parent_id").alias("links"))
+    return reducers.pagerank(links, 10).select("page_id", F.round("rank", 6).alias("rank"))
 
 
 # -- measures and aggregations ------------------------------------------------------------------
@@ -503,10 +501,10 @@ def _(spark, d):
     return crdt.TPSET.read(crdt.TPSET.merge(rows, ["user_id"]), ["user_id"])
 
 
-@query("crdt_lww", "SELECT user_id, epoch_us(max(ts)) AS stamp, max(event_type) FILTER (ts = m) AS obj FROM (SELECT *, max(ts) OVER (PARTITION BY user_id) AS m FROM events) GROUP BY user_id")
+@query("crdt_lww", "SELECT user_id, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS stamp, max(event_type) FILTER (ts = m) AS obj FROM (SELECT *, max(ts) OVER (PARTITION BY user_id) AS m FROM events) GROUP BY user_id")
 def _(spark, d):
     got = crdt.lww(table(spark, d, "events"), ["user_id"], "ts", "event_type")
-    return got.select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("stamp"), F.col("event_type").alias("obj"))
+    return got.select("user_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("stamp"), F.col("event_type").alias("obj"))
 
 
 @query("crdt_lwwset", """SELECT user_id, list_sort(list(e)) AS value FROM (SELECT user_id, event_type AS e, max(CASE WHEN value >= 5 THEN event_id END) AS a, max(CASE WHEN value < 5 THEN event_id END) AS r
