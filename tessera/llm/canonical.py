@@ -49,7 +49,8 @@ VISIBLE_FORMATS = {*range(0x0600, 0x0606), 0x06DD, 0x070F, 0x0890, 0x0891, 0x08E
 #: Ignorables that aren't of category Cf: grapheme joiner, Hangul fillers, Mongolian and other variation selectors, Khmer inherent vowels.
 OTHER_IGNORABLES = {0x034F, 0x115F, 0x1160, 0x3164, 0xFFA0, 0x17B4, 0x17B5, *range(0x180B, 0x1810), *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0)}
 
-CACHE_WORDS = 200_000
+#: Spellings kept by a worker, and the longest word kept.
+CACHE_WORDS, CACHE_LENGTH = 200_000, 64
 SCRIPTS = ("Latin", "Cyrillic", "Greek")
 
 
@@ -147,7 +148,8 @@ class Table:
         self.both = self.reads | self.drop
         inside = "".join(regex.escape(chr(c)) for c in sorted(self.ignorable))
         self.words = regex.compile(rf"[\p{{L}}\p{{M}}{inside}]+")
-        self.blocking = regex.compile(rf"[{inside}]+(?=\p{{M}})")
+        self.runs = regex.compile(rf"([{inside}])[{inside}]++")
+        self.blocking = regex.compile(rf"[{inside}](?=\p{{M}})")
         self.script = {s: regex.compile(rf"[\p{{{s}}}\p{{M}}]+") for s in SCRIPTS}
 
     def class_of(self, unit: str) -> str:
@@ -155,8 +157,8 @@ class Table:
         return next(iter(group.values())) if group else unit
 
     def units(self, word: str) -> str:
-        """Decomposed characters of a word; ignorables stay, but for those that would block the order of accents."""
-        return unicodedata.normalize("NFD", self.blocking.sub("", word).translate(self.reads))
+        """Decomposed characters of a word; of a run of ignorables one stays, and none that would block the order of accents."""
+        return unicodedata.normalize("NFD", self.blocking.sub("", self.runs.sub(r"\1", word)).translate(self.reads))
 
     def spell(self, word: str) -> str:
         """A word's class in the first script that has all its letters; else each letter in its first script."""
@@ -189,9 +191,10 @@ class Canonical:
         if known is None:
             hits = self.trie.search(self.table.units(word))
             known = hits[0][2] if hits else self.table.spell(word)
-            if len(self.cache) >= CACHE_WORDS:
-                self.cache.clear()
-            self.cache[word] = known
+            if len(word) <= CACHE_LENGTH:
+                if len(self.cache) >= CACHE_WORDS:
+                    self.cache.clear()
+                self.cache[word] = known
         return known
 
     def text(self, text: str) -> str:

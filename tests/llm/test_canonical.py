@@ -121,3 +121,9 @@ def test_empty(spark):
     assert ca.same_looking_pairs(df).count() == 0 and ca.look_alikes(df).count() == 0
     one = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
     assert {tuple(r) for r in ca.canonical_documents(one).collect()} == {(1, None), (2, "")}
+
+
+def test_very_long_words_and_runs(form):
+    assert form.text("​" * 300_000) == "" and form.text("a" + "​͏" * 100_000 + "́") == "á"
+    long = "аa​" * 50_000
+    assert form.text(long) == "a" * 100_000

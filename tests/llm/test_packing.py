@@ -109,3 +109,16 @@ def test_token_counts(spark, vocabulary):
     if vocabulary == "byte_bpe_50k.json":
         other = tokens.counter("byte_bpe_50k.tiktoken")
         assert got == [other(t) if t else 0 for t in ("two words", "", None, "<|endoftext|>")]
+
+
+@pytest.mark.parametrize("text", ["a   b", "  ", "x \n\t  y  ", "  　 z", "end   ", "   'll 12", "\n\n\n  word \u0085\u0085\u0085 !"])
+def test_runs_of_blanks_count_the_same_when_cut_out(monkeypatch, text):
+    whole = tokens.counter()(text)
+    monkeypatch.setattr(tokens, "LONG_RUN", 2)
+    monkeypatch.setattr(tokens, "_loaded", {})
+    assert tokens.counter()(text) == whole
+
+
+def test_very_long_texts():
+    count = tokens.counter()
+    assert count(" " * 300_000 + "word") > 0 and count("word " * 100_000) == 100_001 and count("a" * 500_000) > 0
