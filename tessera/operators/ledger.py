@@ -49,7 +49,7 @@ class WorkLedger:
 
     # -- versions -------------------------------------------------------------------------
 
-    def _load(self) -> tuple[int, int, dict[str, WorkItem]]:
+    def _text(self) -> tuple[int, str | None]:
         text, version = None, 0
         if self.path is None:
             version = len(self._memory)
@@ -62,14 +62,24 @@ class WorkLedger:
                 stream = fs.open(hadoop_fs(self.spark, f"{self.path}/{names[-1]}")[1])
                 text = bytes(stream.readAllBytes()).decode()
                 stream.close()
+        return version, text
+
+    def _load(self) -> tuple[int, int, dict[str, WorkItem]]:
+        version, text = self._text()
         if text is None:
             return 0, 0, {}
         held = json.loads(text)
         return version, held["token"], {i["item"]: WorkItem(**i) for i in held["items"]}
 
-    def _swap(self, version: int, token: int, items: dict[str, WorkItem]) -> None:
+    def results(self) -> list[dict]:
+        """What ``complete`` recorded, in order of completion."""
+        text = self._text()[1]
+        return json.loads(text)["results"] if text else []
+
+    def _swap(self, version: int, token: int, items: dict[str, WorkItem], result: dict | None = None) -> None:
         """Makes the next version; fails if somebody else made it meanwhile."""
-        text = json.dumps({"token": token, "items": [asdict(i) for i in items.values()]})
+        results = self.results() + ([result] if result else [])
+        text = json.dumps({"token": token, "items": [asdict(i) for i in items.values()], "results": results})
         if self.path is None:
             if version != len(self._memory):
                 raise StaleWriter("the ledger moved on")
@@ -105,16 +115,17 @@ class WorkLedger:
         self._swap(version, token, items | {n: WorkItem(n, LEASED, owner, token, now + seconds) for n in taken})
         return token, taken
 
-    def _finish(self, token: int, names: Sequence[str], now: float, state: str) -> None:
+    def _finish(self, token: int, names: Sequence[str], now: float, state: str, result: dict | None = None) -> None:
         version, last, items = self._load()
         for n in names:
             i = items.get(n)
             if i is None or i.state != LEASED or i.token != token or i.expires <= now:
                 raise StaleWriter(f"token {token} doesn't hold {n}")
-        self._swap(version, last, items | {n: replace(items[n], state=state, expires=0.0) for n in names})
+        self._swap(version, last, items | {n: replace(items[n], state=state, expires=0.0) for n in names}, result)
 
-    def complete(self, token: int, names: Sequence[str], now: float) -> None:
-        self._finish(token, names, now, DONE)
+    def complete(self, token: int, names: Sequence[str], now: float, result: dict | None = None) -> None:
+        """Work done; ``result`` (where it is) becomes visible in the same step."""
+        self._finish(token, names, now, DONE, result)
 
     def release(self, token: int, names: Sequence[str], now: float) -> None:
         """Gives leased items back, as a run does that fails and can still say so."""
@@ -168,6 +179,56 @@ def advance(state: DataFrame, moved: DataFrame, key: str = "id") -> DataFrame:
     return state.join(new, key, "left_anti").unionByName(new)
 
 
+class IncrementalRunner:
+    """Live runs: each processes what is new since the last completed one.
+
+    A run writes its changes and the state after it to paths named by its token, then completes:
+    one version of the ledger marks the files done and names both paths. A run that dies before
+    that leaves nothing that anybody reads, a retry starts from the same state, and a run that
+    comes back after its lease was given away is refused.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, key: str = "id", lease_seconds: float = 3600.0):
+        self.spark, self.path, self.key, self.lease_seconds = spark, path.rstrip("/"), key, lease_seconds
+        self.ledger = WorkLedger(spark, f"{self.path}/ledger")
+
+    def begin(self, owner: str, files: Iterable[int], now: float) -> tuple[int, list[str]]:
+        """Leases the delivered files that no run has completed."""
+        files = [str(f) for f in files]
+        self.ledger.add(files)
+        return self.ledger.lease(owner, now, self.lease_seconds, files)
+
+    def work(self, run_id: int, rows: DataFrame, token: int, taken: Sequence[str]) -> dict:
+        """Writes the run's changes and the state after it; what ``finish`` has to record."""
+        done = self.spark.createDataFrame([(int(f), run_id) for f in taken], "file_no int, run_id int")
+        fresh = rows.where(F.col("file_no").isin([int(f) for f in taken]))
+        before = self.ledger.results()
+        state = self.spark.read.parquet(before[-1]["state"]) if before else None
+        out = {"run_id": run_id, "moved": f"{self.path}/moved/token={token:09d}", "state": f"{self.path}/state/token={token:09d}"}
+        progress(fresh, done, self.key, state).write.mode("overwrite").parquet(out["moved"])
+        moved = self.spark.read.parquet(out["moved"])
+        after = moved.select(self.key, "version") if state is None else advance(state, moved, self.key)
+        after.write.mode("overwrite").parquet(out["state"])
+        return out
+
+    def finish(self, token: int, taken: Sequence[str], result: dict, now: float) -> None:
+        self.ledger.complete(token, taken, now, result)
+
+    def run(self, owner: str, run_id: int, rows: DataFrame, files: Iterable[int], now: float, done_at: float | None = None) -> int:
+        """A whole run; the number of files it processed."""
+        token, taken = self.begin(owner, files, now)
+        if taken:
+            self.finish(token, taken, self.work(run_id, rows, token, taken), now if done_at is None else done_at)
+        return len(taken)
+
+    def changed(self) -> DataFrame:
+        """(run_id, key) of all completed runs."""
+        paths = [r["moved"] for r in self.ledger.results()]
+        if not paths:
+            raise LookupError("no run has completed")
+        return self.spark.read.option("basePath", f"{self.path}/moved").parquet(*paths).where("changed").select("run_id", self.key)
+
+
 def replay(runs: DataFrame, files: Sequence[int], lease_seconds: float = 3600.0, ledger: WorkLedger | None = None) -> dict[int, int]:
     """File to the run that completed it, by playing the log of runs through the ledger.
 

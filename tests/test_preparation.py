@@ -114,6 +114,25 @@ def test_p4_one_run_at_a_time_equals_the_replay(data, spark):
     assert got == cs.p4(revisions, log)
 
 
+def test_p4_runs_that_die_and_writers_that_come_late(data, spark, tmp_path):
+    _, revisions, _, r = data
+    runner = ledger.IncrementalRunner(spark, f"file://{tmp_path}/inc", lease_seconds=10)
+    with pytest.raises(LookupError):
+        runner.changed()
+    assert runner.run("w1", 1, r, [1, 2], 0) == 2
+    token, taken = runner.begin("w2", [1, 2, 3], 100)  # writes everything, then dies
+    assert taken == ["3"]
+    late = runner.work(2, r, token, taken)
+    assert runner.run("w3", 3, r, [1, 2, 3], 105) == 0  # its lease still holds
+    assert runner.run("w4", 4, r, [1, 2, 3], 111) == 1  # taken over, from the state of run 1
+    with pytest.raises(ledger.StaleWriter):
+        runner.finish(token, taken, late, 112)
+    assert runner.run("w5", 5, r, [1, 2, 3], 200) == 0
+    assert runner.run("w6", 6, r, range(1, 7), 300) == 3
+    log = [(1, 2, "ok"), (2, 3, "killed"), (4, 3, "ok"), (5, 3, "ok"), (6, 6, "ok")]
+    assert rows(runner.changed()) == cs.p4(revisions, log)
+
+
 @pytest.mark.parametrize("kept", [False, True])
 def test_p4_ledger(spark, tmp_path, kept):
     led = ledger.WorkLedger(spark, f"file://{tmp_path}/ledger") if kept else ledger.WorkLedger()
