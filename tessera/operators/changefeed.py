@@ -9,8 +9,10 @@ stays as a tombstone, so that an older addition arriving later can't revive the
 The same upsert runs twice: over each input partition before the shuffle (a key that holds a
 third of all rows leaves at most one state per partition and flush) and over each bucket after
 it. The conditional upsert is associative, commutative and idempotent, which makes that right
-and makes retried tasks harmless. Bucket results are written by Spark's committer to a staging
-folder and become visible together, by one rename and one exclusively created version file.
+and makes retried tasks harmless. The state is kept by bucket: an application of changes reads and rewrites only the
+buckets that they touch. Bucket results are written by Spark's committer to a staging folder
+and become visible together, by one rename and one exclusively created version file that says
+where each bucket lies.
 
 Defined results: a change whose key or first sequence column is NULL has no place and is not
 applied; NULL in a later sequence column sorts lowest; changes equal in key and sequence are
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.operators import flatten
-from tessera.session import estimated_bytes, hadoop_fs, new_path
+from tessera.session import cut, estimated_bytes, hadoop_fs, new_path
 
 #: Bytes of input for each bucket, and states that one DuckDB holds before it hands them on.
 BUCKET_BYTES = 64 << 20
@@ -93,26 +95,104 @@ def _upsert_task(schema: T.StructType, key: Sequence[str], seq: Sequence[str], f
     return run
 
 
+def _ordered(feed: DataFrame, key: Sequence[str], seq: Sequence[str], live: str, payload: Sequence[str]) -> DataFrame:
+    """The columns of the upsert, without rows that have no place, and with NULLs of the order made lowest."""
+    rows = feed.where(F.col(seq[0]).isNotNull())
+    for k in key:
+        rows = rows.where(F.col(k).isNotNull())
+    kinds = {f.name: f.dataType for f in feed.schema}
+    lowest = lambda s: F.lit("") if isinstance(kinds[s], T.StringType) else F.lit(-(2**31)).cast(kinds[s])
+    return rows.select(*key, *[F.coalesce(F.col(s), lowest(s)).alias(s) for s in seq], live, *payload)
+
+
+def _default_buckets(feed: DataFrame) -> int:
+    """One for each ``BUCKET_BYTES`` of input, the session's shuffle partitions at least."""
+    return max(int(feed.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-estimated_bytes(feed) // BUCKET_BYTES))
+
+
+def _plain(rows: DataFrame) -> T.StructType:
+    return T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema])
+
+
 def upsert(feed: DataFrame, key: Sequence[str], seq: Sequence[str], live: str = "live", payload: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
     """The newest state of each key of ``feed``, tombstones (``live`` false) included.
 
     ``seq`` orders the changes of a key, most significant first; NULLs are lowest. Key and
-    sequence columns are BIGINT, INT or STRING. ``buckets`` defaults to one for each
-    ``BUCKET_BYTES`` of input, the session's shuffle partitions at least.
+    sequence columns are BIGINT, INT or STRING.
     """
-    spark = feed.sparkSession
-    rows = feed.where(F.col(seq[0]).isNotNull())
-    for k in key:
-        rows = rows.where(F.col(k).isNotNull())
-    lowest = {T.StringType: F.lit("")}
-    kinds = {f.name: f.dataType for f in feed.schema}
-    filled = [F.coalesce(F.col(s), lowest.get(type(kinds[s]), F.lit(-(2**31)).cast(kinds[s]))).alias(s) for s in seq]
-    rows = rows.select(*key, *filled, live, *payload)
-    schema = T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema])
-    if buckets is None:
-        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-estimated_bytes(feed) // BUCKET_BYTES))
+    rows = _ordered(feed, key, seq, live, payload)
+    schema = _plain(rows)
     partial = rows.mapInArrow(_upsert_task(schema, key, seq, FLUSH_STATES), schema)
-    return partial.repartition(buckets, *key).mapInArrow(_upsert_task(schema, key, seq, None), schema)
+    bucket = F.pmod(F.xxhash64(*key), F.lit(buckets or _default_buckets(feed))).cast("int")
+    return partial.repartitionById(buckets or _default_buckets(feed), bucket).mapInArrow(_upsert_task(schema, key, seq, None), schema)
+
+
+class BucketedState:
+    """The state that a feed of changes leads to, kept by bucket below ``path`` and published by version."""
+
+    def __init__(self, spark: SparkSession, path: str, key: Sequence[str], seq: Sequence[str], live: str = "live", payload: Sequence[str] = ()):
+        self.spark, self.path, self.key, self.seq, self.live, self.payload = spark, path.rstrip("/"), list(key), list(seq), live, list(payload)
+
+    def _held(self, version: int | None = None) -> tuple[int, dict]:
+        """(version, where the buckets lie): the latest version, or the one asked for."""
+        fs, folder = hadoop_fs(self.spark, f"{self.path}/versions")
+        names = [int(s.getPath().getName()) for s in fs.listStatus(folder)] if fs.exists(folder) else []
+        if not names:
+            return 0, {"buckets": 0, "schema": None, "parts": {}}
+        version = version or max(names)
+        stream = fs.open(hadoop_fs(self.spark, f"{self.path}/versions/{version:09d}")[1])
+        held = json.loads(bytes(stream.readAllBytes()).decode())
+        stream.close()
+        return version, held
+
+    def _read(self, held: dict, buckets: Sequence[str]) -> DataFrame:
+        schema = T.StructType.fromJson(held["schema"])
+        if not buckets:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*[f"{self.path}/{held['parts'][b]}/bucket={b}" for b in buckets])
+
+    def apply(self, feed: DataFrame, buckets: int | None = None) -> int:
+        """Applies changes in any order, repeated or not, and publishes the result; the new version.
+
+        ``buckets`` counts at the first application only. Of two writers of one version one fails
+        and leaves no trace.
+        """
+        version, held = self._held()
+        n = held["buckets"] or buckets or _default_buckets(feed)
+        rows = _ordered(feed, self.key, self.seq, self.live, self.payload)
+        schema = _plain(rows)
+        bucket = F.pmod(F.xxhash64(*self.key), F.lit(n)).cast("int")
+        partial = rows.mapInArrow(_upsert_task(schema, self.key, self.seq, FLUSH_STATES), schema)
+        if held["parts"]:
+            partial = cut(partial, "changes")
+            touched = {str(r[0]) for r in partial.select(bucket).distinct().collect()}  # numbers of buckets
+            partial = partial.unionByName(self._read(held, sorted(touched & held["parts"].keys())))
+        result = partial.repartitionById(n, bucket).mapInArrow(_upsert_task(schema, self.key, self.seq, None), schema)
+        staging = new_path(self.spark, "staging")
+        result.withColumn("bucket", bucket).write.partitionBy("bucket").parquet(staging)
+        fs, src = hadoop_fs(self.spark, staging)
+        folder = f"data-{staging.rsplit('-', 1)[1]}"
+        _, dst = hadoop_fs(self.spark, f"{self.path}/{folder}")
+        _, mark = hadoop_fs(self.spark, f"{self.path}/versions/{version + 1:09d}")
+        new = {s.getPath().getName().split("=")[1]: folder for s in fs.listStatus(src) if "=" in s.getPath().getName()}
+        fs.mkdirs(dst.getParent())
+        if not fs.rename(src, dst):
+            raise OSError(f"could not move {staging}")
+        try:
+            out = fs.create(mark, False)  # fails if another writer made this version
+        except Exception:
+            fs.delete(dst, True)
+            raise
+        out.write(bytearray(json.dumps({"buckets": n, "schema": schema.jsonValue(), "parts": held["parts"] | new}).encode()))
+        out.close()
+        return version + 1
+
+    def read(self, version: int | None = None) -> DataFrame:
+        """All states, tombstones included."""
+        _, held = self._held(version)
+        if held["schema"] is None:
+            raise LookupError("nothing has been applied")
+        return self._read(held, sorted(held["parts"]))
 
 
 class PublishedTable:
@@ -172,7 +252,6 @@ def chunk_feed(diffs: DataFrame) -> DataFrame:
 def live_chunks(diffs: DataFrame, path: str | None = None) -> DataFrame:
     """Per repository and aggregation the chunks live after the last revision, with the revision that last added them."""
     key, seq = ["repo", "aggregation", "chunk_id"], ["revision_id", "ref", "entry_no", "op_no", "step"]
-    buckets = max(int(diffs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-estimated_bytes(diffs) // BUCKET_BYTES))
-    state = PublishedTable(diffs.sparkSession, path or new_path(diffs.sparkSession, "chunk-state"))
-    state.publish(upsert(chunk_feed(diffs), key, seq, buckets=buckets))
+    state = BucketedState(diffs.sparkSession, path or new_path(diffs.sparkSession, "chunk-state"), key, seq)
+    state.apply(chunk_feed(diffs), _default_buckets(diffs))
     return state.read().where("live").select(*key, "revision_id")

@@ -67,6 +67,21 @@ def test_p2_upsert_order_ties_and_tombstones(spark):
     assert got == {"a": (False, None), "c": (True, "k")}
 
 
+def test_p2_applied_in_parts_out_of_order(data, spark, tmp_path):
+    diffs, _, d, _ = data
+    feed = changefeed.chunk_feed(d)
+    state = changefeed.BucketedState(spark, f"file://{tmp_path}/s", ["repo", "aggregation", "chunk_id"], ["revision_id", "ref", "entry_no", "op_no", "step"])
+    for i, part in enumerate((feed.where("revision_id % 3 = 1"), feed.where("revision_id % 3 = 0"), feed.limit(0), feed.where("revision_id % 3 = 1"), feed.where("revision_id % 3 = 2"))):
+        assert state.apply(part, 7) == i + 1
+    live = lambda v=None: rows(state.read(v).where("live").select("repo", "aggregation", "chunk_id", "revision_id"))
+    assert live() == cs.p2(diffs) and live(3) == live(2) != live(1)
+    before = state._held()[1]["parts"]
+    state.apply(feed.where("repo = 'b' AND aggregation = 'x.y' AND chunk_id = 3"))
+    after = state._held()[1]["parts"]
+    assert sum(before[b] != after[b] for b in before) <= 1  # only the touched bucket is written anew
+    assert live() == cs.p2(diffs)
+
+
 def test_p2_publish_is_atomic(spark, tmp_path):
     table = changefeed.PublishedTable(spark, f"file://{tmp_path}/t")
     assert table.publish(spark.range(3)) == 1
