@@ -98,6 +98,13 @@ def discard(*tables: DataFrame | None) -> None:
             fs.delete(p, True)
 
 
+def cleanup(spark: SparkSession) -> None:
+    """Removes everything that this application left in the shared folder; frames that read it are of no use afterwards."""
+    fs, p = hadoop_fs(spark, shared_root(spark))
+    fs.delete(p, True)
+    _shipped.discard(spark.sparkContext.applicationId)
+
+
 def hadoop_fs(spark: SparkSession, uri: str):
     """The Hadoop file system of ``uri`` and its Path object."""
     jvm = spark._jvm
