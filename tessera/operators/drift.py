@@ -8,11 +8,13 @@
 3. Starts and endings of lifespans are the changes: both for one field is 'retyped', a single
    ending and a single start under one parent with equal types is 'renamed', the others are
    'removed' and 'added'.
-4. The changes give an alias table, from every spelling of a field to its first one, and the
-   alias table gives the casts that read all files into one consistent table.
+4. The changes, and the names that entries, positions and chunks hold one by one, give an alias
+   table, from every spelling of a field to its first one, and the alias table gives the columns
+   and casts that read all files into one consistent table. A spelling that can't be linked is a
+   field, and a column, of its own; ``spellings`` lists all of them with their numbers of values.
 
 Only the catalogue is collected to the driver, and only to write the casts: it has one row per
-spelling of a field, whatever the number of rows or files.
+spelling of a field and per pair of spellings, whatever the number of rows or files.
 
 Defined results: NULL, empty and unreadable texts have no fields, and a file without a readable
 text is no file; NULL producers or file numbers are groups of their own; fields with only NULL
@@ -22,7 +24,9 @@ values don't exist; further columns aren't read.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import re
+from collections import Counter
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -35,6 +39,10 @@ FOOTER = "tab string, shard int, file_no int, path string, kind string"
 
 #: Paths that are keys of data, not fields, and what the path of their elements is called.
 AGGREGATIONS, CHUNK_LISTS, CHUNK = "ops", ("ops.*.added", "ops.*.removed"), "ops.*.chunk"
+POSITION, ENTRY = "positions", ""
+
+#: Marks the rows of ``_contents`` that are records: ``kind`` is this and the path of the records.
+RECORD = "#"
 
 
 def _refuse(name: str) -> None:
@@ -92,12 +100,100 @@ def _footers(batches: Iterator) -> Iterator:
         yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(cols, types)], ["tab", "shard", "file_no", "path", "kind"])
 
 
-def footers(diffs: DataFrame, revisions: DataFrame) -> DataFrame:
-    """(tab, shard, file_no, path, types) of all files; ``types`` is the sorted set, joined by '|'."""
+def _shape(x) -> str:
+    """What a value is, however it is written; '' if it doesn't tell."""
+    if isinstance(x, bool):
+        return "boolean"
+    if isinstance(x, (int, float)):
+        return "number"
+    if isinstance(x, str):
+        if re.fullmatch(r"\s*[-+]?\d+(\.\d*)?([eE][-+]?\d+)?\s*", x):
+            return "number"
+        if re.fullmatch(r"-?\d+(\|-?\d+)+", x):
+            return "numbers"
+        return "place" if re.fullmatch(r".*-\d+@\d+", x) else "text"
+    parts = {_shape(y) for y in (x if isinstance(x, list) else x.values()) if not isinstance(y, (list, dict, type(None)))}
+    return {frozenset(["number"]): "numbers", frozenset(["text"]): "names", frozenset(["text", "number"]): "place"}.get(frozenset(parts), "")
+
+
+def _kept(record: dict) -> tuple:
+    return tuple([(k, _kept(x) if type(x) is dict else type(x)) for k, x in record.items() if x is not None])
+
+
+def _named(record: dict, path: str, skip: tuple = ()) -> list:
+    found = []
+    for k, x in record.items():
+        if x is not None and k not in skip:
+            below = f"{path}.{k}" if path else k
+            found.append([below, _shape(x)])
+            if type(x) is dict:
+                found += _named(x, below)
+    return found
+
+
+def _records(value) -> Iterator[tuple[str, dict]]:
+    """(path, record) of all entries, positions and chunks."""
+    for e in value if type(value) is list else [value]:
+        if type(e) is not dict:
+            continue
+        yield ENTRY, {k: x for k, x in e.items() if k not in (AGGREGATIONS, POSITION)}
+        positions, ops = e.get(POSITION), e.get(AGGREGATIONS)
+        for p in positions if type(positions) is list else ():
+            if type(p) is dict:
+                yield POSITION, p
+        for o in ops if type(ops) is list else ():
+            for sides in o.values() if type(o) is dict else ():
+                for name in ("added", "removed") if type(sides) is dict else ():
+                    chunks = sides.get(name)
+                    for c in chunks if type(chunks) is list else ():
+                        if type(c) is dict:
+                            yield CHUNK, c
+
+
+def _contents(batches: Iterator) -> Iterator:
+    """Rows of ``_footers`` and, as (tab, shard, file_no, names, '#' and the path, n), how many records hold just these names."""
+    import pyarrow as pa
+
+    seen: dict[tuple, set] = {}
+    records: Counter = Counter()
+    example: dict[tuple, str] = {}
+    for batch in batches:
+        tab, shard, file_no, text = (c.to_pylist() for c in batch.columns)
+        for t, s, f, x in zip(tab, shard, file_no, text):
+            found: set = {("", "")}
+            try:
+                value = _whole(x)
+                if type(value) is dict or type(value) is list:
+                    _fields(value, "", found)
+                    for path, record in _records(value):
+                        key = (t, s, f, path, _kept(record))
+                        records[key] += 1
+                        if key not in example:
+                            example[key] = json.dumps(sorted(_named(record, path)))
+            except (ValueError, RecursionError):
+                continue
+            seen.setdefault((t, s, f), set()).update(found)
+    rows = [(*file, *field, 0) for file, fields in seen.items() for field in fields]
+    rows += [(*key[:3], example[key], RECORD + key[3], n) for key, n in records.items()]
+    types = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int64()]
+    for i in range(0, len(rows), 10_000):
+        cols = zip(*rows[i : i + 10_000])
+        yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(cols, types)], ["tab", "shard", "file_no", "path", "kind", "n"])
+
+
+def _texts(diffs: DataFrame, revisions: DataFrame) -> DataFrame:
     texts = diffs.select(F.lit("ot_diffs").alias("tab"), "shard", "file_no", F.col("diff").alias("text")).unionByName(
         revisions.select(F.lit("ot_revisions").alias("tab"), "shard", "file_no", F.col("snapshot").alias("text"))
     )
-    raw = texts.where("text IS NOT NULL AND text <> ''").mapInArrow(_footers, FOOTER)
+    return texts.where("text IS NOT NULL AND text <> ''")
+
+
+def footers(diffs: DataFrame, revisions: DataFrame) -> DataFrame:
+    """(tab, shard, file_no, path, types) of all files; ``types`` is the sorted set, joined by '|'."""
+    return _footer(_texts(diffs, revisions).mapInArrow(_footers, FOOTER))
+
+
+def _footer(raw: DataFrame) -> DataFrame:
     return raw.groupBy("tab", "shard", "file_no", "path").agg(F.array_join(F.array_sort(F.collect_set("kind")), "|").alias("types"))
 
 
@@ -164,19 +260,39 @@ class Alias:
     path: str
     canonical: str
     types: str
+    values: int
 
 
-def alias_table(footer: DataFrame, change_log: DataFrame) -> list[Alias]:
-    """Every spelling of a field with its canonical path.
+#: Fields with a column and a cast of their own; two of them are never one field.
+CHUNK_COLUMNS = {"id": "chunk_id", "min": "min_key", "max": "max_key", "count": "row_count", "measures": "measures", "sealed": "sealed", "tier": "tier", "bytes": "bytes"}
+POSITION_COLUMNS = ("log", "from", "to", "lag")
+_OWN = {f"{CHUNK}.{n}" for n in CHUNK_COLUMNS} | {f"{POSITION}.{n}" for n in POSITION_COLUMNS}
 
-    Renames lead to the older name. Where several fields under one parent change at once, the
-    catalogue says removed and added; a removed and an added field of one producer and file are
-    still the same field if it moved one level deeper or higher under its name, or if one name
-    holds the other ('max' and 'max_key') and the types agree. The older of two names is the
-    one seen in the earliest file, then the one in more files.
+
+def roll_outs(records: DataFrame) -> DataFrame:
+    """(old, new, files) of names that take turns: a name that starts in a producer while every record that lacks it still has the old one.
+
+    ``records`` are (tab, shard, file_no, below, names, n). The old name must be in at least half
+    of the records of the file before, and both together in as great a part (up to a twentieth)
+    of the first file of the new one. The old name may stay in that file, and later, or be gone.
     """
-    all_types = F.array_distinct(F.flatten(F.collect_set(F.split("types", r"\|"))))
-    spellings = footer.where("path <> ''").groupBy("path").agg(F.min("file_no").alias("first"), F.count("*").alias("files"), F.array_join(F.array_sort(all_types), "|").alias("types"))
+    where = ["tab", "shard", "below"]
+    numbered = records.withColumn("no", F.dense_rank().over(Window.partitionBy(*where).orderBy("file_no")))
+    total = numbered.groupBy(*where, "no").agg(F.sum("n").alias("total"))
+    held = numbered.select(*where, "no", "n", F.explode("names").alias("path")).groupBy(*where, "no", "path").agg(F.sum("n").alias("held"))
+    same = lambda a, b, *cols: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in cols]
+    counted = held.alias("h").join(total.alias("t"), same("h", "t", *where, "no")).select("h.*", "total")
+    first = counted.withColumn("start", F.min("no").over(Window.partitionBy(*where, "path"))).where("no = start AND start > 1")
+    new, old, still = first.withColumn("before", F.col("no") - 1).alias("b"), counted.alias("a"), held.alias("s")
+    turn = new.join(old, [*same("a", "b", *where), F.col("a.no") == F.col("b.before"), F.col("a.path") != F.col("b.path")])
+    turn = turn.join(still, [*same("s", "b", *where, "no"), F.col("s.path") == F.col("a.path")], "left")
+    both = F.coalesce("s.held", F.lit(0)) + F.col("b.held")
+    whole = (F.col("a.held") * 2 >= F.col("a.total")) & (both <= F.col("b.total")) & (both * F.col("a.total") * 20 >= F.col("a.held") * F.col("b.total") * 19)
+    return turn.where(whole).groupBy(F.col("a.path").alias("old"), F.col("b.path").alias("new")).agg(F.count("*").alias("files"))
+
+
+def _links(footer: DataFrame, change_log: DataFrame) -> list[tuple[str, str]]:
+    """Names that follow each other in one file, by the change log."""
     split = [F.substring_index("path", ".", -1).alias("leaf"), F.expr("left(path, length(path) - length(substring_index(path, '.', -1)))").alias("parent")]
     gone = change_log.where("change = 'removed'").select("tab", "shard", "file_no", "path", "types", *split).alias("g")
     come = change_log.where("change = 'added'").select("tab", "shard", "file_no", "path", "types", *split).alias("c")
@@ -184,26 +300,73 @@ def alias_table(footer: DataFrame, change_log: DataFrame) -> list[Alias]:
     moved = F.expr("g.leaf = c.leaf AND (startswith(c.parent, g.parent) OR startswith(g.parent, c.parent))")
     alike = F.expr("g.parent = c.parent AND g.types = c.types AND (contains(c.leaf, g.leaf) OR contains(g.leaf, c.leaf))")
     moves = gone.join(come, same_file).where(moved | alike).select(F.col("g.path").alias("old"), F.col("c.path").alias("new"))
-    links = change_log.where("change = 'renamed'").select(F.col("path").alias("old"), F.col("new_path").alias("new")).unionByName(moves).distinct().collect()
-    seen = {r["path"]: r for r in spellings.collect()}
-    parent = {p: p for p in seen}
+    links = change_log.where("change = 'renamed'").select(F.col("path").alias("old"), F.col("new_path").alias("new")).unionByName(moves).distinct()
+    return sorted((r["old"], r["new"]) for r in links.collect())
 
-    def top(p: str) -> str:
-        while parent[p] != p:
-            p = parent[p]
-        return p
-
-    older = lambda p: (seen[p]["first"], -seen[p]["files"], p)
-    for link in links:
-        a, b = sorted((top(link["old"]), top(link["new"])), key=older)
-        parent[b] = a
-    return [Alias(p, top(p), seen[p]["types"]) for p in sorted(seen)]
 
+def alias_table(footer: DataFrame, change_log: DataFrame, records: DataFrame) -> list[Alias]:
+    """Every spelling of a field with its canonical path.
 
-def _leaves(aliases: list[Alias], canonical: str, below: str) -> list[str]:
-    """Paths, relative to ``below``, of all spellings of ``canonical``; the canonical one first."""
-    own = [a.path for a in aliases if a.canonical == canonical and a.path.startswith(below + ".")]
-    return [p[len(below) + 1 :] for p in sorted(own, key=lambda p: (p != canonical, p))]
+    Renames lead to the older name. Where several fields under one parent change at once, the
+    catalogue says removed and added; a removed and an added field of one producer and file are
+    still the same field if it moved one level deeper or higher under its name, or if one name
+    holds the other ('max' and 'max_key') and the types agree. Names that take turns from record
+    to record (``roll_outs``) are one field if their values have one shape, however written; of
+    several old names the one with the same or a like name counts, then the only one, else none.
+    Names that one record holds together are never one field. The older of two names is the one
+    seen in the earliest file, then the one in more files.
+    """
+    all_types = F.array_distinct(F.flatten(F.collect_set(F.split("types", r"\|"))))
+    spellings = footer.where("path <> ''").groupBy("path").agg(F.min("file_no").alias("first"), F.count("*").alias("files"), F.array_join(F.array_sort(all_types), "|").alias("types"))
+    seen = {r["path"]: r for r in spellings.collect()}
+    shapes: dict[str, set] = {}
+    values: Counter = Counter()
+    for r in records.select("n", F.explode("fields").alias("f")).groupBy("f.name").agg(F.sum("n").alias("n"), F.collect_set("f.shape").alias("shapes")).collect():
+        values[r["name"]] = r["n"]
+        shapes[r["name"]] = {"names" if x == "text" else x for x in r["shapes"]} - {""}
+    pairs = records.select(F.explode("names").alias("a"), "names").select("a", F.explode("names").alias("b")).where("a < b").distinct().collect()
+    together = {(r["a"], r["b"]) for r in pairs}
+    turns = roll_outs(records.select("tab", "shard", "file_no", "below", "names", "n")).collect()
+    group = {p: {p} for p in seen}
+
+    def apart(a: str, b: str) -> bool:
+        return any((min(x, y), max(x, y)) in together or x in _OWN and y in _OWN for x in group[a] for y in group[b])
+
+    def link(a: str, b: str) -> None:
+        if group[a] is not group[b] and not apart(a, b):
+            both = group[a] | group[b]
+            for p in both:
+                group[p] = both
+
+    for old, new in _links(footer, change_log):
+        link(old, new)
+    parted = lambda p: p.rpartition(".")[::2]
+
+    def likeness(old: str, new: str) -> int:
+        (a, x), (b, y) = parted(old), parted(new)
+        if x == y:
+            return 2 if a.startswith(b) or b.startswith(a) else 0
+        return 1 if a == b and (x in y or y in x) else 0
+
+    possible = {(r["old"], r["new"]): r["files"] for r in turns if r["old"] in seen and r["new"] in seen and shapes.get(r["old"], set()) & shapes.get(r["new"], set())}
+    for least in (2, 1):
+        for old, new in sorted(possible, key=lambda k: (-possible[k], k)):
+            if likeness(old, new) == least:
+                link(old, new)
+    left = True
+    while left:  # a link can leave one candidate for another name
+        left = False
+        for old, new in sorted(possible, key=lambda k: (-possible[k], k)):
+            a, b = parted(old)[0], parted(new)[0]
+            if a != b or group[old] is group[new] or apart(old, new):
+                continue
+            olds = {min(group[x]) for x, y in possible if y in group[new] and x not in group[new] and parted(x)[0] == a and not apart(x, y)}
+            rivals = {y for x, y in possible if x in group[old] and (min(y, new), max(y, new)) in together and parted(y)[0] == a and not apart(x, y)}
+            if len(olds) == 1 and not rivals:
+                link(old, new)
+                left = True
+    older = lambda p: (seen[p]["first"], -seen[p]["files"], p)
+    return [Alias(p, min(group[p], key=older), seen[p]["types"], values[p]) for p in sorted(seen)]
 
 
 def _first_of(record: str, leaves: list[str]) -> str:
@@ -215,9 +378,74 @@ def _first_of(record: str, leaves: list[str]) -> str:
     return f"coalesce({', '.join(gets)})" if gets else "CAST(NULL AS STRING)"
 
 
-def _heads(leaves: dict[str, list[str]], always: str) -> list[str]:
+def _heads(leaves: list[list[str]], always: str) -> list[str]:
     """The fields to read: first names of all spellings."""
-    return sorted({always} | {x.partition(".")[0] for own in leaves.values() for x in own})
+    return sorted({always} | {x.partition(".")[0] for own in leaves for x in own})
+
+
+def _level(path: str) -> str | None:
+    """The record that a path is a field of; None for the lists that hold the records."""
+    if path.startswith(CHUNK + "."):
+        return CHUNK
+    if path.startswith(POSITION + "."):
+        return POSITION
+    return None if path in (POSITION, AGGREGATIONS) or path.startswith(AGGREGATIONS + ".") else ENTRY
+
+
+def _columns(aliases: list[Alias], below: str, own: Sequence[str]) -> tuple[dict[str, list[str]], dict[str, tuple[str, list[str], str]]]:
+    """The spellings of the fields with a cast of their own, by field, and (name, spellings, types) of all others, by a number.
+
+    An object whose spellings are always objects is read as the fields in it; the fields in any
+    other object belong to its value.
+    """
+    at = f"{below}." if below else ""
+    mine = [a for a in aliases if _level(a.path) == below]
+    groups: dict[str, list[Alias]] = {}
+    for a in mine:
+        groups.setdefault(a.canonical, []).append(a)
+    of = {a.path: a.canonical for a in mine}
+    special = {of[at + n]: n for n in own if at + n in of}
+
+    def value(canonical: str) -> bool:
+        return canonical in special or any(a.types != "object" for a in groups[canonical])
+
+    def inside(path: str) -> bool:
+        above = [path[:i] for i in range(len(at), len(path)) if path[i] == "."]
+        return any(a in of and value(of[a]) for a in above)
+
+    def spelled(canonical: str) -> list[str]:
+        return [a.path[len(at) :] for a in sorted(groups[canonical], key=lambda a: (a.path != canonical, a.path))]
+
+    found = {n: spelled(of[at + n]) if at + n in of else [] for n in own}
+    rest = {}
+    for canonical, spellings in groups.items():
+        has_fields = any(p.startswith(f"{a.path}.") for a in spellings for p in of)
+        if canonical in special or all(inside(a.path) for a in spellings) or has_fields and not value(canonical):
+            continue
+        types = "|".join(sorted({t for a in spellings for t in a.types.split("|")}))
+        rest[f"x{len(rest)}"] = (canonical[len(at) :].replace(".", "_"), spelled(canonical), types)
+    return found, rest
+
+
+def _by_types(name: str, types: str) -> Column:
+    """The value of a field without a cast of its own: BIGINT, DOUBLE or BOOLEAN if all its values are, else the text it has."""
+    text = F.col(name)
+    if types == "int":
+        return text.try_cast("bigint")
+    if types in ("double", "double|int"):
+        return text.try_cast("double")
+    return text.try_cast("boolean") if types == "boolean" else text
+
+
+def _others(rest: dict[str, tuple[str, list[str], str]], taken: Sequence[str]) -> list[Column]:
+    """Columns of the fields without a cast of their own, under names that aren't taken."""
+    names, out = {t.lower() for t in taken}, []
+    for key, (name, _, types) in rest.items():
+        while name.lower() in names:
+            name += "_"
+        names.add(name.lower())
+        out.append(_by_types(f"t_{key}", types).alias(name))
+    return out
 
 
 def as_number(name: str) -> Column:
@@ -266,22 +494,44 @@ def _sources(diffs: DataFrame, revisions: DataFrame) -> list[tuple[DataFrame, st
 
 
 def _catalogue(diffs: DataFrame, revisions: DataFrame) -> list[Alias]:
-    footer = cut(footers(diffs, revisions), "footers")
-    return alias_table(footer, cut(changes(footer), "changes"))
+    raw = cut(_texts(diffs, revisions).mapInArrow(_contents, FOOTER + ", n bigint"), "contents")
+    footer = cut(_footer(raw.where(~F.startswith("kind", F.lit(RECORD)))), "footers")
+    per_file = raw.where(F.startswith("kind", F.lit(RECORD))).groupBy("tab", "shard", "file_no", "kind", "path").agg(F.sum("n").alias("n"))
+    fields = F.from_json("path", "array<array<string>>")
+    named = F.transform(fields, lambda f: F.struct(f[0].alias("name"), f[1].alias("shape")))
+    records = per_file.select("tab", "shard", "file_no", F.col("kind").alias("below"), "n", named.alias("fields")).withColumn("names", F.col("fields.name"))
+    return alias_table(footer, cut(changes(footer), "changes"), cut(records, "records"))
+
+
+def spellings(diffs: DataFrame, revisions: DataFrame) -> DataFrame:
+    """(path, canonical, types, n_values, is_linked): every spelling of a field of an entry, position or chunk.
+
+    ``n_values`` counts the records that hold it; ``is_linked`` says that other spellings share its canonical path.
+    """
+    aliases = [a for a in _catalogue(diffs, revisions) if _level(a.path) is not None]
+    sizes = Counter(a.canonical for a in aliases)
+    rows = [(a.path, a.canonical, a.types, a.values, sizes[a.canonical] > 1) for a in aliases]
+    return diffs.sparkSession.createDataFrame(rows, "path string, canonical string, types string, n_values bigint, is_linked boolean")
+
+
+def _spelled(record: str, own: dict[str, list[str]], rest: dict[str, tuple[str, list[str], str]]) -> tuple[list[list[str]], str]:
+    """All spellings of all fields, and the SQL that reads each field of a record under ``t_`` and its name."""
+    leaves = own | {key: spelled for key, (_, spelled, _) in rest.items()}
+    return list(leaves.values()), ", ".join(f"{_first_of(record, x)} AS t_{n}" for n, x in leaves.items())
 
 
 def consistent_chunks(diffs: DataFrame, revisions: DataFrame) -> DataFrame:
-    """All chunks of all files under the oldest names, cast to one type each."""
-    aliases = _catalogue(diffs, revisions)
-    leaves = {n: _leaves(aliases, f"{CHUNK}.{n}", CHUNK) for n in ("id", "min", "max", "count", "measures", "sealed", "tier", "bytes")}
+    """All chunks of all files under the oldest names, cast to one type each, with every field that any file has."""
+    own, _ = _columns(_catalogue(diffs, revisions), CHUNK, list(CHUNK_COLUMNS))
+    leaves, found = _spelled("c.x", own, {})
     schema = flatten.commit_schema(_heads(leaves, "id"))
-    found = ", ".join(f"{_first_of('c.x', own)} AS t_{n}" for n, own in leaves.items())
     side = lambda name: f"transform({flatten._list(f'm.value.{name}')}, c -> struct(e.i AS entry_no, o.i AS op_no, m.key AS aggregation, '{name}' AS action, c.i AS chunk_no, {found}))"
     rows = f"flatten(transform({flatten._list('entries')}, e -> flatten(transform({flatten._list('e.x.ops')}, o -> flatten(transform(map_entries(o.x), m -> concat({side('added')}, {side('removed')})))))))"
     parts = [flatten.parsed(df, text, keys, schema).selectExpr(*keys, f"inline({rows})") for df, text, keys in _sources(diffs, revisions)]
     texts = parts[0].unionByName(parts[1])
+    kept = [c for c in texts.columns if not c.startswith("t_")]
     return texts.select(
-        *[c for c in texts.columns if not c.startswith("t_")],
+        *kept,
         as_number("t_id").alias("chunk_id"), list_of_numbers("t_min").alias("min_key"), list_of_numbers("t_max").alias("max_key"),
         as_number("t_count").alias("row_count"), list_of_names("t_measures").alias("measures"),
         F.expr("try_cast(t_sealed AS BOOLEAN)").alias("sealed"), F.expr("try_cast(t_tier AS INT)").alias("tier"), as_number("t_bytes").alias("bytes"),
@@ -289,18 +539,19 @@ def consistent_chunks(diffs: DataFrame, revisions: DataFrame) -> DataFrame:
 
 
 def consistent_positions(diffs: DataFrame, revisions: DataFrame) -> DataFrame:
-    """All log positions of all files under the oldest names, with from and to as (file, rem, pos)."""
-    aliases = _catalogue(diffs, revisions)
-    leaves = {n: _leaves(aliases, f"positions.{n}", "positions") for n in ("log", "from", "to", "lag")}
+    """All log positions of all files under the oldest names, with from and to as (file, rem, pos), with every field that any file has."""
+    own, _ = _columns(_catalogue(diffs, revisions), POSITION, POSITION_COLUMNS)
+    leaves, found = _spelled("p.x", own, {})
     schema = flatten.commit_schema(["id"], _heads(leaves, "log"))
-    found = ", ".join(f"{_first_of('p.x', own)} AS t_{n}" for n, own in leaves.items())
     rows = f"flatten(transform({flatten._list('entries')}, e -> transform({flatten._list('e.x.positions')}, p -> struct(e.i AS entry_no, p.i AS position_no, {found}))))"
     parts = [flatten.parsed(df, text, keys, schema).selectExpr(*keys, f"inline({rows})") for df, text, keys in _sources(diffs, revisions)]
     texts = parts[0].unionByName(parts[1])
-    place = texts.select("*", log_place("t_from").alias("f"), log_place("t_to").alias("t"))
+    kept = [c for c in texts.columns if not c.startswith("t_")]
+    places = ["from_file", "from_rem", "from_pos", "to_file", "to_rem", "to_pos"]
+    place = texts.select("*", log_place("t_from").alias("t_f"), log_place("t_to").alias("t_t"))
     return place.select(
-        *[c for c in texts.columns if not c.startswith("t_")], F.col("t_log").alias("log"),
-        F.col("f.file").alias("from_file"), F.col("f.rem").alias("from_rem"), F.col("f.pos").alias("from_pos"),
-        F.col("t.file").alias("to_file"), F.col("t.rem").alias("to_rem"), F.col("t.pos").alias("to_pos"),
+        *kept, F.col("t_log").alias("log"),
+        F.col("t_f.file").alias("from_file"), F.col("t_f.rem").alias("from_rem"), F.col("t_f.pos").alias("from_pos"),
+        F.col("t_t.file").alias("to_file"), F.col("t_t.rem").alias("to_rem"), F.col("t_t.pos").alias("to_pos"),
         F.expr("try_cast(t_lag AS INT)").alias("lag"),
     )

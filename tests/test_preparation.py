@@ -1,6 +1,7 @@
 """Problems 1 to 6 against brute force on dirty fixtures, and their edge cases."""
 
 import datetime
+import json
 
 import pytest
 
@@ -43,6 +44,35 @@ def test_p1_consistent_tables(data):
     assert drift.consistent_positions(d, r).where("to_pos IS NULL").count() == 0
 
 
+def drifting(spark, files):
+    """Tables in which file i of shard 1 holds the entries ``files[i]``, one text each."""
+    texts = [(100 * i + k, 0, json.dumps([e]), "r", 1, i, 100 * i + k, cs.START, "t", "p", 1) for i, entries in enumerate(files, 1) for k, e in enumerate(entries)]
+    return spark.createDataFrame(texts, cs.DIFFS), spark.createDataFrame([], cs.REVISIONS)
+
+
+def with_chunks(*chunks, **fields):
+    return [{**fields, "positions": [], "ops": [{"a": {"added": [c]}}]} for c in chunks]
+
+
+def test_p1_links_roll_outs_and_retyped_renames(spark):
+    old, new = {"id": 1, "min": [1], "max": [5], "count": 3}, {"id": 2, "bounds": {"min": [2], "max": [6]}, "rows": "4"}
+    half = {"id": 3, "min": [3], "max_key": [7], "rows": "8"}
+    d, r = drifting(spark, [with_chunks(old, old), with_chunks({**old, "count": None, "rows": "3"}), with_chunks({**half, "max": [5], "max_key": None}, {**half}), with_chunks({**half}, {**half, "min": None, "max_key": None, "bounds": {"min": [2], "max": [6]}}), with_chunks({**new})])
+    got = drift.consistent_chunks(d, r)
+    assert got.where("min_key IS NULL OR max_key IS NULL OR row_count IS NULL").count() == 0
+    names = {x.path: (x.canonical, x.n_values, x.is_linked) for x in drift.spellings(d, r).collect()}
+    chunk = "ops.*.chunk."
+    assert names[chunk + "max_key"] == (chunk + "max", 2, True) and names[chunk + "rows"] == (chunk + "count", 6, True)
+    assert names[chunk + "bounds.min"] == (chunk + "min", 2, True) and names[chunk + "bounds.max"] == (chunk + "max", 2, True)
+
+
+def test_p1_names_held_together_or_that_could_be_two_fields_are_not_linked(spark):
+    old = {"id": 1, "min": [1], "max": [5], "size": 1}
+    d, r = drifting(spark, [with_chunks(old), with_chunks({"id": 2, "lo": [1], "hi": [5], "tier": 2}), with_chunks({**old, "tier": 4})])
+    names = {x.path: (x.canonical, x.is_linked) for x in drift.spellings(d, r).collect()}
+    assert not any(names["ops.*.chunk." + n][1] for n in ("lo", "hi", "min", "max", "tier", "size"))
+
+
 def test_p1_casts(spark):
     texts = [('["f",1,2]',), ('{"file":"f","rem":1,"pos":2}',), ("f-1@2",), (None,)]
     got = spark.createDataFrame(texts, "x string").select(drift.log_place("x").alias("p")).collect()
