@@ -522,8 +522,8 @@ def _spelled(record: str, own: dict[str, list[str]], rest: dict[str, tuple[str,
 
 def consistent_chunks(diffs: DataFrame, revisions: DataFrame) -> DataFrame:
     """All chunks of all files under the oldest names, cast to one type each, with every field that any file has."""
-    own, _ = _columns(_catalogue(diffs, revisions), CHUNK, list(CHUNK_COLUMNS))
-    leaves, found = _spelled("c.x", own, {})
+    own, rest = _columns(_catalogue(diffs, revisions), CHUNK, list(CHUNK_COLUMNS))
+    leaves, found = _spelled("c.x", own, rest)
     schema = flatten.commit_schema(_heads(leaves, "id"))
     side = lambda name: f"transform({flatten._list(f'm.value.{name}')}, c -> struct(e.i AS entry_no, o.i AS op_no, m.key AS aggregation, '{name}' AS action, c.i AS chunk_no, {found}))"
     rows = f"flatten(transform({flatten._list('entries')}, e -> flatten(transform({flatten._list('e.x.ops')}, o -> flatten(transform(map_entries(o.x), m -> concat({side('added')}, {side('removed')})))))))"
@@ -535,13 +535,14 @@ def consistent_chunks(diffs: DataFrame, revisions: DataFrame) -> DataFrame:
         as_number("t_id").alias("chunk_id"), list_of_numbers("t_min").alias("min_key"), list_of_numbers("t_max").alias("max_key"),
         as_number("t_count").alias("row_count"), list_of_names("t_measures").alias("measures"),
         F.expr("try_cast(t_sealed AS BOOLEAN)").alias("sealed"), F.expr("try_cast(t_tier AS INT)").alias("tier"), as_number("t_bytes").alias("bytes"),
+        *_others(rest, [*kept, *CHUNK_COLUMNS.values()]),
     )
 
 
 def consistent_positions(diffs: DataFrame, revisions: DataFrame) -> DataFrame:
     """All log positions of all files under the oldest names, with from and to as (file, rem, pos), with every field that any file has."""
-    own, _ = _columns(_catalogue(diffs, revisions), POSITION, POSITION_COLUMNS)
-    leaves, found = _spelled("p.x", own, {})
+    own, rest = _columns(_catalogue(diffs, revisions), POSITION, POSITION_COLUMNS)
+    leaves, found = _spelled("p.x", own, rest)
     schema = flatten.commit_schema(["id"], _heads(leaves, "log"))
     rows = f"flatten(transform({flatten._list('entries')}, e -> transform({flatten._list('e.x.positions')}, p -> struct(e.i AS entry_no, p.i AS position_no, {found}))))"
     parts = [flatten.parsed(df, text, keys, schema).selectExpr(*keys, f"inline({rows})") for df, text, keys in _sources(diffs, revisions)]
@@ -553,5 +554,5 @@ def consistent_positions(diffs: DataFrame, revisions: DataFrame) -> DataFrame:
         *kept, F.col("t_log").alias("log"),
         F.col("t_f.file").alias("from_file"), F.col("t_f.rem").alias("from_rem"), F.col("t_f.pos").alias("from_pos"),
         F.col("t_t.file").alias("to_file"), F.col("t_t.rem").alias("to_rem"), F.col("t_t.pos").alias("to_pos"),
-        F.expr("try_cast(t_lag AS INT)").alias("lag"),
+        F.expr("try_cast(t_lag AS INT)").alias("lag"), *_others(rest, [*kept, "log", "lag", *places]),
     )

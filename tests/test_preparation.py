@@ -73,6 +73,18 @@ def test_p1_names_held_together_or_that_could_be_two_fields_are_not_linked(spark
     assert not any(names["ops.*.chunk." + n][1] for n in ("lo", "hi", "min", "max", "tier", "size"))
 
 
+def test_p1_fields_without_a_cast_of_their_own_have_columns(spark):
+    first = with_chunks({"id": 1, "min": [1], "max": [2], "count": 1})
+    for e in first:
+        e["positions"] = [{"log": "a", "from": ["f", 0, 1], "to": {"file": "f", "rem": 0, "pos": 2}, "shift": 1.5}]
+    second = with_chunks({"id": 2, "min": [1], "max": [2], "count": 1, "codec": "z", "cold": True, "row_count": 9, "extra": {"a": 1, "b": [1, "x"]}})
+    d, r = drifting(spark, [first, second])
+    got = drift.consistent_chunks(d, r).orderBy("chunk_id").collect()
+    assert [(x.codec, x.cold, x.row_count, x.row_count_, x.extra_a, x.extra_b) for x in got] == [(None, None, 1, None, None, None), ("z", True, 1, 9, 1, '[1,"x"]')]
+    place = drift.consistent_positions(d, r)
+    assert place.first()["shift"] == 1.5 and place.first()["to_pos"] == 2 and place.columns[-1] == "shift"
+
+
 def test_p1_casts(spark):
     texts = [('["f",1,2]',), ('{"file":"f","rem":1,"pos":2}',), ("f-1@2",), (None,)]
     got = spark.createDataFrame(texts, "x string").select(drift.log_place("x").alias("p")).collect()
