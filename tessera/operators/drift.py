@@ -520,6 +520,20 @@ def _spelled(record: str, own: dict[str, list[str]], rest: dict[str, tuple[str,
     return list(leaves.values()), ", ".join(f"{_first_of(record, x)} AS t_{n}" for n, x in leaves.items())
 
 
+def consistent_entries(diffs: DataFrame, revisions: DataFrame) -> DataFrame:
+    """All entries of all files, with every field but their positions and ops, of which they have the numbers."""
+    _, rest = _columns(_catalogue(diffs, revisions), ENTRY, ())
+    leaves, found = _spelled("e.x", {}, rest)
+    fields = sorted({x.partition(".")[0] for own in leaves for x in own})
+    schema = "array<struct<" + "".join(f"`{f}`:string," for f in fields) + "positions:array<string>,ops:array<string>>>"
+    numbers = "coalesce(size(e.x.positions), 0) AS n_positions, coalesce(size(e.x.ops), 0) AS n_ops"
+    rows = f"transform({flatten._list('entries')}, e -> struct(e.i AS entry_no, {numbers}{', ' + found if found else ''}))"
+    parts = [flatten.parsed(df, text, keys, schema).selectExpr(*keys, f"inline({rows})") for df, text, keys in _sources(diffs, revisions)]
+    texts = parts[0].unionByName(parts[1])
+    kept = [c for c in texts.columns if not c.startswith("t_")]
+    return texts.select(*kept, *_others(rest, kept))
+
+
 def consistent_chunks(diffs: DataFrame, revisions: DataFrame) -> DataFrame:
     """All chunks of all files under the oldest names, cast to one type each, with every field that any file has."""
     own, rest = _columns(_catalogue(diffs, revisions), CHUNK, list(CHUNK_COLUMNS))

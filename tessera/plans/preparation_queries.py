@@ -54,6 +54,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_found": _both(drift.found_changes),
         "p1_lifespans": _both(_lifespans),
         "p1_spellings": _both(drift.spellings),
+        "p1_entries": _both(drift.consistent_entries),
         "p1_chunks": _both(drift.consistent_chunks),
         "p1_positions": _both(drift.consistent_positions),
         "p2_found": lambda spark, d: changefeed.live_chunks(table(spark, d, "ot_diffs")),

@@ -85,6 +85,15 @@ def test_p1_fields_without_a_cast_of_their_own_have_columns(spark):
     assert place.first()["shift"] == 1.5 and place.first()["to_pos"] == 2 and place.columns[-1] == "shift"
 
 
+def test_p1_entries_with_their_fields(data, spark):
+    d, r = drifting(spark, [with_chunks({"id": 1}), with_chunks({"id": 2}, note="n", meta={"slot": 3, "ver": "1"}, epoch=7)])
+    got = drift.consistent_entries(d, r).orderBy("file_no")
+    assert [(x.entry_no, x.n_positions, x.n_ops, x.note, x.meta_slot, x.meta_ver, x.epoch) for x in got.collect()] == [(0, 0, 1, None, None, None, None), (0, 0, 1, "n", 3, "1", 7)]
+    diffs, revisions, d, r = data
+    values = [v for ok, v in map(cs.readable, [x[2] for x in diffs] + [x[3] for x in revisions]) if ok]
+    assert drift.consistent_entries(d, r).count() == sum(1 if isinstance(v, dict) else len(v) if isinstance(v, list) else 0 for v in values)
+
+
 def test_p1_casts(spark):
     texts = [('["f",1,2]',), ('{"file":"f","rem":1,"pos":2}',), ("f-1@2",), (None,)]
     got = spark.createDataFrame(texts, "x string").select(drift.log_place("x").alias("p")).collect()
