@@ -37,7 +37,8 @@ def commit_schema(chunk_fields: Sequence[str], position_fields: Sequence[str] =
 
 def parsed(df: DataFrame, text: str, keep: Mapping[str, Column], schema: str) -> DataFrame:
     """The columns in ``keep`` and ``entries``, the readable text of each row in ``schema``."""
-    entries = F.from_json("__payload", schema)
+    payload = F.col("__payload")  # Spark takes a bare entry for a list of one only where entries are structs
+    entries = F.from_json(F.when(payload.rlike(r"^\s*\{"), F.concat(F.lit("["), payload, F.lit("]"))).otherwise(payload) if schema.startswith("array<map") else payload, schema)
     return (
         df.select(*[c.alias(n) for n, c in keep.items()], readable_payload(F.col(text)).alias("__payload"))
         .where(F.col("__payload").isNotNull())
@@ -90,6 +91,44 @@ def chunks_table(nested: DataFrame, keys: Sequence[str], fields: Sequence[str] =
     return nested.selectExpr(*keys, f"inline({rows})")
 
 
+_RECORD = "map<string,string>"
+
+
+def _rest(record: str, named: Sequence[str]) -> str:
+    """SQL for the JSON text of the fields of a record, read as a map of texts, that have no column; NULL if there are none."""
+    left = f"map_filter({record}, (k, v) -> k NOT IN ({', '.join(repr(n) for n in named)}) AND v IS NOT NULL)"
+    return f"if(size({left}) > 0, to_json({left}), NULL)"
+
+
+def whole_entries(df: DataFrame, text: str, keep: Mapping[str, Column]) -> DataFrame:
+    """One row per entry, as ``entries_table``, and ``rest``: all its other fields as a JSON text, values as the texts they have."""
+    rows = f"""transform({_list('entries')}, e -> struct(e.i AS entry_no, coalesce(json_array_length(e.x['positions']), 0) AS n_positions,
+        coalesce(json_array_length(e.x['ops']), 0) AS n_ops, {_rest('e.x', ('positions', 'ops'))} AS rest))"""
+    return parsed(df, text, keep, f"array<{_RECORD}>").selectExpr(*keep, f"inline({rows})")
+
+
+def whole_positions(df: DataFrame, text: str, keep: Mapping[str, Column]) -> DataFrame:
+    """One row per position, as ``positions_table``, and ``rest``: the fields under any other name as a JSON text."""
+    cols = ", ".join(f"p.x['{f}'] AS `{f}`" for f in POSITION_FIELDS)
+    rows = f"""flatten(transform({_list('entries')}, e ->
+        transform({_list('e.x.positions')}, p -> struct(e.i AS entry_no, p.i AS position_no, {cols}, {_rest('p.x', POSITION_FIELDS)} AS rest))))"""
+    return parsed(df, text, keep, f"array<struct<positions:array<{_RECORD}>>>").selectExpr(*keep, f"inline({rows})")
+
+
+def whole_chunks(df: DataFrame, text: str, keep: Mapping[str, Column]) -> DataFrame:
+    """One row per chunk, as ``chunks_table``, its ``id`` as written, and ``rest``: the fields under any other name as a JSON text."""
+    cols = ", ".join(f"c.x['{f}'] AS `{f}`" for f in CHUNK_FIELDS)
+
+    def side(name: str) -> str:
+        return f"""transform({_list(f'm.value.{name}')}, c -> struct(e.i AS entry_no, o.i AS op_no, m.key AS aggregation, '{name}' AS action, c.i AS chunk_no,
+            try_cast(try_cast(c.x['id'] AS DECIMAL(38,6)) AS BIGINT) AS chunk_id, {cols}, {_rest('c.x', CHUNK_FIELDS)} AS rest))"""
+
+    rows = f"""flatten(transform({_list('entries')}, e -> flatten(transform({_list('e.x.ops')}, o ->
+        flatten(transform(map_entries(o.x), m -> concat({side('added')}, {side('removed')})))))))"""
+    schema = f"array<struct<ops:array<map<string,struct<added:array<{_RECORD}>,removed:array<{_RECORD}>>>>>>"
+    return parsed(df, text, keep, schema).selectExpr(*keep, f"inline({rows})")
+
+
 def reference_or_zero(parent: str = "parent_id") -> Column:
     """``ref`` of a link row: its parent, or 0 where NULL, zero or negative means none."""
     return F.when(F.col(parent) > 0, F.col(parent)).otherwise(F.lit(0)).cast("long")

@@ -40,6 +40,16 @@ def _flat(make: Callable, positions: bool) -> Callable:
     return op
 
 
+def _whole(make: Callable) -> Callable:
+    """A flat table of both sources with every field of its records."""
+
+    def op(diffs: DataFrame, revisions: DataFrame) -> DataFrame:
+        seq = {"feed_seq": F.col("feed_seq")}
+        return make(diffs, "diff", flatten.diff_keys() | seq).unionByName(make(revisions, "snapshot", flatten.snapshot_keys() | seq))
+
+    return op
+
+
 def _orphans(op: Callable) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, d: op(*(table(spark, d, t) for t in ("ot_diffs", "ot_revisions", "ot_revisions_backup")))
 
@@ -66,7 +76,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p5_descendants": _descendants,
         "p6_found": _both(flatten.chunks_found),
         "p6_entries": _both(_flat(flatten.entries_table, True)),
-        "p6_positions": _both(_flat(flatten.positions_table, True)),
+        "p6_entry_fields": _both(_whole(flatten.whole_entries)),
+        "p6_positions": _both(_whole(flatten.whole_positions)),
+        "p6_chunks": _both(_whole(flatten.whole_chunks)),
         "p6_operations": _both(_flat(flatten.operations_table, False)),
     }
 

@@ -264,6 +264,17 @@ def test_p6_places_and_nulls(spark):
     assert [tuple(r) for r in flatten.operations_table(nested, ["k"]).collect()] == [(1, 1, 1, "b", 4, 0)]
 
 
+def test_p6_tables_hold_every_field(spark):
+    text = '[{"note":"n","meta":{"ver":"1"},"positions":[{"log":"a","upto":["f",0,2],"lag":3},{"log":"b","from":[1],"to":[2]}],"ops":[{"a":{"added":[{"id":"x","n":5,"min":[1]},null],"removed":[{"id":7}]}}]}]'
+    df = spark.createDataFrame([(1, text)], "k long, t string")
+    keep = {"k": F.col("k")}
+    assert [tuple(r) for r in flatten.whole_entries(df, "t", keep).collect()] == [(1, 0, 2, 1, '{"note":"n","meta":"{\\"ver\\":\\"1\\"}"}')]
+    bare = spark.createDataFrame([(1, ' {"note":"n","ops":[]}')], "k long, t string")
+    assert [tuple(r) for r in flatten.whole_entries(bare, "t", keep).collect()] == [(1, 0, 0, 0, '{"note":"n"}')]
+    assert {tuple(r) for r in flatten.whole_positions(df, "t", keep).collect()} == {(1, 0, 0, "a", None, None, '{"upto":"[\\"f\\",0,2]","lag":"3"}'), (1, 0, 1, "b", "[1]", "[2]", None)}
+    assert {tuple(r) for r in flatten.whole_chunks(df, "t", keep).collect()} == {(1, 0, 0, "a", "added", 0, None, "x", "[1]", None, None, None, '{"n":"5"}'), (1, 0, 0, "a", "removed", 0, 7, "7", None, None, None, None, None)}
+
+
 def test_p6_very_long_text(spark):
     long = "[" + ",".join('{"positions":[],"ops":[{"daily":{"added":[{"id":%d}]}}]}' % i for i in range(20_000)) + "]"
     df = spark.createDataFrame([(1, long)], "k long, t string")
