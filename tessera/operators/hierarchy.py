@@ -20,7 +20,7 @@ root; an empty table has no nodes; extra columns aren't read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.session import cut, discard
@@ -110,11 +110,39 @@ def hierarchy(links: DataFrame, with_path: bool = False) -> DataFrame:
 
 def closure(links: DataFrame) -> DataFrame:
     """(ancestor, id, distance): each node with all its descendants in trees, itself not included."""
-    nodes = resolve(links, with_path=True).nodes.where("depth > 0")
+    return _pairs(resolve(links, with_path=True).nodes)
+
+
+def _pairs(nodes: DataFrame) -> DataFrame:
+    nodes = nodes.where("depth > 0")
     above = F.posexplode(F.concat(F.array("root"), "segment")).alias("place", "ancestor")
     return nodes.select("id", "depth", above).where("place < depth").select("ancestor", "id", (F.col("depth") - F.col("place")).alias("distance"))
 
 
+def descendants(links: DataFrame) -> DataFrame:
+    """(ancestor, id, distance): each node with all its descendants, itself not included, on and below circles too.
+
+    Descendants of a node on a circle are the others on it and all that hangs below the circle;
+    ``distance`` is the least number of links. A node that is its own parent has no pair with itself.
+    """
+    found = resolve(links, with_path=True)
+    trees = _pairs(found.nodes)
+    if found.stuck is None:
+        return trees
+    on = cut(circles(found.stuck), "circles")
+    hanging = found.stuck.join(on.select("id"), "id", "left_anti").unionByName(on.select("id", F.lit(None).cast("long").alias("parent")))
+    below = cut(resolve(hanging, with_path=True).nodes, "below")
+    # the circle is cut above its smallest id, which makes it a chain: places along it give the distances
+    chain = found.stuck.join(on, "id").select("id", "smallest", F.expr("if(id = smallest, NULL, parent)").alias("parent"))
+    placed = resolve(chain.select("id", "parent")).nodes.select("id", F.col("root").alias("circle"), F.col("depth").alias("place"))
+    placed = cut(placed.withColumn("size", F.count("*").over(Window.partitionBy("circle"))), "places")
+    a, b = placed.alias("a"), placed.alias("b")
+    around = a.join(b, F.col("a.circle") == F.col("b.circle")).where("a.id <> b.id").select(F.col("a.id").alias("ancestor"), F.col("b.id").alias("id"), F.expr("pmod(b.place - a.place, a.size)").alias("distance"))
+    tails = below.where("depth > 0").select("id", "root", "depth").alias("t")
+    over = around.alias("r").join(tails, F.col("r.id") == F.col("t.root")).select("r.ancestor", F.col("t.id").alias("id"), (F.col("r.distance") + F.col("t.depth")).alias("distance"))
+    return trees.unionByName(_pairs(below)).unionByName(around).unionByName(over)
+
+
 def contradictions(diffs: DataFrame, revisions: DataFrame) -> DataFrame:
     """Nodes on and below circles, and nodes whose level isn't the root's level plus their depth."""
     h = hierarchy(parent_links(diffs))

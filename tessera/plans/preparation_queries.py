@@ -74,6 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p5_found": _both(hierarchy.contradictions),
         "p5_hierarchy": lambda spark, d: hierarchy.hierarchy(hierarchy.parent_links(table(spark, d, "ot_diffs")), with_path=True).withColumnRenamed("id", "revision_id").withColumnRenamed("root", "root_id"),
         "p5_descendants": _descendants,
+        "p5_closure": lambda spark, d: hierarchy.descendants(hierarchy.parent_links(table(spark, d, "ot_diffs"))),
         "p6_found": _both(flatten.chunks_found),
         "p6_entries": _both(_flat(flatten.entries_table, True)),
         "p6_entry_fields": _both(_whole(flatten.whole_entries)),

@@ -241,6 +241,18 @@ def test_p5_shapes(spark):
     assert (1, 6, 5) in pairs and (4, 6, 2) in pairs and len(pairs) == 1 + 2 + 3 + 4 + 5
 
 
+def test_p5_descendants_on_and_below_circles(spark):
+    links = [(2, 1), (3, 2), (9, 9), (10, 9), (20, 21), (21, 22), (22, 20), (30, 22), (31, 30)]
+    df = spark.createDataFrame(links, "revision_id long, parent_id long")
+    parent, want = dict(links), set()
+    for node in parent:
+        at, far = parent.get(node), 1
+        while at is not None and far <= len(links):
+            want |= {(at, node, far)} if at != node and not any(w[:2] == (at, node) for w in want) else set()
+            at, far = parent.get(at), far + 1
+    assert rows(hierarchy.descendants(hierarchy.parent_links(df))) == want
+
+
 def test_p5_long_chain_with_a_hub(spark):
     links = [(i, i - 1) for i in range(2, 300)] + [(1000 + i, 299) for i in range(200)] + [(2, None)]
     df = spark.createDataFrame(links, "revision_id long, parent_id long")
