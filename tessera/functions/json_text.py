@@ -33,6 +33,6 @@ def is_whole_json(text: Column) -> Column:
 def readable_payload(text: Column) -> Column:
     """The JSON value that ``text`` is, or that the one JSON string in it holds; NULL if unreadable."""
     held = F.get_json_object(F.concat(F.lit("["), text, F.lit("]")), "$[0]")
-    quoted = F.ltrim(F.regexp_replace(F.substring(text, 1, 64), r"^[\t\r\n ]+", "")).startswith('"')
+    quoted = text.rlike(r'^[\t\r\n ]*+"')
     inner = F.when(is_whole_json(held) & ~held.rlike(r'^\s*"'), held)
     return F.when(is_whole_json(text), F.when(quoted, inner).otherwise(text))

@@ -287,6 +287,12 @@ def test_p6_tables_hold_every_field(spark):
     assert {tuple(r) for r in flatten.whole_chunks(df, "t", keep).collect()} == {(1, 0, 0, "a", "added", 0, None, "x", "[1]", None, None, None, '{"n":"5"}'), (1, 0, 0, "a", "removed", 0, 7, "7", None, None, None, None, None)}
 
 
+def test_p6_quoted_text_after_many_blanks(spark):
+    text = "\t\r\n " * 50 + json.dumps('[{"ops":[{"a":{"added":[{"id":7}]}}]}]')
+    nested = flatten.parsed(spark.createDataFrame([(1, text)], "k long, t string"), "t", {"k": F.col("k")}, flatten.commit_schema(["id"]))
+    assert [r.chunk_id for r in flatten.chunks_table(nested, ["k"], ["id"]).collect()] == [7]
+
+
 def test_p6_very_long_text(spark):
     long = "[" + ",".join('{"positions":[],"ops":[{"daily":{"added":[{"id":%d}]}}]}' % i for i in range(20_000)) + "]"
     df = spark.createDataFrame([(1, long)], "k long, t string")
