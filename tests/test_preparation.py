@@ -7,6 +7,7 @@ import pytest
 
 import commit_store as cs
 from tessera.operators import changefeed, drift, flatten, hierarchy, ledger, orphans
+from tessera import session, versions
 from tessera.session import cut
 from pyspark.sql import functions as F
 
@@ -176,27 +177,71 @@ def test_p4_one_run_at_a_time_equals_the_replay(data, spark):
         files = spark.createDataFrame([(f, run) for f in range(seen + 1, last + 1)], "file_no int, run_id int")
         moved = cut(ledger.progress(r, files, state=state))
         got |= {(x.run_id, x.id) for x in moved.where("changed").collect()}
-        state, seen = cut(ledger.advance(state, moved)), max(seen, last)
+        merged = state.unionByName(moved.select("id", "version")).groupBy("id").agg(F.max("version").alias("version"))
+        state, seen = cut(merged), max(seen, last)
     assert got == cs.p4(revisions, log)
 
 
-def test_p4_runs_that_die_and_writers_that_come_late(data, spark, tmp_path):
+@pytest.mark.parametrize("layers", [1, 8])
+def test_p4_runs_that_die_and_writers_that_come_late(data, spark, tmp_path, layers):
     _, revisions, _, r = data
-    runner = ledger.IncrementalRunner(spark, f"file://{tmp_path}/inc", lease_seconds=10)
+    runner = ledger.IncrementalRunner(spark, f"file://{tmp_path}/inc", lease_seconds=10, max_layers=layers)
     with pytest.raises(LookupError):
         runner.changed()
     assert runner.run("w1", 1, r, [1, 2], 0) == 2
-    token, taken = runner.begin("w2", [1, 2, 3], 100)  # writes everything, then dies
+    token, taken = runner.begin("w2", [1, 2, 3], 100)  # publishes everything, then dies
     assert taken == ["3"]
-    late = runner.work(2, r, token, taken)
+    late = runner.work(2, r, token, taken, 100)
     assert runner.run("w3", 3, r, [1, 2, 3], 105) == 0  # its lease still holds
     assert runner.run("w4", 4, r, [1, 2, 3], 111) == 1  # taken over, from the state of run 1
+    assert runner.ledger.results()[-1]["moved"] == late["moved"]  # the same path: what was there is taken as it is
     with pytest.raises(ledger.StaleWriter):
         runner.finish(token, taken, late, 112)
+    with pytest.raises(ledger.StaleWriter):  # refused before it writes anything
+        runner.work(2, r, token, taken, 112)
     assert runner.run("w5", 5, r, [1, 2, 3], 200) == 0
     assert runner.run("w6", 6, r, range(1, 7), 300) == 3
     log = [(1, 2, "ok"), (2, 3, "killed"), (4, 3, "ok"), (5, 3, "ok"), (6, 6, "ok")]
     assert rows(runner.changed()) == cs.p4(revisions, log)
+    runner.cleanup()
+    assert rows(runner.changed()) == cs.p4(revisions, log)
+
+
+def test_p4_two_live_runs_on_different_files(data, spark, tmp_path):
+    _, revisions, _, r = data
+    runner = ledger.IncrementalRunner(spark, f"file://{tmp_path}/inc")
+    assert runner.run("w1", 1, r, [1, 2], 0) == 2
+    a, files_a = runner.begin("a", [3], 1)
+    b, files_b = runner.begin("b", [3, 4], 2)
+    assert (files_a, files_b) == (["3"], ["4"])
+    from_a, from_b = runner.work(2, r, a, files_a, 3), runner.work(3, r, b, files_b, 3)
+    runner.finish(a, files_a, from_a, 4)
+    with pytest.raises(ledger.StaleWriter):  # it doesn't know what a did
+        runner.finish(b, files_b, from_b, 5)
+    runner.finish(b, files_b, runner.work(3, r, b, files_b, 6), 7)
+    assert runner.run("w4", 4, r, range(1, 7), 8) == 2
+    log = [(1, 2, "ok"), (2, 3, "ok"), (3, 4, "ok"), (4, 6, "ok")]
+    assert rows(runner.changed()) == cs.p4(revisions, log)
+
+
+def test_p4_replay_goes_on_where_it_died(data, spark, tmp_path, monkeypatch):
+    _, revisions, _, r = data
+    log, runs = runs_table(spark)
+    root = f"file://{tmp_path}/runs"
+    real, calls = ledger.WorkLedger.complete, []
+
+    def dies(self, token, names, now, result=None, after=None):
+        if self.versions.path and len(calls) == 1:
+            raise OSError("lost")
+        calls.extend([1] if self.versions.path else [])
+        real(self, token, names, now, result, after)
+
+    monkeypatch.setattr(ledger.WorkLedger, "complete", dies)
+    with pytest.raises(OSError):
+        ledger.changed_ids(r, runs, root)
+    monkeypatch.setattr(ledger.WorkLedger, "complete", real)
+    for _ in range(2):
+        assert rows(ledger.changed_ids(r, runs, root)) == cs.p4(revisions, log)
 
 
 @pytest.mark.parametrize("kept", [False, True])
@@ -212,15 +257,44 @@ def test_p4_ledger(spark, tmp_path, kept):
     assert taken == ["b", "c"] and two > one
     with pytest.raises(ledger.StaleWriter):
         led.complete(one, ["b"], 12)
+    with pytest.raises(ledger.StaleWriter):
+        led.check(one, ["b"], 12)
+    led.check(two, ["b"], 12)
     led.release(two, ["c"], 12)
     led.complete(two, ["b"], 12)
     assert {i.item: i.state for i in led.items()} == {"a": "done", "b": "done", "c": "pending"}
     with pytest.raises(ledger.StaleWriter):
         led.complete(two, ["c"], 12)
-    version, token, items = led._load()
-    led._swap(version, token, items)
-    with pytest.raises(ledger.StaleWriter):  # two writers of one version: the second loses
-        led._swap(version, token, items)
+
+
+def test_versions(spark, tmp_path):
+    v = versions.Versions(spark, f"file://{tmp_path}/v", kept=3)
+    assert v.latest() == (0, None)
+    (tmp_path / "v").mkdir()
+    (tmp_path / "v" / ".000000000001-x").write_text('{"n')  # a writer that died
+    for n in range(1, 7):
+        v.add(n, {"n": n})
+    assert v.numbers() == [4, 5, 6] and v.latest() == (6, {"n": 6})
+    with pytest.raises(versions.Stale):  # two writers of one version: the second loses
+        v.add(6, {"n": 0})
+    with pytest.raises(versions.Stale):  # far behind: its version existed and was pruned
+        v.add(2, {"n": 0})
+    assert v.numbers() == [4, 5, 6] and v.read(6) == {"n": 6}
+    assert v.change(lambda held: {"n": held["n"] + 1}) == (7, {"n": 7})
+    assert v.change(lambda held: None) == (7, {"n": 7})
+
+
+def test_versions_by_rename(spark, tmp_path):
+    """The way taken where there are no hard links."""
+    a, b = tmp_path / "a", tmp_path / "b"
+    for p in (a, b):
+        p.mkdir()
+        (p / "x").write_text(p.name)
+    assert versions.move_new(spark, f"file://{a}", f"file://{tmp_path}/c") and not versions.move_new(spark, f"file://{b}", f"file://{tmp_path}/c")
+    assert (tmp_path / "c" / "x").read_text() == "a" and (b / "x").exists()
+    (tmp_path / "f").write_text("f")
+    as_path = lambda n: session.hadoop_fs(spark, f"file://{tmp_path}/{n}")[1]
+    assert versions._rename_new(spark, as_path("f"), as_path("g")) and not versions._rename_new(spark, as_path("g"), as_path("c/x"))
 
 
 def test_p5_contradictions(data):
