@@ -10,19 +10,21 @@ The same upsert runs twice: over each input partition before the shuffle (a key
 third of all rows leaves at most one state per partition and flush) and over each bucket after
 it. The conditional upsert is associative, commutative and idempotent, which makes that right
 and makes retried tasks harmless. The state is kept by bucket: an application of changes reads and rewrites only the
-buckets that they touch. Bucket results are written by Spark's committer to a staging folder
-and become visible together, by one rename and one exclusively created version file that says
+buckets that they touch. When the state has grown beyond ``STATE_BYTES`` a bucket, the next application
+cuts it into more of them, so a task holds no more however long the feed runs. Bucket results are written by Spark's committer to a staging folder
+and become visible together, by one rename and one version (``tessera.versions``) that says
 where each bucket lies.
 
 Defined results: a change whose key or first sequence column is NULL has no place and is not
-applied; NULL in a later sequence column sorts lowest; changes equal in key and sequence are
+applied; NULL in a later sequence column sorts lowest, below every value; changes equal in key and sequence are
 one change; removing an absent key leaves a tombstone only; an empty feed publishes an empty
 state. Columns other than key, sequence, operation and payload are not read.
 """
 
 from __future__ import annotations
 
-import json
+import time
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,15 +32,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.operators import flatten
-from tessera.session import cut, estimated_bytes, hadoop_fs, new_path
+from tessera.session import cut, discard, estimated_bytes, hadoop_fs, new_path
+from tessera.versions import Stale, Versions, delete, move_new
 
 #: Bytes of input for each bucket, and states that one DuckDB holds before it hands them on.
 BUCKET_BYTES = 64 << 20
+#: Bytes of Parquet that the states of one bucket take before there are more buckets.
+STATE_BYTES = 16 << 20
 FLUSH_STATES = 400_000
 BATCH_ROWS = 100_000
 DUCKDB_MEMORY = "400MB"
 
-_DUCK = {T.LongType: "BIGINT", T.IntegerType: "INTEGER", T.StringType: "VARCHAR", T.DoubleType: "DOUBLE", T.BooleanType: "BOOLEAN"}
+_DUCK = {
+    T.LongType: "BIGINT", T.IntegerType: "INTEGER", T.ShortType: "SMALLINT", T.ByteType: "TINYINT", T.StringType: "VARCHAR", T.DoubleType: "DOUBLE", T.FloatType: "FLOAT",
+    T.BooleanType: "BOOLEAN", T.DateType: "DATE", T.TimestampNTZType: "TIMESTAMP", T.TimestampType: "TIMESTAMPTZ", T.BinaryType: "BLOB",
+}
 
 
 def _upsert_task(schema: T.StructType, key: Sequence[str], seq: Sequence[str], flush: int | None) -> Callable:
@@ -48,13 +56,15 @@ def _upsert_task(schema: T.StructType, key: Sequence[str], seq: Sequence[str], f
     keeps all keys of the bucket to its end, so each key comes out once.
     """
     names = schema.names
+    zero = {f.name: "''" if isinstance(f.dataType, T.StringType) else "0" if isinstance(f.dataType, T.NumericType) else f"CAST('2000-01-01' AS {_DUCK[type(f.dataType)]})" for f in schema if f.name in seq}
     ddl = ", ".join(f'"{f.name}" {_DUCK[type(f.dataType)]}' for f in schema)
     keys, all_cols = ", ".join(f'"{k}"' for k in key), ", ".join(f'"{n}"' for n in names)
-    order = lambda side: "(" + ", ".join(f'{side}"{s}"' for s in seq) + ")"
+    # a NULL of the sequence is a value of its own, below the others
+    order = lambda side: "(" + ", ".join(f"""{side}"{s}" IS NOT NULL, coalesce({side}"{s}", {zero[s]})""" for s in seq) + ")"
     changed = ", ".join(f'"{n}" = excluded."{n}"' for n in names if n not in key)
     upsert = f"""
         INSERT INTO state SELECT {all_cols} FROM batch
-        QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY {", ".join(f'"{s}" DESC' for s in seq)}) = 1
+        QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY {", ".join(f'"{s}" DESC NULLS LAST' for s in seq)}) = 1
         ON CONFLICT ({keys}) DO UPDATE SET {changed} WHERE {order("excluded.")} > {order("state.")}"""
 
     def run(batches: Iterator) -> Iterator:
@@ -96,13 +106,11 @@ def _upsert_task(schema: T.StructType, key: Sequence[str], seq: Sequence[str], f
 
 
 def _ordered(feed: DataFrame, key: Sequence[str], seq: Sequence[str], live: str, payload: Sequence[str]) -> DataFrame:
-    """The columns of the upsert, without rows that have no place, and with NULLs of the order made lowest."""
+    """The columns of the upsert, without rows that have no place."""
     rows = feed.where(F.col(seq[0]).isNotNull())
     for k in key:
         rows = rows.where(F.col(k).isNotNull())
-    kinds = {f.name: f.dataType for f in feed.schema}
-    lowest = lambda s: F.lit("") if isinstance(kinds[s], T.StringType) else F.lit(-(2**31)).cast(kinds[s])
-    return rows.select(*key, *[F.coalesce(F.col(s), lowest(s)).alias(s) for s in seq], live, *payload)
+    return rows.select(*key, *seq, live, *payload)
 
 
 def _default_buckets(feed: DataFrame) -> int:
@@ -117,8 +125,8 @@ def _plain(rows: DataFrame) -> T.StructType:
 def upsert(feed: DataFrame, key: Sequence[str], seq: Sequence[str], live: str = "live", payload: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
     """The newest state of each key of ``feed``, tombstones (``live`` false) included.
 
-    ``seq`` orders the changes of a key, most significant first; NULLs are lowest. Key and
-    sequence columns are BIGINT, INT or STRING.
+    ``seq`` orders the changes of a key, most significant first; NULLs are lowest. Sequence columns
+    are whole numbers, texts, dates or timestamps.
     """
     rows = _ordered(feed, key, seq, live, payload)
     schema = _plain(rows)
@@ -127,23 +135,21 @@ def upsert(feed: DataFrame, key: Sequence[str], seq: Sequence[str], live: str =
     return partial.repartitionById(buckets or _default_buckets(feed), bucket).mapInArrow(_upsert_task(schema, key, seq, None), schema)
 
 
+def _buckets_for(state_bytes: int) -> int:
+    return -(-state_bytes // STATE_BYTES)
+
+
 class BucketedState:
     """The state that a feed of changes leads to, kept by bucket below ``path`` and published by version."""
 
     def __init__(self, spark: SparkSession, path: str, key: Sequence[str], seq: Sequence[str], live: str = "live", payload: Sequence[str] = ()):
         self.spark, self.path, self.key, self.seq, self.live, self.payload = spark, path.rstrip("/"), list(key), list(seq), live, list(payload)
+        self.versions = Versions(spark, f"{self.path}/versions")
 
     def _held(self, version: int | None = None) -> tuple[int, dict]:
         """(version, where the buckets lie): the latest version, or the one asked for."""
-        fs, folder = hadoop_fs(self.spark, f"{self.path}/versions")
-        names = [int(s.getPath().getName()) for s in fs.listStatus(folder)] if fs.exists(folder) else []
-        if not names:
-            return 0, {"buckets": 0, "schema": None, "parts": {}}
-        version = version or max(names)
-        stream = fs.open(hadoop_fs(self.spark, f"{self.path}/versions/{version:09d}")[1])
-        held = json.loads(bytes(stream.readAllBytes()).decode())
-        stream.close()
-        return version, held
+        number, held = (version, self.versions.read(version)) if version else self.versions.latest()
+        return number, held or {"buckets": 0, "schema": None, "parts": {}, "bytes": {}}
 
     def _read(self, held: dict, buckets: Sequence[str]) -> DataFrame:
         schema = T.StructType.fromJson(held["schema"])
@@ -154,37 +160,40 @@ class BucketedState:
     def apply(self, feed: DataFrame, buckets: int | None = None) -> int:
         """Applies changes in any order, repeated or not, and publishes the result; the new version.
 
-        ``buckets`` counts at the first application only. Of two writers of one version one fails
-        and leaves no trace.
+        ``buckets`` is the number to begin with. Later ones follow the size of the state and of the feed. Of
+        two writers of one version one fails and leaves no trace.
         """
         version, held = self._held()
-        n = held["buckets"] or buckets or _default_buckets(feed)
+        at_least = _buckets_for(sum(held["bytes"].values()))
+        n = max(held["buckets"] or buckets or _default_buckets(feed), at_least)
         rows = _ordered(feed, self.key, self.seq, self.live, self.payload)
         schema = _plain(rows)
         bucket = F.pmod(F.xxhash64(*self.key), F.lit(n)).cast("int")
-        partial = rows.mapInArrow(_upsert_task(schema, self.key, self.seq, FLUSH_STATES), schema)
+        changes = rows.mapInArrow(_upsert_task(schema, self.key, self.seq, FLUSH_STATES), schema)
+        kept, waiting = held["parts"], None
         if held["parts"]:
-            partial = cut(partial, "changes")
-            touched = {str(r[0]) for r in partial.select(bucket).distinct().collect()}  # numbers of buckets
-            partial = partial.unionByName(self._read(held, sorted(touched & held["parts"].keys())))
-        result = partial.repartitionById(n, bucket).mapInArrow(_upsert_task(schema, self.key, self.seq, None), schema)
-        staging = new_path(self.spark, "staging")
+            changes = waiting = cut(changes, "changes")
+            if n != held["buckets"]:  # cut anew: all states move
+                touched, kept = set(held["parts"]), {}
+            else:
+                touched = {str(r[0]) for r in changes.select(bucket).distinct().collect()} & held["parts"].keys()  # numbers of buckets
+            changes = changes.unionByName(self._read(held, sorted(touched)))
+        result = changes.repartitionById(n, bucket).mapInArrow(_upsert_task(schema, self.key, self.seq, None), schema)
+        name = uuid.uuid4().hex[:16]
+        staging = f"{self.path}/.staging/{name}"
         result.withColumn("bucket", bucket).write.partitionBy("bucket").parquet(staging)
+        discard(waiting)
         fs, src = hadoop_fs(self.spark, staging)
-        folder = f"data-{staging.rsplit('-', 1)[1]}"
-        _, dst = hadoop_fs(self.spark, f"{self.path}/{folder}")
-        _, mark = hadoop_fs(self.spark, f"{self.path}/versions/{version + 1:09d}")
-        new = {s.getPath().getName().split("=")[1]: folder for s in fs.listStatus(src) if "=" in s.getPath().getName()}
-        fs.mkdirs(dst.getParent())
-        if not fs.rename(src, dst):
+        folder = f"data-{name}"
+        written = {s.getPath().getName().split("=")[1]: int(fs.getContentSummary(s.getPath()).getLength()) for s in fs.listStatus(src) if "=" in s.getPath().getName()}
+        if not move_new(self.spark, staging, f"{self.path}/{folder}"):
             raise OSError(f"could not move {staging}")
+        sizes = {b: held["bytes"].get(b, 0) for b in kept} | written
         try:
-            out = fs.create(mark, False)  # fails if another writer made this version
-        except Exception:
-            fs.delete(dst, True)
+            self.versions.add(version + 1, {"buckets": n, "schema": schema.jsonValue(), "parts": kept | dict.fromkeys(written, folder), "bytes": sizes})
+        except Stale:
+            delete(self.spark, f"{self.path}/{folder}")
             raise
-        out.write(bytearray(json.dumps({"buckets": n, "schema": schema.jsonValue(), "parts": held["parts"] | new}).encode()))
-        out.close()
         return version + 1
 
     def read(self, version: int | None = None) -> DataFrame:
@@ -194,46 +203,56 @@ class BucketedState:
             raise LookupError("nothing has been applied")
         return self._read(held, sorted(held["parts"]))
 
+    def cleanup(self, keep_versions: int = 1, older_than: float = 3600.0) -> list[str]:
+        """Removes buckets that none of the last versions names and that have lain for ``older_than`` seconds."""
+        numbers = self.versions.numbers()
+        named = {f"{folder}/bucket={b}" for v in numbers[-keep_versions:] for b, folder in self.versions.read(v)["parts"].items()}
+        fs, root = hadoop_fs(self.spark, self.path)
+        gone = []
+        for old in numbers[:-keep_versions]:
+            delete(self.spark, self.versions._name(old))
+        for data in [s for s in fs.listStatus(root) if s.getPath().getName().startswith("data-")]:
+            if data.getModificationTime() / 1000 > time.time() - older_than:
+                continue
+            parts = [s.getPath() for s in fs.listStatus(data.getPath()) if "=" in s.getPath().getName()]
+            unnamed = [p for p in parts if f"{data.getPath().getName()}/{p.getName()}" not in named]
+            for p in unnamed if len(unnamed) < len(parts) else [data.getPath()]:
+                fs.delete(p, True)
+                gone.append(p.toString())
+        return gone
+
 
 class PublishedTable:
-    """A table whose versions become visible whole: staged, renamed, then named by one new version file."""
+    """A table whose versions become visible whole: staged, renamed, then named by one new version."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
+        self.versions = Versions(spark, f"{self.path}/_versions", kept=None)
 
-    def _versions(self) -> list[int]:
-        fs, p = hadoop_fs(self.spark, f"{self.path}/_versions")
-        return sorted(int(s.getPath().getName()) for s in fs.listStatus(p)) if fs.exists(p) else []
-
-    def publish(self, df: DataFrame) -> int:
+    def publish(self, df: DataFrame, **extra) -> int:
         """Writes ``df`` as the next version; readers see all of it or nothing.
 
-        Of two writers one creates the version file, the other gets an error and leaves no trace.
+        Of two writers one makes the version, the other gets an error and leaves no trace. ``extra``
+        is kept with the version.
         """
-        version = (self._versions() or [0])[-1] + 1
-        staging = new_path(self.spark, "staging")
+        version = self.versions.latest()[0] + 1
+        name = uuid.uuid4().hex[:16]
+        staging = f"{self.path}/.staging/{name}"
         df.write.parquet(staging)
-        fs, src = hadoop_fs(self.spark, staging)
-        _, dst = hadoop_fs(self.spark, f"{self.path}/data-{staging.rsplit('-', 1)[1]}")
-        _, mark = hadoop_fs(self.spark, f"{self.path}/_versions/{version:09d}")
-        fs.mkdirs(dst.getParent())
-        if not fs.rename(src, dst):
+        folder = f"data-{name}"
+        if not move_new(self.spark, staging, f"{self.path}/{folder}"):
             raise OSError(f"could not move {staging}")
         try:
-            out = fs.create(mark, False)  # fails if another writer made this version
-        except Exception:
-            fs.delete(dst, True)
+            self.versions.add(version, {"data": folder, "schema": df.schema.jsonValue()} | extra)
+        except Stale:
+            delete(self.spark, f"{self.path}/{folder}")
             raise
-        out.write(bytearray(json.dumps({"data": dst.getName(), "schema": df.schema.jsonValue()}).encode()))
-        out.close()
         return version
 
     def read(self, version: int | None = None) -> DataFrame:
-        version = version or self._versions()[-1]
-        fs, mark = hadoop_fs(self.spark, f"{self.path}/_versions/{version:09d}")
-        stream = fs.open(mark)
-        held = json.loads(bytes(stream.readAllBytes()).decode())
-        stream.close()
+        held = self.versions.read(version) if version else self.versions.latest()[1]
+        if held is None:
+            raise LookupError("nothing is published")
         return self.spark.read.schema(T.StructType.fromJson(held["schema"])).parquet(f"{self.path}/{held['data']}")
 
 

@@ -110,7 +110,7 @@ class CrdtStore:
             folders = [s.getPath().toString() for s in fs.listStatus(log)]
             if folders:
                 parts.append(self.spark.read.schema(self.schema).parquet(*folders))
-        if self.base._versions():
+        if self.base.versions.numbers():
             parts.append(self.base.read())
         if not parts:
             return self.spark.createDataFrame([], self.schema)

@@ -119,7 +119,7 @@ def test_p2_upsert_order_ties_and_tombstones(spark):
     assert got == {"a": (False, None), "c": (True, "k")}
 
 
-def test_p2_applied_in_parts_out_of_order(data, spark, tmp_path):
+def test_p2_applied_in_parts_out_of_order(data, spark, tmp_path, monkeypatch):
     diffs, _, d, _ = data
     feed = changefeed.chunk_feed(d)
     state = changefeed.BucketedState(spark, f"file://{tmp_path}/s", ["repo", "aggregation", "chunk_id"], ["revision_id", "ref", "entry_no", "op_no", "step"])
@@ -132,6 +132,22 @@ def test_p2_applied_in_parts_out_of_order(data, spark, tmp_path):
     after = state._held()[1]["parts"]
     assert sum(before[b] != after[b] for b in before) <= 1  # only the touched bucket is written anew
     assert live() == cs.p2(diffs)
+    state.cleanup(1, 0)
+    assert live() == cs.p2(diffs) and len(state.versions.numbers()) == 1
+    monkeypatch.setattr(changefeed, "STATE_BYTES", 300)
+    state.apply(feed.limit(3))
+    assert state._held()[1]["buckets"] > 7 and live() == cs.p2(diffs)  # it grew: cut anew
+    state.apply(feed.limit(0))
+    assert live() == cs.p2(diffs)
+
+
+def test_p2_null_is_below_every_value_and_types(spark):
+    import datetime
+
+    at = datetime.datetime(2024, 1, 1)
+    feed = [("a", at, -(2**40), True, b"x"), ("a", at, None, False, b"y"), ("b", at, None, True, b"z"), ("b", None, 1, False, b"q")]
+    df = spark.createDataFrame(feed, "k string, s timestamp_ntz, s2 long, live boolean, v binary")
+    assert {r.k: (r.live, bytes(r.v), r.s2) for r in changefeed.upsert(df.repartition(3), ["k"], ["s", "s2"], payload=["v"]).collect()} == {"a": (True, b"x", -(2**40)), "b": (True, b"z", None)}
 
 
 def test_p2_publish_is_atomic(spark, tmp_path):
