@@ -6,29 +6,33 @@ measures and least and greatest key. A query prunes chunks by key range and by m
 filters, groups and merges. Because all measures are mergeable, chunks may overlap freely and
 late rows simply merge; consolidation rewrites chosen chunks into fewer, disjoint ones.
 
-The manifest is metadata: a row per chunk file, kept as exclusively created JSON versions beside
-the data, so a change of chunks is atomic and of two writers one fails.
+The manifest (``manifest.py``) is metadata, a row per chunk file. Several aggregations may share
+one, as a cube's do; then what is written to them shows together.
 """
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections.abc import Iterable, Mapping, Sequence
-from dataclasses import asdict, dataclass, field, replace
+from dataclasses import dataclass, replace
 from functools import reduce
+from graphlib import CycleError, TopologicalSorter
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.measures import Measure
+from tessera.functions.measures import Measure, merged
+from tessera.operators import chunks as ch
+from tessera.operators.chunks import Chunk, ChunkDiff, CubeDiff, RangeTree  # noqa: F401
+from tessera.operators.manifest import Manifest, single
 from tessera.plans.predicates import FALSE, TRUE, And, Constraint, Leaf, Predicate
 from tessera.session import hadoop_fs
 
 
 @dataclass(frozen=True)
 class Structure:
-    """Keys in order with their types, measures, the predicate of the rows held, and measures no more offered."""
+    """Keys in order with their types, measures, the predicate of the rows held, how many of the first keys
+    a chunk may hold only one value of, and measures no more offered."""
 
     keys: Mapping[str, str]
     measures: Mapping[str, Measure]
@@ -36,45 +40,15 @@ class Structure:
     partition_keys: tuple = ()
     ignored: frozenset = frozenset()
 
+    def __post_init__(self) -> None:
+        if tuple(self.partition_keys) != tuple(self.keys)[: len(self.partition_keys)]:
+            raise ValueError("partition keys are the first keys, in order")
+
     def ddl(self, measures: Iterable[str]) -> str:
         return ", ".join([f"`{k}` {t}" for k, t in self.keys.items()] + [f"`{m}` {self.measures[m].state_type}" for m in measures])
 
-
-@dataclass(frozen=True)
-class Chunk:
-    """One file: its rows, the measures it has, its least and greatest key, the write that made it."""
-
-    file: str
-    rows: int
-    measures: tuple
-    low: tuple
-    high: tuple
-    revision: str = ""
-
-
-@dataclass(frozen=True)
-class ChunkDiff:
-    """Chunks added and removed: the unit of change, with the algebra of diffs."""
-
-    added: frozenset = frozenset()
-    removed: frozenset = frozenset()
-
-    def inverse(self) -> ChunkDiff:
-        return ChunkDiff(self.removed, self.added)
-
-    def then(self, other: ChunkDiff) -> ChunkDiff:
-        """Both in one: what the second removes of the first's additions was never there, and the other way round."""
-        return ChunkDiff((self.added - other.removed) | (other.added - self.removed), (self.removed - other.added) | (other.removed - self.added))
-
-    def empty(self) -> bool:
-        return not self.added and not self.removed
-
-    def conflicts(self, other: ChunkDiff) -> bool:
-        return bool(self.removed & other.removed)
-
-
-def overlaps(a: Chunk, b: Chunk) -> bool:
-    return a.low <= b.high and b.low <= a.high
+    def offered(self) -> set[str]:
+        return set(self.measures) - self.ignored
 
 
 def key_range(predicate: Predicate, keys: Sequence[str]) -> tuple[tuple, tuple]:
@@ -93,53 +67,29 @@ def key_range(predicate: Predicate, keys: Sequence[str]) -> tuple[tuple, tuple]:
     return fixed, fixed
 
 
-class Aggregation:
-    """One pre-aggregation below ``path``."""
+def _plain(values: Iterable) -> tuple:
+    return tuple(v.isoformat() if hasattr(v, "isoformat") else v for v in values)
 
-    def __init__(self, spark: SparkSession, path: str, structure: Structure, max_rows_per_chunk: int = 1_000_000):
-        self.spark, self.path, self.structure, self.max_rows = spark, path.rstrip("/"), structure, max_rows_per_chunk
 
-    # -- manifest -------------------------------------------------------------------------
+#: The column that tells the aggregations of one write apart.
+TARGET = "__target"
 
-    def _version(self) -> int:
-        fs, folder = hadoop_fs(self.spark, f"{self.path}/manifest")
-        return max((int(s.getPath().getName()) for s in fs.listStatus(folder)), default=0) if fs.exists(folder) else 0
 
-    def _read(self, version: int) -> dict:
-        if version == 0:
-            return {"chunks": [], "commits": []}
-        fs, mark = hadoop_fs(self.spark, f"{self.path}/manifest/{version:09d}")
-        stream = fs.open(mark)
-        held = json.loads(bytes(stream.readAllBytes()).decode())
-        stream.close()
-        return held
+class Aggregation:
+    """One pre-aggregation below ``path``; without a shared ``manifest`` it has its own."""
 
-    @staticmethod
-    def _chunk(c: dict) -> Chunk:
-        return Chunk(c["file"], c["rows"], tuple(c["measures"]), tuple(c["low"]), tuple(c["high"]), c["revision"])
+    def __init__(self, spark: SparkSession, path: str, structure: Structure, max_rows_per_chunk: int = 1_000_000, manifest: Manifest | None = None, name: str = "self"):
+        self.spark, self.path, self.structure, self.max_rows, self.name = spark, path.rstrip("/"), structure, max_rows_per_chunk, name
+        self.manifest = manifest or Manifest(spark, f"{self.path}/manifest")
+
+    # -- manifest -------------------------------------------------------------------------
 
     def chunks(self) -> list[Chunk]:
-        return [self._chunk(c) for c in self._read(self._version())["chunks"]]
-
-    def commits(self) -> set[str]:
-        """Names of the commits applied so far."""
-        return set(self._read(self._version())["commits"])
-
-    def commit(self, diff: ChunkDiff, name: str | None = None) -> None:
-        """Applies a diff as the next version; a commit of a name already applied changes nothing."""
-        version = self._version()
-        held = self._read(version)
-        if name is not None and name in held["commits"]:
-            return
-        files = {c.file for c in diff.removed}
-        now = {c["file"] for c in held["chunks"]}
-        if not files <= now:
-            raise ValueError("a removed chunk isn't there: somebody else consolidated it")
-        chunks = [c for c in held["chunks"] if c["file"] not in files] + [asdict(c) for c in sorted(diff.added, key=lambda c: c.file)]
-        fs, mark = hadoop_fs(self.spark, f"{self.path}/manifest/{version + 1:09d}")
-        out = fs.create(mark, False)
-        out.write(bytearray(json.dumps({"chunks": chunks, "commits": held["commits"] + ([name] if name else [])}).encode()))
-        out.close()
+        return self.manifest.chunks(self.name)
+
+    def commit(self, diff: ChunkDiff, commit: str | tuple | None = None) -> bool:
+        """Applies a diff as the next version; a commit already applied changes nothing and gives False."""
+        return self.manifest.commit(single(self.name, diff), commit)
 
     # -- ingest ---------------------------------------------------------------------------
 
@@ -156,33 +106,39 @@ class Aggregation:
         keys = list(self.structure.keys)
         folder = f"{self.path}/data/{uuid.uuid4().hex[:16]}"
         ranged = states.repartitionByRange(partitions, *keys) if partitions else states.repartitionByRange(*keys)
-        ranged.select(*keys, *measures).sortWithinPartitions(*keys).write.option("maxRecordsPerFile", self.max_rows).parquet(folder)
-        written = self.spark.read.schema(self.structure.ddl(measures)).parquet(folder)
+        sorted_rows = ranged.select(*keys, *measures).sortWithinPartitions(*keys)
+        apart = [f"__p_{k}" for k in self.structure.partition_keys]
+        for k, column in zip(self.structure.partition_keys, apart):  # a file ends where one of them changes
+            sorted_rows = sorted_rows.withColumn(column, F.col(k))
+        writer = sorted_rows.write.option("maxRecordsPerFile", self.max_rows)
+        (writer.partitionBy(*apart) if apart else writer).parquet(folder)
+        written = self.spark.read.schema(self.structure.ddl(measures)).option("recursiveFileLookup", "true").parquet(folder)
         per_file = written.groupBy(F.input_file_name().alias("file")).agg(F.count("*").alias("rows"), F.min(F.struct(*keys)).alias("low"), F.max(F.struct(*keys)).alias("high"))
-        plain = lambda r: tuple(v.isoformat() if hasattr(v, "isoformat") else v for v in r)
-        return ChunkDiff(frozenset(Chunk(r["file"], r["rows"], tuple(measures), plain(r["low"]), plain(r["high"]), folder) for r in per_file.collect()))
+        return ChunkDiff(frozenset(Chunk(r["file"], r["rows"], tuple(measures), _plain(r["low"]), _plain(r["high"]), folder) for r in per_file.collect()))
 
-    def consume(self, rows: DataFrame, inputs: Mapping[str, str | None], commit: str | None = None) -> ChunkDiff:
+    def prepare(self, rows: DataFrame, inputs: Mapping[str, str | None]) -> ChunkDiff:
+        """Writes the states of rows; the diff that would show them."""
+        return self.write(self.ingest_states(rows, inputs), [m for m in inputs if m in self.structure.measures])
+
+    def consume(self, rows: DataFrame, inputs: Mapping[str, str | None], commit: str | tuple | None = None) -> ChunkDiff:
         """Ingests rows and commits the chunks; with ``commit`` a repeated batch is taken once."""
-        if commit is not None and commit in self.commits():
+        if commit is not None and self.manifest.sync().has(commit):
             return ChunkDiff()
-        measures = [m for m in inputs if m in self.structure.measures]
-        diff = self.write(self.ingest_states(rows, inputs), measures)
-        self.commit(diff, commit)
-        return diff
+        diff = self.prepare(rows, inputs)
+        if self.commit(diff, commit):
+            return diff
+        discard(self.spark, single(self.name, diff))
+        return ChunkDiff()
 
     # -- query ----------------------------------------------------------------------------
 
     def find_chunks(self, predicate: Predicate, measures: Iterable[str]) -> list[Chunk]:
         """Chunks that may hold rows of the predicate and have one of the measures."""
         wanted, p = set(measures), predicate.simplify()
-        if p == TRUE:
-            low, high = (), ()
-        elif p == FALSE:
+        if p == FALSE:
             return []
-        else:
-            low, high = key_range(p, list(self.structure.keys))
-        return [c for c in self.chunks() if wanted & set(c.measures) and c.high[: len(low)] >= low and c.low[: len(high)] <= high]
+        low, high = ((), ()) if p == TRUE else key_range(p, list(self.structure.keys))
+        return [c for c in self.manifest.index(self.name).get_prefix(low, high) if wanted & set(c.measures)]
 
     def cost(self, predicate: Predicate, measures: Iterable[str]) -> int:
         """The number of chunks that a query would read."""
@@ -203,96 +159,51 @@ class Aggregation:
 
     def query(self, keys: Sequence[str], measures: Sequence[str], predicate: Predicate = TRUE, finish: bool = True) -> DataFrame:
         """Rows of any subset of keys, filtered, with merged measures; ``finish`` turns states to values."""
-        offered = [m for m in measures if m in self.structure.measures and m not in self.structure.ignored]
+        offered = [m for m in measures if m in self.structure.offered()]
         p = predicate.simplify()
         rows = self.states(self.find_chunks(p, offered), offered).where(p.column(F.col, [*self.structure.keys, *offered]))
-        out = rows.groupBy(*keys).agg(*[self.structure.measures[m].merge(F.col(m)).alias(m) for m in offered])
+        out = merged(rows, keys, {m: self.structure.measures[m] for m in offered})
         return out.select(*keys, *[self.structure.measures[m].finish(F.col(m)).alias(m) for m in offered]) if finish else out
 
     # -- consolidation --------------------------------------------------------------------
 
     def pick_min_key(self, max_chunks: int = 1000, target_rows: int | None = None) -> list[Chunk]:
-        """Overlapping chunks from the least key on; if none overlap, small neighbours that fit into one."""
-        target = target_rows or self.max_rows
-        ordered = sorted(self.chunks(), key=lambda c: (c.low, c.high, c.file))
-        groups: list[list[Chunk]] = []
-        for c in ordered:
-            if groups and any(overlaps(c, g) for g in groups[-1]):
-                groups[-1].append(c)
-            else:
-                groups.append([c])
-        for g in groups:
-            if len(g) > 1:
-                return g[:max_chunks]
-        small: list[Chunk] = []
-        for c in ordered:
-            if small and sum(x.rows for x in small) + c.rows > target:
-                if len(small) > 1:
-                    break
-                small = []
-            if c.rows < target:
-                small.append(c)
-        return small[:max_chunks] if len(small) > 1 else []
+        """What to consolidate at the least key: chunks over several partitions, overlaps, or a wrong size."""
+        return ch.pick_min_key(self.chunks(), max_chunks, target_rows or self.max_rows, len(self.structure.partition_keys))[1]
 
     def pick_hot_segment(self, max_chunks: int = 1000) -> list[Chunk]:
         """The chunks at the key that most chunks cover, with what they overlap as far as ``max_chunks`` goes."""
-        edges = sorted([(c.low, 0, c.file) for c in self.chunks()] + [(c.high, 1, c.file) for c in self.chunks()])
-        live: set[str] = set()
-        best: set[str] = set()
-        for _, end, file in edges:
-            if end:
-                live.discard(file)
-            else:
-                live.add(file)
-                if len(live) > len(best):
-                    best = set(live)
-        if len(best) < 2:
-            return []
-        by_file = {c.file: c for c in self.chunks()}
-        picked = [by_file[f] for f in sorted(best)][:max_chunks]
-        for c in sorted(by_file.values(), key=lambda c: (c.low, c.file)):
-            if len(picked) < max_chunks and c not in picked and any(overlaps(c, p) for p in picked):
-                picked.append(c)
-        return picked
+        return ch.pick_hot_segment(self.chunks(), max_chunks)[1]
 
-    def consolidate(self, picked: Sequence[Chunk]) -> ChunkDiff:
-        """Merges chosen chunks into fewer ones and commits the exchange."""
+    def prepare_consolidation(self, picked: Sequence[Chunk]) -> ChunkDiff:
+        """Merges chosen chunks into fewer ones; the diff that would exchange them."""
         if not picked:
             return ChunkDiff()
         measures = [m for m in self.structure.measures if m not in self.structure.ignored and any(m in c.measures for c in picked)]
-        merged = self.states(picked, measures).groupBy(*self.structure.keys).agg(*[self.structure.measures[m].merge(F.col(m)).alias(m) for m in measures])
         rows = sum(c.rows for c in picked)
-        diff = replace(self.write(merged, measures, max(1, -(-rows // self.max_rows))), removed=frozenset(picked))
-        self.commit(diff)
+        states = merged(self.states(picked, measures), list(self.structure.keys), {m: self.structure.measures[m] for m in measures})
+        return replace(self.write(states, measures, max(1, -(-rows // self.max_rows))), removed=frozenset(picked))
+
+    def consolidate(self, picked: Sequence[Chunk]) -> ChunkDiff:
+        """Merges chosen chunks into fewer ones and commits the exchange."""
+        diff = self.prepare_consolidation(picked)
+        if not diff.empty():
+            try:
+                self.commit(diff)
+            except Exception:
+                discard(self.spark, single(self.name, diff))
+                raise
         return diff
 
     def overlap(self) -> int:
         """The most chunks at one key: how much a query has to merge."""
-        live = most = 0
-        for _, end in sorted([(c.low, 0) for c in self.chunks()] + [(c.high, 1) for c in self.chunks()]):
-            live += -1 if end else 1
-            most = max(most, live)
-        return most
+        return ch.overlap(self.chunks())
 
     # -- housekeeping ---------------------------------------------------------------------
 
-    def cleanup(self, keep_versions: int = 1) -> list[str]:
-        """Deletes the manifests before the last ``keep_versions`` and the files that no kept one names."""
-        version = self._version()
-        first = max(1, version - keep_versions + 1)
-        needed = {c["file"] for v in range(first, version + 1) for c in self._read(v)["chunks"]}
-        fs, data = hadoop_fs(self.spark, f"{self.path}/data")
-        gone = []
-        for folder in fs.listStatus(data) if fs.exists(data) else []:
-            for f in fs.listStatus(folder.getPath()):
-                p = f.getPath()
-                names = {n.split("://", 1)[-1].replace("file:", "").lstrip("/") for n in needed}
-                if p.getName().endswith(".parquet") and p.toUri().getPath().lstrip("/") not in names:
-                    fs.delete(p, False)
-                    gone.append(p.toString())
-        for v in range(1, first):
-            fs.delete(hadoop_fs(self.spark, f"{self.path}/manifest/{v:09d}")[1], False)
-        return gone
+    def cleanup(self, freeze_seconds: float = 3600.0, delay_seconds: float = 60.0, extra_snapshots: int = 1) -> list[str]:
+        """Deletes what no kept version needs (``Manifest.clean``); for an aggregation with a manifest of its own."""
+        return self.manifest.clean([f"{self.path}/data"], freeze_seconds, delay_seconds, extra_snapshots)
 
     def missing_files(self) -> list[str]:
         """Chunks of the manifest whose files aren't there."""
@@ -303,41 +214,91 @@ class Aggregation:
                 out.append(c.file)
         return out
 
-    def backup(self, path: str) -> Aggregation:
-        """A copy of the present state at ``path``."""
-        other = Aggregation(self.spark, path, self.structure, self.max_rows)
+    def copy_to(self, other: Aggregation) -> ChunkDiff:
+        """The present chunks written to another aggregation of the same structure; the diff to commit there."""
         by: dict[tuple, list[Chunk]] = {}
         for c in self.chunks():
             by.setdefault(c.measures, []).append(c)
         added: set[Chunk] = set()
         for measures, chunks in by.items():
             added |= other.write(self.states(chunks, list(measures)), list(measures)).added
-        other.commit(ChunkDiff(frozenset(added)))
-        return other
-
+        return ChunkDiff(frozenset(added))
 
-@dataclass
-class RangeTree:
-    """Intervals over ordered keys: which values cover a key or a range."""
-
-    items: list = field(default_factory=list)
-
-    def put(self, low, high, value) -> None:
-        self.items.append((low, high, value))
-
-    def remove(self, low, high, value) -> bool:
-        if (low, high, value) in self.items:
-            self.items.remove((low, high, value))
-            return True
-        return False
-
-    def get(self, key) -> set:
-        return {v for low, high, v in self.items if low <= key <= high}
-
-    def get_range(self, low, high) -> set:
-        return {v for a, b, v in self.items if a <= high and low <= b}
-
-    def get_all(self) -> set:
-        return {v for _, _, v in self.items}
+    def backup(self, path: str) -> Aggregation:
+        """A copy of the present state at ``path``."""
+        other = Aggregation(self.spark, path, self.structure, self.max_rows)
+        other.commit(self.copy_to(other))
+        return other
 
 
+def discard(spark: SparkSession, diff: CubeDiff) -> None:
+    """Deletes chunks that were written and will never show."""
+    for c in diff.added():
+        fs, p = hadoop_fs(spark, c.file)
+        fs.delete(p, False)
+
+
+# -- several aggregations from one pass ---------------------------------------------------------
+
+
+def common_order(orders: Iterable[Sequence[str]]) -> list[str] | None:
+    """An order of all keys that agrees with each of ``orders``; None if there is none."""
+    graph: dict[str, set] = {}
+    for keys in orders:
+        for i, k in enumerate(keys):
+            graph.setdefault(k, set()).update(keys[i - 1 : i] if i else ())
+    try:
+        return list(TopologicalSorter(graph).static_order())
+    except CycleError:
+        return None
+
+
+def prepare_all(rows: DataFrame, targets: Mapping[str, tuple[Aggregation, Mapping[str, str | None]]], path: str) -> CubeDiff:
+    """Writes the states of rows for several aggregations, each with its inputs, in one pass.
+
+    A row becomes one row per aggregation that takes it, with that one's keys and inputs; one
+    aggregation before the shuffle and one after it make the states of all of them, one job writes the chunks and
+    one reads their key ranges. What one aggregation has and another lacks is NULL and costs next to nothing.
+    Aggregations of contrary key orders, and those whose chunks end with a partition, are written by themselves.
+    """
+    names = [n for n, (a, _) in targets.items() if not a.structure.partition_keys]
+    order = common_order([list(targets[n][0].structure.keys) for n in names])
+    if order is None or len(names) < 2:
+        return CubeDiff({n: a.prepare(rows, inputs) for n, (a, inputs) in targets.items()})
+    spark = rows.sparkSession
+    alone = {n: a.prepare(rows, inputs) for n, (a, inputs) in targets.items() if n not in names}
+    types = {k: t for n in names for k, t in targets[n][0].structure.keys.items()}
+    columns = {m: c for n in names for m, c in targets[n][1].items() if m in targets[n][0].structure.measures}
+    held = {m: [i for i, n in enumerate(names) if m in targets[n][1] and m in targets[n][0].structure.measures] for m in columns}
+    measure = {m: targets[names[held[m][0]]][0].structure.measures[m] for m in columns}
+
+    def taken(i: int) -> Column:
+        s = targets[names[i]][0].structure
+        test = s.predicate.simplify().column()
+        for k in s.keys:
+            test = test & F.col(k).isNotNull()
+        own = [(F.col(k).cast(t) if k in s.keys else F.lit(None).cast(t)).alias(k) for k, t in types.items()]
+        return F.when(test, F.struct(F.lit(i).alias(TARGET), *own))
+
+    def value(m: str) -> Column | None:
+        if columns[m] is None or len(held[m]) == len(names):
+            return None if columns[m] is None else F.col(columns[m])
+        return F.when(F.col(TARGET).isin(held[m]), F.col(columns[m]))
+
+    inputs = sorted({c for c in columns.values() if c is not None})
+    spread = rows.select(F.explode(F.array_compact(F.array(*[taken(i) for i in range(len(names))]))).alias("__t"), *[F.col(c).alias(f"__v_{c}") for c in inputs])
+    spread = spread.select("__t.*", *[F.col(f"__v_{c}").alias(c) for c in inputs])
+    states = spread.groupBy(TARGET, *order).agg(*[measure[m].ingest(value(m)).alias(m) for m in columns])
+    folder = f"{path.rstrip('/')}/data/{uuid.uuid4().hex[:16]}"
+    ranged = states.repartitionByRange(TARGET, *order).sortWithinPartitions(TARGET, *order)
+    ranged.write.option("maxRecordsPerFile", min(targets[n][0].max_rows for n in names)).partitionBy(TARGET).parquet(folder)
+    ddl = ", ".join(f"`{k}` {t}" for k, t in types.items())
+    written = spark.read.schema(f"{ddl}, `{TARGET}` int").parquet(folder)
+    keys = lambda n: F.struct(*targets[n][0].structure.keys)
+    bounds = [c for i, n in enumerate(names) for c in (F.min(keys(n)).alias(f"low{i}"), F.max(keys(n)).alias(f"high{i}"))]
+    found: dict[str, set] = {n: set() for n in names}
+    for r in written.groupBy(F.input_file_name().alias("file"), TARGET).agg(F.count("*").alias("rows"), *bounds).collect():
+        i = r[TARGET]
+        own = tuple(m for m in targets[names[i]][1] if m in targets[names[i]][0].structure.measures)
+        found[names[i]].add(Chunk(r["file"], r["rows"], own, _plain(r[f"low{i}"]), _plain(r[f"high{i}"]), folder))
+    return CubeDiff(alone | {n: ChunkDiff(frozenset(cs)) for n, cs in found.items()})

@@ -229,13 +229,13 @@ class PublishedTable:
         self.spark, self.path = spark, path.rstrip("/")
         self.versions = Versions(spark, f"{self.path}/_versions", kept=None)
 
-    def publish(self, df: DataFrame, **extra) -> int:
+    def publish(self, df: DataFrame, after: int | None = None, **extra) -> int:
         """Writes ``df`` as the next version; readers see all of it or nothing.
 
-        Of two writers one makes the version, the other gets an error and leaves no trace. ``extra``
-        is kept with the version.
+        Of two writers one makes the version, the other gets an error and leaves no trace. ``after`` is
+        the version that ``df`` rests on, if it does; ``extra`` is kept with the version.
         """
-        version = self.versions.latest()[0] + 1
+        version = (self.versions.latest()[0] if after is None else after) + 1
         name = uuid.uuid4().hex[:16]
         staging = f"{self.path}/.staging/{name}"
         df.write.parquet(staging)

@@ -7,15 +7,18 @@ Spark combines before the shuffle. Values are read by a second aggregation per k
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.changefeed import PublishedTable
 from tessera.operators.dataset import rendezvous
-from tessera.session import cut
+from tessera.session import cut, discard, hadoop_fs
+from tessera.versions import delete, move_new
 
 
 @dataclass(frozen=True)
@@ -101,25 +104,26 @@ class CrdtStore:
         self.schema = f"{schema}, removed boolean"
         self.base = PublishedTable(spark, f"{self.path}/base")
 
+    def _uploads(self) -> list[str]:
+        """Names of the uploads that are whole."""
+        fs, log = hadoop_fs(self.spark, f"{self.path}/log")
+        return sorted(s.getPath().getName() for s in fs.listStatus(log)) if fs.exists(log) else []
+
     def _rows(self) -> DataFrame:
-        from tessera.session import hadoop_fs
+        """The last base and the uploads that it doesn't hold."""
+        return self._of(self.base.versions.latest()[1])
 
-        fs, log = hadoop_fs(self.spark, f"{self.path}/log")
-        parts = []
-        if fs.exists(log):
-            folders = [s.getPath().toString() for s in fs.listStatus(log)]
-            if folders:
-                parts.append(self.spark.read.schema(self.schema).parquet(*folders))
-        if self.base.versions.numbers():
-            parts.append(self.base.read())
-        if not parts:
-            return self.spark.createDataFrame([], self.schema)
-        return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    def _of(self, held: dict | None) -> DataFrame:
+        fresh = [n for n in self._uploads() if held is None or n not in held["holds"]]
+        parts = [self.spark.read.schema(self.schema).parquet(*[f"{self.path}/log/{n}" for n in fresh])] if fresh else []
+        if held is not None:
+            parts.append(self.spark.read.schema(self.schema).parquet(f"{self.base.path}/{held['data']}"))
+        return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], self.schema)
 
     def _append(self, rows: DataFrame) -> None:
-        import uuid
-
-        rows.write.parquet(f"{self.path}/log/{uuid.uuid4().hex}")
+        name = uuid.uuid4().hex
+        rows.write.parquet(f"{self.path}/.staging/{name}")
+        move_new(self.spark, f"{self.path}/.staging/{name}", f"{self.path}/log/{name}")  # whole from the moment it is there
 
     def upload(self, rows: DataFrame) -> None:
         columns = self.spark.createDataFrame([], self.schema).columns
@@ -136,14 +140,22 @@ class CrdtStore:
         return extract(merged, since, self.ts)
 
     def consolidate(self) -> None:
-        """All states into one table, tombstones dropped; what was read is removed after the table shows."""
-        from tessera.session import hadoop_fs
-
-        fs, log = hadoop_fs(self.spark, f"{self.path}/log")
-        before = [s.getPath() for s in fs.listStatus(log)] if fs.exists(log) else []
-        self.base.publish(self.download().withColumn("removed", F.lit(False)))
-        for p in before:
-            fs.delete(p, True)
+        """All states into one table, tombstones dropped.
+
+        The new base names the uploads that it holds, so none is lost or taken twice, whatever is
+        uploaded meanwhile. An upload's files are deleted by the consolidation after the one that
+        took it in, and so is a base: a reader that began before still finds them. Of two at once one fails.
+        """
+        number, held = self.base.versions.latest()
+        old = held["holds"] if held else []
+        there = self._uploads()
+        merged = live(self._of(held), self.key, {n: F.expr(e) for n, e in self.merges.items()}, self.ts).where(self.keep)
+        self.base.publish(merged.withColumn("removed", F.lit(False)), number, holds=there)
+        for name in old:
+            delete(self.spark, f"{self.path}/log/{name}")
+        if number > 1:
+            before = self.base.versions.read(number - 1)
+            delete(self.spark, f"{self.base.path}/{before['data']}")
 
 
 class CrdtCluster:
@@ -184,3 +196,4 @@ class CrdtCluster:
             if other != name:
                 s.upload(placed.where(F.array_contains("__owners", other)).drop("__owners"))
         store.remove(placed.where(~F.array_contains("__owners", name)).select(*store.key, store.ts))
+        discard(placed)

@@ -17,6 +17,7 @@ from typing import Any
 from pyspark.sql import SparkSession
 
 from tessera.session import hadoop_fs
+from tessera.versions import put_new, read_bytes
 
 
 class Conflict(Exception):
@@ -181,15 +182,13 @@ class TableRepository(Repository):
     def _files(self):
         fs, root = hadoop_fs(self.spark, self.path)
         for s in fs.listStatus(root) if fs.exists(root) else []:
-            stream = fs.open(s.getPath())
-            yield s.getPath().getName().split("-")[0], bytes(stream.readAllBytes()).decode()
-            stream.close()
+            if not s.getPath().getName().startswith("."):
+                yield s.getPath().getName().split("-")[0], read_bytes(self.spark, s.getPath().toString()).decode()
 
     def _create(self, name: str, value: Any, overwrite: bool) -> None:
-        fs, p = hadoop_fs(self.spark, f"{self.path}/{name}")
-        out = fs.create(p, overwrite)
-        out.write(bytearray(json.dumps(value).encode()))
-        out.close()
+        """A whole file; of a snapshot of one commit the first stays, which is the same."""
+        if not put_new(self.spark, f"{self.path}/{name}", json.dumps(value).encode()) and not overwrite:
+            raise FileExistsError(name)
 
     def push(self, *commits: Commit) -> None:
         for c in commits:
@@ -423,15 +422,16 @@ class StateManager:
 
 
 def chunk_system() -> OTSystem:
-    """The algebra of ``aggregation.ChunkDiff``: of two diffs that remove the same chunks, the one that removes more wins."""
-    from tessera.operators.aggregation import ChunkDiff
+    """The algebra of ``chunks.ChunkDiff`` and ``CubeDiff``: of two diffs that remove the same chunks, the one that removes more wins."""
+    from tessera.operators.chunks import ChunkDiff, CubeDiff
 
-    def transform(a: ChunkDiff, b: ChunkDiff) -> tuple[Sequence, Sequence]:
+    def transform(a, b) -> tuple[Sequence, Sequence]:
         if a.conflicts(b):
-            raise Conflict("left" if len(a.removed) >= len(b.removed) else "right")
+            raise Conflict("left" if size(a) >= size(b) else "right")
         return [b], [a]
 
-    return (
-        OTSystem().on_transform(ChunkDiff, ChunkDiff, transform).on_squash(ChunkDiff, ChunkDiff, lambda a, b: a.then(b))
-        .on_invert(ChunkDiff, lambda d: [d.inverse()]).on_empty(ChunkDiff, lambda d: d.empty())
-    )
+    size = lambda d: d.n_removed() if isinstance(d, CubeDiff) else len(d.removed)
+    out = OTSystem()
+    for kind in (ChunkDiff, CubeDiff):
+        out.on_transform(kind, kind, transform).on_squash(kind, kind, lambda a, b: a.then(b)).on_invert(kind, lambda d: [d.inverse()]).on_empty(kind, lambda d: d.empty())
+    return out

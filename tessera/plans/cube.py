@@ -8,6 +8,7 @@ order and page. Nothing is collected while planning.
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any, Protocol
@@ -16,8 +17,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.computed import Computed, stored_needs, with_computed
-from tessera.functions.measures import Measure
-from tessera.operators.aggregation import Aggregation, Structure
+from tessera.functions.measures import Measure, merged
+from tessera.operators.aggregation import Aggregation, Structure, discard, prepare_all
+from tessera.operators.chunks import CubeDiff
+from tessera.operators.manifest import Conflict, Manifest
 from tessera.plans.predicates import FALSE, TRUE, And, Predicate, from_json, implies
 
 METADATA, DATA, DATA_WITH_TOTALS = "METADATA", "DATA", "DATA_WITH_TOTALS"
@@ -78,8 +81,6 @@ class ReloadingAttributes:
     """Reads the dictionary anew when ``seconds`` have passed since it was read."""
 
     def __init__(self, load: Callable[[], DataFrame], seconds: float, clock: Callable[[], float] | None = None):
-        import time
-
         self.load, self.seconds, self.clock = load, seconds, clock or time.monotonic
         self._df: DataFrame | None = None
         self._at = 0.0
@@ -129,12 +130,13 @@ class Cube:
         self.computed, self.parents = dict(computed or {}), dict(parents or {})
         self.attributes: dict[str, tuple[tuple, AttributeResolver]] = {}
         self.aggregations: dict[str, Aggregation] = {}
+        self.manifest = Manifest(spark, f"{self.path}/manifest")  # one for all: loads and consolidations show whole
 
     # -- definition -----------------------------------------------------------------------
 
-    def with_aggregation(self, name: str, dimensions: Sequence[str], measures: Sequence[str], predicate: Predicate = TRUE, ignored: Sequence[str] = (), max_rows_per_chunk: int = 1_000_000) -> Cube:
-        s = Structure({d: self.dimensions[d] for d in dimensions}, {m: self.measures[m] for m in measures}, predicate.simplify(), ignored=frozenset(ignored))
-        self.aggregations[name] = Aggregation(self.spark, f"{self.path}/{name}", s, max_rows_per_chunk)
+    def with_aggregation(self, name: str, dimensions: Sequence[str], measures: Sequence[str], predicate: Predicate = TRUE, ignored: Sequence[str] = (), max_rows_per_chunk: int = 1_000_000, partition_keys: Sequence[str] = ()) -> Cube:
+        s = Structure({d: self.dimensions[d] for d in dimensions}, {m: self.measures[m] for m in measures}, predicate.simplify(), tuple(partition_keys), frozenset(ignored))
+        self.aggregations[name] = Aggregation(self.spark, f"{self.path}/{name}", s, max_rows_per_chunk, self.manifest, name)
         return self
 
     def with_attributes(self, dimension: str, resolver: AttributeResolver, names: Sequence[str]) -> Cube:
@@ -152,20 +154,40 @@ class Cube:
 
     # -- ingest ---------------------------------------------------------------------------
 
-    def consume(self, rows: DataFrame, dimensions: Mapping[str, str], measures: Mapping[str, str | None], data: Predicate = TRUE, commit: str | None = None) -> list[str]:
-        """Feeds every aggregation that the input can fill; returns their names.
+    def prepare(self, rows: DataFrame, dimensions: Mapping[str, str], measures: Mapping[str, str | None], data: Predicate = TRUE) -> CubeDiff:
+        """Writes the chunks of every aggregation that the input can fill, in one pass; the diff that would show them.
 
         ``dimensions`` and ``measures`` map names of the cube to columns. ``data`` describes the
         input and only rules aggregations out; an aggregation's own predicate filters its rows.
         """
         named = rows.select(*[F.col(c).alias(d) for d, c in dimensions.items()], *[F.col(c).alias(f"__in_{m}") for m, c in measures.items() if c is not None])
-        fed = []
+        targets = {}
         for name, a in self.aggregations.items():
-            inputs = {m: None if c is None else f"__in_{m}" for m, c in measures.items() if m in a.structure.measures and m not in a.structure.ignored}
+            inputs = {m: None if c is None else f"__in_{m}" for m, c in measures.items() if m in a.structure.offered()}
             if set(a.structure.keys) <= set(dimensions) and inputs and And((a.structure.predicate, data)).simplify() != FALSE:
-                a.consume(named, inputs, commit)
-                fed.append(name)
-        return fed
+                targets[name] = (a, inputs)
+        return prepare_all(named, targets, self.path)
+
+    def commit(self, diff: CubeDiff, commit: str | tuple | None = None, positions: Mapping[str, tuple] | None = None) -> bool:
+        """Shows a diff, with moves of log positions; False, and its files are deleted, if ``commit`` was applied before or it conflicts (which is raised)."""
+        try:
+            done = self.manifest.commit(diff, commit, positions)
+        except Exception:
+            discard(self.spark, diff)
+            raise
+        if not done:
+            discard(self.spark, diff)
+        return done
+
+    def consume(self, rows: DataFrame, dimensions: Mapping[str, str], measures: Mapping[str, str | None], data: Predicate = TRUE, commit: str | tuple | None = None) -> list[str]:
+        """Feeds every aggregation that the input can fill, all in one commit; returns their names.
+
+        ``commit`` is a name, or (source, number) with rising numbers: what was applied isn't taken again.
+        """
+        if commit is not None and self.manifest.sync().has(commit):
+            return []
+        diff = self.prepare(rows, dimensions, measures, data)
+        return [n for n in self.aggregations if n in diff.parts] if self.commit(diff, commit) else []
 
     # -- planning -------------------------------------------------------------------------
 
@@ -209,11 +231,14 @@ class Cube:
         return out.groupBy(*dimensions).agg(*[F.first(m, ignorenulls=True).alias(m) for m in every])
 
     def raw(self, dimensions: Sequence[str], measures: Sequence[str], where: Predicate = TRUE) -> DataFrame:
-        """Grouped rows of stored measures, neither sorted nor limited."""
+        """Grouped rows of stored measures, neither sorted nor limited; measures that no aggregation offers are left out, and without any there are no rows."""
         where = where.simplify()
-        plan = self.route(set(dimensions), set(measures), where)
-        got = [m for _, takes in plan for m in takes]
-        return self._finish(self.states(list(dimensions), plan, where), list(dimensions), got)
+        with self.manifest.pinned():
+            plan = self.route(set(dimensions), set(measures), where)
+            if not plan:
+                return self.spark.createDataFrame([], ", ".join(f"`{d}` {self.dimensions[d]}" for d in dimensions))
+            got = [m for _, takes in plan for m in takes]
+            return self._finish(self.states(list(dimensions), plan, where), list(dimensions), got)
 
     def _finish(self, states: DataFrame, keys: Sequence[str], measures: Sequence[str]) -> DataFrame:
         return states.select(*keys, *[self.measures[m].finish(F.col(m)).alias(m) for m in measures])
@@ -221,6 +246,11 @@ class Cube:
     # -- query ----------------------------------------------------------------------------
 
     def query(self, q: CubeQuery) -> QueryResult:
+        """The result of a query, planned from one version of all aggregations."""
+        with self.manifest.pinned():
+            return self._query(q)
+
+    def _query(self, q: CubeQuery) -> QueryResult:
         where, having = q.where.simplify(), q.having.simplify()
         keys: list[str] = []
         for a in q.attributes:
@@ -272,12 +302,12 @@ class Cube:
             page = page.limit(q.limit)
         totals = None
         if q.report == DATA_WITH_TOTALS:
-            grand = states.agg(*[self.measures[m].merge(F.col(m)).alias(m) for m in stored]) if stored else self.spark.range(1).select()
+            grand = merged(states, [], {m: self.measures[m] for m in stored}) if stored else self.spark.range(1).select()
             totals = with_computed(self._finish(grand, [], stored), measures, self.computed).select(*measures)
         pinned = where.pinned()
         filter_attributes = {}
         for a, (path, resolver) in self.attributes.items():
-            if set(path) <= set(pinned) and a not in q.attributes:
+            if set(path) <= set(pinned):
                 hit = resolver.table()
                 for d in path:
                     hit = hit.where(F.col(d).eqNullSafe(F.lit(pinned[d])))
@@ -296,28 +326,55 @@ class Cube:
     # -- service --------------------------------------------------------------------------
 
     def consolidate(self, strategy: str = "min_key", max_chunks: int = 1000) -> dict[str, int]:
-        """One consolidation of every aggregation ('min_key' or 'hot_segment'); the number of chunks merged."""
-        out = {}
-        for name, a in self.aggregations.items():
-            picked = a.pick_hot_segment(max_chunks) if strategy == "hot_segment" else a.pick_min_key(max_chunks)
-            a.consolidate(picked)
-            out[name] = len(picked)
-        return out
-
-    def maintain(self, rounds: int = 2) -> None:
-        """Alternates the strategies, as a scheduler does."""
-        for i in range(rounds):
-            self.consolidate("hot_segment" if i % 2 == 0 else "min_key")
+        """One consolidation of every aggregation ('min_key' or 'hot_segment'), shown in one commit; the number of chunks merged."""
+        with self.manifest.pinned():
+            picked = {n: a.pick_hot_segment(max_chunks) if strategy == "hot_segment" else a.pick_min_key(max_chunks) for n, a in self.aggregations.items()}
+        diff = CubeDiff({n: self.aggregations[n].prepare_consolidation(chunks) for n, chunks in picked.items() if chunks})
+        if not diff.empty():
+            self.commit(diff)
+        return {n: len(chunks) for n, chunks in picked.items()}
 
     def too_many_overlaps(self, limit: int = 300) -> bool:
         """Whether ingest should wait for consolidation."""
-        return any(a.overlap() > limit for a in self.aggregations.values())
+        with self.manifest.pinned():
+            return any(a.overlap() > limit for a in self.aggregations.values())
 
-    def cleanup(self, keep_versions: int = 1) -> dict[str, list[str]]:
-        return {n: a.cleanup(keep_versions) for n, a in self.aggregations.items()}
+    def cleanup(self, freeze_seconds: float = 3600.0, delay_seconds: float = 60.0, extra_snapshots: int = 1) -> list[str]:
+        """Deletes the chunks that no kept version needs (``Manifest.clean``)."""
+        return self.manifest.clean([f"{self.path}/data", *[f"{a.path}/data" for a in self.aggregations.values()]], freeze_seconds, delay_seconds, extra_snapshots)
 
     def backup(self, path: str) -> Cube:
+        """A copy of the present state at ``path``, all of it from one version."""
         other = Cube(self.spark, path, self.dimensions, self.measures, self.computed, self.parents)
         other.attributes = self.attributes
-        other.aggregations = {n: a.backup(f"{path.rstrip('/')}/{n}") for n, a in self.aggregations.items()}
+        for n, a in self.aggregations.items():
+            other.aggregations[n] = Aggregation(self.spark, f"{other.path}/{n}", a.structure, a.max_rows, other.manifest, n)
+        with self.manifest.pinned():
+            diff = CubeDiff({n: a.copy_to(other.aggregations[n]) for n, a in self.aggregations.items()})
+        other.commit(diff)
         return other
+
+
+class ConsolidationController:
+    """Alternates the strategies: the hottest keys in one round, the least ones in the next."""
+
+    def __init__(self, cube: Cube, max_chunks: int = 1000):
+        self.cube, self.max_chunks, self.hot = cube, max_chunks, False
+
+    def consolidate(self) -> dict[str, int]:
+        """One round; what another writer removed meanwhile is left to the next round."""
+        self.hot = not self.hot
+        try:
+            return self.cube.consolidate("hot_segment" if self.hot else "min_key", self.max_chunks)
+        except Conflict:
+            self.cube.manifest.reset()
+            return {}
+
+    def run(self, rounds: int, every: float = 0.0, sleep: Callable[[float], None] = time.sleep) -> list[dict[str, int]]:
+        """A schedule of rounds, ``every`` so many seconds."""
+        out = []
+        for i in range(rounds):
+            if i and every:
+                sleep(every)
+            out.append(self.consolidate())
+        return out

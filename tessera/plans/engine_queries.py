@@ -333,9 +333,14 @@ def _(spark, d):
 # -- sort, union, partitioning ------------------------------------------------------------------
 
 
-@query("top_k", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100")
+def _places(page: DataFrame) -> DataFrame:
+    """With the place of each row in an ordered page; a page is one partition, so the places are those it comes out in."""
+    return page.coalesce(1).withColumn("place", F.monotonically_increasing_id() + 1)
+
+
+@query("top_k", "SELECT *, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS place FROM (SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100)")
 def _(spark, d):
-    return dataset.sort(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), F.desc("o_totalprice"), "o_orderkey").limit(100)
+    return _places(dataset.sort(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), F.desc("o_totalprice"), "o_orderkey").limit(100))
 
 
 @query("sorted_ranks", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS place FROM orders")
@@ -351,20 +356,41 @@ def _(spark, d):
     return placed.withColumn("within", within).join(before, "part").select("o_orderkey", (F.col("before") + F.col("within")).alias("place"))
 
 
-@query("repartition_sort", "SELECT o_custkey, o_orderkey FROM orders")
+def _in_order(df: DataFrame, *key: str) -> DataFrame:
+    """With ``in_order``: whether a row comes after the one before it in its partition, as the rows come out."""
+
+    def check(state_batch, state):
+        keys = list(zip(*[state_batch[k] for k in key]))
+        before = [state.get("last"), *keys[:-1]]
+        if keys:
+            state["last"] = keys[-1]
+        return state_batch.assign(in_order=[b is None or b <= k for b, k in zip(before, keys)])
+
+    schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
+    return dataset.transduce(df, f"{schema}, in_order boolean", check)
+
+
+@query("repartition_sort", "SELECT o_custkey, o_orderkey, true AS in_order FROM orders")
 def _(spark, d):
-    return dataset.repartition_sort(table(spark, d, "orders").select("o_custkey", "o_orderkey"), "o_custkey", partitions=8)
+    return _in_order(dataset.repartition_sort(table(spark, d, "orders").select("o_custkey", "o_orderkey"), "o_custkey", partitions=8), "o_custkey")
 
 
-@query("local_sort", "SELECT s_suppkey, s_name FROM supplier")
+@query("local_sort", "SELECT s_suppkey, s_name, true AS in_order FROM supplier")
 def _(spark, d):
-    return dataset.local_sort(table(spark, d, "supplier").select("s_suppkey", "s_name"), "s_name")
+    return _in_order(dataset.local_sort(table(spark, d, "supplier").select("s_suppkey", "s_name"), "s_name"), "s_name")
 
 
-@query("sorter_distinct", "SELECT event_type, user_id, min(event_id) AS event_id FROM events GROUP BY event_type, user_id")
+@query("read_sorted", "SELECT c_nationkey, c_custkey, true AS in_order FROM customer")
 def _(spark, d):
-    e = table(spark, d, "events").select("event_type", "user_id", "event_id")
-    return dataset.merge_sorted(e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1"), key=["event_type", "user_id", "event_id"]).groupBy("event_type", "user_id").agg(F.min("event_id").alias("event_id"))
+    from tessera.sources.files import read_sorted
+
+    return _in_order(read_sorted(spark, f"{d}/customer.parquet", ["c_nationkey"]).select("c_nationkey", "c_custkey"), "c_nationkey")
+
+
+@query("sorter_distinct", "SELECT user_id, min(event_id) AS event_id, true AS in_order FROM events GROUP BY user_id")
+def _(spark, d):
+    e = table(spark, d, "events").select("user_id", "event_id")
+    return _in_order(dataset.sort(dataset.first_per_key(e, ["user_id"], ["event_id"]), "user_id"), "user_id")
 
 
 @query("merge_sorted_distinct", "SELECT k, min(tag) AS tag FROM (SELECT c_nationkey AS k, 'c' AS tag FROM customer UNION ALL SELECT s_nationkey, 's' FROM supplier) GROUP BY k")
@@ -379,10 +405,11 @@ def _(spark, d):
     return dataset.union_all(table(spark, d, "customer").select(F.col("c_nationkey").alias("k")), table(spark, d, "supplier").select(F.col("s_nationkey").alias("k")))
 
 
-@query("concat_ordered", "SELECT 0 AS source, o_orderkey FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT 1, o_orderkey FROM orders WHERE o_orderstatus = 'P'")
+@query("concat_ordered", "SELECT 0 AS source, o_orderkey, true AS in_order FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT 1, o_orderkey, true FROM orders WHERE o_orderstatus = 'P'")
 def _(spark, d):
     o = table(spark, d, "orders")
-    return dataset.concat(*[o.where(F.col("o_orderstatus") == s).select("o_orderkey") for s in ("F", "P")], order=["o_orderkey"]).withColumnRenamed("__source", "source")
+    both = dataset.concat(*[o.where(F.col("o_orderstatus") == s).select("o_orderkey") for s in ("F", "P")], order=["o_orderkey"]).withColumnRenamed("__source", "source")
+    return _in_order(both, "source", "o_orderkey")
 
 
 @query("read_settings", "SELECT p_partkey, p_name FROM part WHERE p_size = 7 ORDER BY p_partkey DESC LIMIT 20 OFFSET 5")
@@ -452,9 +479,10 @@ def _(spark, d):
     return _named(ad_cube(spark, d).query(q).rows)
 
 
-@query("cube_order_limit_offset", "SELECT date, sum(clicks)::BIGINT AS clicks FROM ad_log GROUP BY date ORDER BY clicks DESC, date LIMIT 10 OFFSET 5")
+@query("cube_order_limit_offset", """SELECT *, row_number() OVER (ORDER BY clicks DESC, date) AS place FROM
+    (SELECT date, sum(clicks)::BIGINT AS clicks FROM ad_log GROUP BY date ORDER BY clicks DESC, date LIMIT 10 OFFSET 5)""")
 def _(spark, d):
-    return _named(ad_cube(spark, d).query(CubeQuery(("date",), ("clicks",), order=(("clicks", "desc"), ("date", "asc")), limit=10, offset=5)).rows)
+    return _places(_named(ad_cube(spark, d).query(CubeQuery(("date",), ("clicks",), order=(("clicks", "desc"), ("date", "asc")), limit=10, offset=5)).rows))
 
 
 @query("cube_multi_agg_stitch", f"SELECT date, advertiser, sum(clicks)::BIGINT AS clicks, sum(errors)::BIGINT AS errors FROM ad_log WHERE {_NA} GROUP BY date, advertiser")
@@ -542,11 +570,12 @@ def _(spark, d):
 # -- logs ---------------------------------------------------------------------------------------
 
 
-@query("log_incremental_ingest", "SELECT event_type, count(*) AS n, sum(value::DECIMAL(18,2))::DOUBLE AS total FROM events GROUP BY event_type")
-def _(spark, d):
-    """The events written to a log in two parts, each taken in by a restarted stream; equal to one load of everything."""
+_PER_TYPE = "SELECT event_type, count(*) AS n, sum(value::DECIMAL(18,2))::DOUBLE AS total FROM events GROUP BY event_type"
+
+
+def _logged(spark, d, controller: bool) -> DataFrame:
     from tessera.sources.multilog import Multilog
-    from tessera.streaming.etl import log_to_cube
+    from tessera.streaming.etl import LogController, LogProcessor, log_to_cube
 
     events = table(spark, d, "events").select("event_id", "user_id", "event_type", "value", F.col("ts").cast("timestamp").alias("ts"))
     log = Multilog(spark, new_path(spark, "log"), "event_id long, user_id long, event_type string, value double, ts timestamp")
@@ -556,5 +585,20 @@ def _(spark, d):
     money = lambda df: df.withColumn("value", F.col("value").cast("decimal(18,2)"))
     for half in (0, 1):
         log.write(events.where(F.col("event_id") % 2 == half), F.col("user_id") % 3, F.date_trunc("month", "ts"))
-        log_to_cube(log.stream(), cube, {"event_type": "event_type"}, {"n": None, "total": "value"}, state, transform=money)
+        if controller:
+            LogController(cube, [LogProcessor(cube, log, {"event_type": "event_type"}, {"n": None, "total": "value"}, transform=money)]).process()
+        else:
+            log_to_cube(log.stream(), cube, {"event_type": "event_type"}, {"n": None, "total": "value"}, state, transform=money)
     return _named(cube.query(CubeQuery(("event_type",), ("n", "total"))).rows)
+
+
+@query("log_incremental_ingest", _PER_TYPE)
+def _(spark, d):
+    """The events written to a log in two parts, each taken in by a restarted stream; equal to one load of everything."""
+    return _logged(spark, d, controller=False)
+
+
+@query("log_controller_ingest", _PER_TYPE)
+def _(spark, d):
+    """The same from positions that are committed with the chunks."""
+    return _logged(spark, d, controller=True)

@@ -1,28 +1,36 @@
-"""Logs into cubes: resumable micro-batches, each taken exactly once.
+"""Logs into cubes: resumable batches, each taken exactly once.
 
-Structured Streaming keeps the positions in its checkpoint; the cube keeps the names of the
-batches it has applied in the same atomic manifest version as their chunks. A batch that was
-written but not checkpointed comes again after a failure and changes nothing.
+Two ways lead there. ``LogController`` reads logs from the positions that the cube's manifest holds and commits
+the new positions in the same version as the chunks made from what was read: neither shows without the
+other, and of two controllers over one log one is refused. ``log_to_cube`` lets Structured Streaming keep the positions in its checkpoint;
+the manifest keeps the number of the last batch, so a batch that was written but not
+checkpointed comes again after a failure and changes nothing.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame
 
+from tessera.operators.aggregation import discard
+from tessera.operators.chunks import CubeDiff
 from tessera.plans.cube import Cube
 from tessera.plans.predicates import TRUE, Predicate
+from tessera.sources.multilog import Multilog
 
 
 def log_to_cube(stream: DataFrame, cube: Cube, dimensions: Mapping[str, str], measures: Mapping[str, str | None], checkpoint: str, data: Predicate = TRUE, transform: Callable[[DataFrame], DataFrame] = lambda df: df, name: str = "log") -> int:
-    """Takes all that is new in ``stream`` into the cube and returns; the number of batches."""
+    """Takes all that is new in ``stream`` into the cube and returns; the number of batches. ``name`` belongs to the checkpoint."""
     taken = []
 
     def ingest(batch: DataFrame, number: int) -> None:
-        cube.consume(transform(batch), dimensions, measures, data, commit=f"{name}-{number}")
+        cube.consume(transform(batch), dimensions, measures, data, commit=(name, number))
         taken.append(number)
 
     query = stream.writeStream.foreachBatch(ingest).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -30,22 +38,86 @@ def log_to_cube(stream: DataFrame, cube: Cube, dimensions: Mapping[str, str], me
     return len(taken)
 
 
-def splitter(outputs: Mapping[str, Callable[[DataFrame], DataFrame]]) -> Callable[[DataFrame], dict[str, DataFrame]]:
-    """One log record to several typed outputs: named functions of the batch, which is read once."""
+def splitter(outputs: Mapping[str, Callable[[DataFrame], DataFrame]]) -> Callable[[DataFrame], Any]:
+    """One log record to several typed outputs: ``with split(batch) as parts`` gives named functions of the batch, which is read once and let go at the end."""
 
-    def split(batch: DataFrame) -> dict[str, DataFrame]:
+    @contextmanager
+    def split(batch: DataFrame) -> Iterator[dict[str, DataFrame]]:
         kept = batch.persist()
-        return {n: f(kept) for n, f in outputs.items()}
+        try:
+            yield {n: f(kept) for n, f in outputs.items()}
+        finally:
+            kept.unpersist()
 
     return split
 
 
-def process(cube: Cube, take: Callable[[], int], overlap_limit: int = 300) -> bool:
-    """One round of a controller: not while too many chunks overlap; then ingest. True if it ran."""
-    if cube.too_many_overlaps(overlap_limit):
-        return False
-    take()
-    return True
+@dataclass
+class LogProcessor:
+    """Reads what is new in a log and writes the chunks made of it; its positions are ``name/<log>`` in the cube's manifest.
+
+    ``max_files`` bounds what one round takes of each log.
+    """
+
+    cube: Cube
+    log: Multilog
+    dimensions: Mapping[str, str]
+    measures: Mapping[str, str | None]
+    name: str = "log"
+    data: Predicate = TRUE
+    transform: Callable[[DataFrame], DataFrame] = lambda df: df
+    logs: Sequence[str] | None = None
+    max_files: int | None = None
+
+    def process(self) -> LogDiff:
+        """The diff that would show it, with the moves of positions; nothing shows yet."""
+        held = self.cube.manifest.sync().positions
+        start = {k.removeprefix(f"{self.name}/"): v for k, v in held.items() if k.startswith(f"{self.name}/")}
+        rows, end = self.log.read(start, self.logs, max_files=self.max_files)
+        moves = {f"{self.name}/{log}": (start.get(log), to) for log, to in end.items() if to != start.get(log)}
+        if not moves:
+            return LogDiff()
+        return LogDiff(moves, (self.cube.prepare(self.transform(rows), self.dimensions, self.measures, self.data),))
+
+
+class LogController:
+    """Rounds of ingest: read the state, hold back while too many chunks overlap, process all logs, show everything in one commit.
+
+    After a failure, what was written is deleted, the state is read anew by the next round, and the positions are where they were.
+    """
+
+    def __init__(self, cube: Cube, processors: Sequence[LogProcessor], overlap_limit: int = 300, parallel: bool = False):
+        self.cube, self.processors, self.overlap_limit, self.parallel = cube, list(processors), overlap_limit, parallel
+
+    def process(self) -> bool:
+        """One round; False if it was held back."""
+        if self.cube.too_many_overlaps(self.overlap_limit):
+            return False
+        done: list[LogDiff] = []
+        try:
+            if self.parallel:
+                with ThreadPoolExecutor(len(self.processors)) as pool:
+                    waiting = [pool.submit(p.process) for p in self.processors]
+                done = [w.result() for w in waiting if w.exception() is None]
+                for w in waiting:
+                    w.result()
+            else:
+                for p in self.processors:
+                    done.append(p.process())
+            diff = reduce(LogDiff.then, done, LogDiff())
+        except Exception:
+            for d in done:
+                for part in d.diffs:
+                    discard(self.cube.spark, part)
+            self.cube.manifest.reset()
+            raise
+        if diff.positions:
+            try:
+                self.cube.commit(reduce(CubeDiff.then, diff.diffs, CubeDiff()), positions=diff.positions)
+            except Exception:
+                self.cube.manifest.reset()
+                raise
+        return True
 
 
 # -- the algebra of log diffs -----------------------------------------------------------------

@@ -1,6 +1,7 @@
 """Datasets, joins, reducers, measures, aggregations and the cube."""
 
 import json
+import os
 import random
 
 import pytest
@@ -10,9 +11,9 @@ from tessera.functions import computed as cm
 from tessera.functions import expressions as ex
 from tessera.functions import measures as ms
 from tessera.operators import aggregation as ag
-from tessera.operators import dataset, joins, reducers
+from tessera.operators import chunks, dataset, joins, manifest, reducers
 from tessera.plans import predicates as p
-from tessera.plans.cube import DATA, METADATA, Cube, CubeQuery, QueryError, ReloadingAttributes, StaticAttributes, parse_query
+from tessera.plans.cube import DATA, METADATA, ConsolidationController, Cube, CubeQuery, QueryError, ReloadingAttributes, StaticAttributes, parse_query
 from tessera.sources import files
 
 
@@ -230,11 +231,11 @@ def test_aggregation_life(spark, tmp_path):
     assert a.overlap() == 1 < before
     check()
     a.max_rows = 60
-    small = a.pick_min_key()
-    assert len(small) > 1
+    small = a.pick_min_key(6)
+    assert len(small) == 6
     a.consolidate(small)
     check()
-    assert a.cleanup() and not a.missing_files()
+    assert not a.cleanup(freeze_seconds=3600) and a.cleanup(0, -3600, 0) and not a.missing_files()
     check()
     copy = a.backup(f"file://{tmp_path}/copy")
     assert rows(copy.query(["k1"], ["n"])) == rows(a.query(["k1"], ["n"]))
@@ -277,6 +278,128 @@ def test_chunk_diffs():
     assert tree.get(4) == {"p", "q"} and tree.get_range(6, 7) == {"q", "r"} and tree.remove(7, 7, "r") and tree.get_all() == {"p", "q"}
 
 
+def chunk(name, low, high, rows=10):
+    return chunks.Chunk(name, rows, ("m",), low, high)
+
+
+def names(picked):
+    strategy, found = picked
+    return strategy, [c.file for c in found]
+
+
+def test_range_tree_equals_brute_force():
+    r = random.Random(3)
+    tree, held = chunks.RangeTree(), []
+    for step in range(300):
+        if held and r.random() < 0.3:
+            gone = held.pop(r.randrange(len(held)))
+            assert tree.remove(*gone) and not tree.remove(*gone)
+        else:
+            a, b = sorted(((r.randrange(9), r.randrange(9)) for _ in range(2)))
+            held.append((a, b, step))
+            tree.put(a, b, step)
+        k, m = sorted(((r.randrange(9), r.randrange(9)) for _ in range(2)))
+        assert tree.get(k) == {v for a, b, v in held if a <= k <= b}
+        assert tree.get_range(k, m) == {v for a, b, v in held if a <= m and k <= b}
+        assert set(tree.get_prefix(k[:1], m[:1])) == {v for a, b, v in held if b[:1] >= k[:1] and a[:1] <= m[:1]}
+        assert set(tree.get_prefix((), ())) == tree.get_all() == {v for _, _, v in held}
+
+
+def test_chunks_picked_for_consolidation():
+    parted = [chunk("a", (1, 1), (1, 9)), chunk("b", (1, 5), (2, 1)), chunk("c", (3, 0), (4, 0))]
+    assert names(chunks.pick_min_key(parted, 10, 10, 1)) == ("partitioning", ["b", "c"]) and names(chunks.pick_min_key(parted, 1, 10, 1)) == ("partitioning", ["b"])
+    assert names(chunks.pick_min_key(parted, 10, 10)) == ("min key", ["a", "b"])
+    # a partition in order is passed over; in the next one what overlaps is taken with what it reaches
+    two = [chunk("a", (1, 1), (1, 9)), chunk("b", (2, 1), (2, 4)), chunk("c", (2, 3), (2, 7)), chunk("d", (2, 6), (2, 9)), chunk("e", (3, 1), (3, 2)), chunk("f", (3, 2), (3, 3))]
+    assert names(chunks.pick_min_key(two, 10, 10, 1)) == ("min key", ["b", "c", "d"]) and names(chunks.pick_min_key(two, 2, 10, 1)) == ("min key", ["b", "c"])
+    sizes = [chunk("a", (1,), (2,)), chunk("b", (3,), (4,), 4), chunk("c", (5,), (6,), 3), chunk("d", (7,), (8,))]
+    assert names(chunks.pick_min_key(sizes, 10, 10)) == ("size fix", ["b", "c", "d"]) and names(chunks.pick_min_key(sizes, 2, 10)) == ("size fix", ["b", "c"])
+    assert names(chunks.pick_min_key([chunk("a", (1,), (2,), 4)], 10, 10)) == ("size fix", []) and names(chunks.pick_min_key([chunk("a", (1,), (2,), 40)], 10, 10)) == ("size fix", ["a"])
+    assert names(chunks.pick_min_key([], 10, 10)) == ("size fix", [])
+    hot = [chunk("a", (1,), (5,)), chunk("b", (4,), (6,)), chunk("c", (10,), (20,)), chunk("d", (11,), (13,)), chunk("e", (12,), (19,)), chunk("f", (18,), (30,)), chunk("g", (31,), (32,))]
+    assert names(chunks.pick_hot_segment(hot, 10)) == ("hot segment", ["c", "d", "e", "f"]) and names(chunks.pick_hot_segment(hot, 2)) == ("hot segment", ["c", "e"])
+    assert names(chunks.pick_hot_segment(hot[-1:], 10)) == ("hot segment", []) and chunks.overlap(hot) == 3 and chunks.overlap([]) == 0
+
+
+def test_chunks_end_with_their_partition(spark, tmp_path):
+    s = ag.Structure({"k1": "int", "k2": "int"}, {"m1": ms.sum_of()}, partition_keys=("k1",))
+    a = ag.Aggregation(spark, f"file://{tmp_path}/a", s, 10)
+    a.consume(log_rows(spark, 300, 3), {"m1": "m1"})
+    assert all(c.low[0] == c.high[0] and c.rows <= 10 for c in a.chunks()) and len(a.chunks()) >= 20
+    assert rows(a.query(["k1", "k2"], ["m1"])) == rows(log_rows(spark, 300, 3).groupBy("k1", "k2").agg(F.sum("m1")))
+    with pytest.raises(ValueError):
+        ag.Structure({"k1": "int", "k2": "int"}, {}, partition_keys=("k2",))
+
+
+def test_manifest_rebases_conflicts_and_cleans(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(manifest, "SNAPSHOT_EVERY", 3)
+    now = [1000.0]
+    data = tmp_path / "data"
+    data.mkdir()
+
+    def made(name, at):
+        (data / f"{name}.parquet").write_text("x")
+        os.utime(data / f"{name}.parquet", (at, at))
+        return chunk(f"file://{data}/{name}.parquet", (1,), (2,))
+
+    m, other = (manifest.Manifest(spark, f"file://{tmp_path}/m", lambda: now[0]) for _ in range(2))
+    a, b, c, d = (made(n, 900) for n in "abcd")
+    diff = lambda added=(), removed=(): chunks.CubeDiff({"x": chunks.ChunkDiff(frozenset(added), frozenset(removed))})
+    m.sync(), other.sync()
+    assert m.commit(diff([a]), ("log", 0), {"l": (None, ("h", 0))}) and other.commit(diff([b]), ("other", 0))  # it doesn't conflict: tried again
+    assert not m.commit(diff([c]), ("log", 0)) and m.commit(diff([c]), "load") and not other.commit(diff([d]), "load")
+    with pytest.raises(manifest.Conflict):
+        m.commit(diff(), None, {"l": (None, ("h", 1))})
+    now[0] = 2000.0
+    assert m.commit(diff([d], [a, b]), None, {"l": (("h", 0), ("h", 1))})
+    with pytest.raises(manifest.Conflict):
+        other.commit(diff([], [a]))
+    assert {x.file[-9] for x in other.chunks("x")} == {"c", "d"} and other.sync().positions == {"l": ("h", 1)} and m._snapshots() == [3]
+    fresh = manifest.Manifest(spark, f"file://{tmp_path}/m")
+    assert fresh.sync() == m.sync() and {x.file[-9] for x in m.at(3).chunks["x"].values()} == {"a", "b", "c"}
+    made("uncommitted", 1998), made("left", 500)
+    assert m.clean([f"file://{data}"], 5000, 0, 0) == []  # nothing is frozen yet
+    assert m.clean([f"file://{data}"], 500, 0, 1) == []  # the checkpoint is the only snapshot
+    assert [g[-12:] for g in m.clean([f"file://{data}"], 500, 0, 0)] == ["left.parquet"]  # version 3 still needs a and b
+    now[0] = 9000.0
+    assert {g[-9] for g in m.clean([f"file://{data}"], 500, 5, 0)} == {"a", "b"} and m.versions.numbers() == [4]  # what isn't committed is too young
+    assert fresh.sync().version == 4 and manifest.Manifest(spark, f"file://{tmp_path}/m").sync() == m.sync()
+    (data / "d.parquet").unlink()
+    with pytest.raises(FileNotFoundError):
+        m.clean([f"file://{data}"], 500, 0, 0)
+
+
+def test_one_pass_equals_one_by_one(spark, tmp_path):
+    assert ag.common_order([["a", "c"], ["b", "c"], ["a", "b"]]) == ["a", "b", "c"] and ag.common_order([["a", "b"], ["b", "a"]]) is None
+    df = log_rows(spark, 300, 5).withColumn("k1", F.when(F.col("k1") != 7, F.col("k1")))
+    made = {"x": (["k1", "k2"], ["m1", "n", "u"], p.gt("k1", 3)), "y": (["k2"], ["m2", "n"], p.TRUE), "z": (["k1"], ["m1", "u"], p.not_eq("k2", 1))}
+    for flip in (False, True):  # contrary key orders are written by themselves
+        c = Cube(spark, f"file://{tmp_path}/{flip}", {"k1": "int", "k2": "int"}, {"m1": ms.sum_of(), "m2": ms.max_of("double"), "n": ms.count_of(), "u": ms.union()})
+        for name, (keys, measures, predicate) in made.items():
+            c.with_aggregation(name, keys[::-1] if flip and name == "x" else keys, measures, predicate)
+        if flip:
+            c.with_aggregation("w", ["k1", "k2"], ["m1"])
+        assert c.consume(df, {"k1": "k1", "k2": "k2"}, INPUTS, commit="one") == list(c.aggregations) and c.consume(df, {"k1": "k1", "k2": "k2"}, INPUTS, commit="one") == []
+        assert c.manifest.sync().version == 1
+        for name, (keys, measures, predicate) in made.items():
+            own = ag.Aggregation(spark, f"file://{tmp_path}/{flip}-{name}", c.aggregations[name].structure)
+            own.consume(df, {m: INPUTS[m] for m in measures})
+            assert rows(c.aggregations[name].query(keys, measures)) == rows(own.query(keys, measures))
+
+
+def test_a_measure_of_ones_own(spark, tmp_path, monkeypatch):
+    kind = ms.Kind(lambda m, v: F.bit_xor(v).cast(m.type), lambda m, s: F.bit_xor(s), lambda m, a, b: a.bitwiseXOR(b))
+    monkeypatch.setitem(ms.KINDS, "xor", kind)
+    s = ag.Structure({"k1": "int"}, {"x": ms.Measure("xor"), "u": ms.union()})
+    a = ag.Aggregation(spark, f"file://{tmp_path}/a", s)
+    for seed in (1, 2):
+        a.consume(log_rows(spark, 50, seed), {"x": "m1", "u": "m1"})
+    both = log_rows(spark, 50, 1).unionByName(log_rows(spark, 50, 2))
+    assert rows(a.query([], ["x", "u"])) == rows(both.agg(F.bit_xor("m1"), F.array_sort(F.collect_set("m1"))))
+    with pytest.raises(ValueError):
+        ms.Measure("none").merge(F.col("x"))
+
+
 # -- cube ---------------------------------------------------------------------------------------
 
 
@@ -325,6 +448,7 @@ def test_unavailable_measures_are_dropped_and_unknown_attributes_fail(cube):
     c, _ = cube
     q = c.query(CubeQuery(("day",), ("imp", "users", "ctr", "nonsense")))
     assert q.measures == ["imp", "ctr"] and q.rows.columns == ["day", "imp", "ctr"]
+    assert rows(c.raw(["site"], ["imp"])) == [] and c.raw(["day"], ["imp", "users"]).columns == ["day", "imp"]
     with pytest.raises(QueryError):
         c.query(CubeQuery(("planet",), ("imp",)))
 
@@ -347,6 +471,8 @@ def test_report_types_filter_attributes_and_json(cube):
     assert meta.rows is None and meta.totals is None and json.loads(meta.to_json())["measures"] == ["imp"]
     q = c.query(CubeQuery(("day",), ("imp",), p.eq("adv", 2), order=(("day", "asc"), ("unknown", "asc")), report=DATA))
     out = json.loads(q.to_json())
+    both = c.query(CubeQuery(("adv", "adv.name"), ("imp",), p.eq("adv", 3)))  # also what is selected
+    assert both.filter_attributes == {"adv.name": None} and c.query(CubeQuery(("adv",), ("imp",), p.eq("adv", 99))).filter_attributes == {"adv.name": None}
     assert out["filterAttributes"] == {"adv.name": "two"} and out["sortedBy"] == ["day"] and out["totalCount"] == len(out["records"]) and "totals" not in out
     got = parse_query({"attributes": "adv,day", "measures": '["imp"]', "where": '{"adv": 1}', "sort": "imp:DESC,day", "limit": "5"})
     assert got == CubeQuery(("adv", "day"), ("imp",), p.eq("adv", 1), p.TRUE, (("imp", "desc"), ("day", "asc")), 5)
@@ -358,7 +484,9 @@ def test_consolidation_keeps_answers(cube):
     c.consume(df, {k: k for k in ("day", "adv", "camp")}, {"imp": "imp", "clicks": "clicks", "n": None}, p.eq("adv", 0))
     assert rows(c.raw(["day"], ["imp", "n"])) == rows(df.groupBy("day").agg(2 * F.sum("imp"), 2 * F.count("*")))
     assert not c.too_many_overlaps() and c.too_many_overlaps(1)
-    c.maintain(2)
+    control = ConsolidationController(c)
+    rounds = control.run(2, 5, lambda s: None)
+    assert len(rounds) == 2 and rounds[0]["days"] > 0
     assert rows(c.raw(["day"], ["imp", "n"])) == rows(df.groupBy("day").agg(2 * F.sum("imp"), 2 * F.count("*")))
 
 
