@@ -1,12 +1,12 @@
 """Problem 8: sources mixed to target weights, by temperature mixing.
 
-Weights are token shares raised to a power and normalised. Plain temperature mixing has one
-exponent for all sources and so can't meet a share for each of them; here it starts from the
-target: weight = natural^(1-a) * target^a, normalised. a = 1 is the target, a = 0 the natural
-mix, and the exponent is bisected to the largest a whose weights keep, at the wanted size,
-within the repetition limits. Without a wanted size the largest one is taken at which the
+A weight is a source's share of the tokens raised to a power, its exponent, and normalised. Plain temperature mixing has
+one exponent for all sources and so can't meet a share for each of them. Here each source has its own: the exponent is
+bisected until the share raised to it is the target. Between the natural mix (all exponents 1) and the targets lie the exponents
+1 + a (t - 1); if a size is wanted that the targets can't have within the repetition limits, a is bisected to the largest
+that can. Without a wanted size the largest one is taken at which the
 targets themselves are within the limits, so every source reaches its target share. The plain
-form, with the exponent bisected to a target entropy, is ``temperature_weights``.
+form, with one exponent bisected to a target entropy or to the limits, is ``temperature_weights``.
 
 The weights are realised as budgeted block permutations: whole passes over a source as long as
 the budget holds one, and of the last pass the front of a permutation. The permutation orders
@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -76,25 +77,47 @@ def temperature_weights(sizes: Mapping[str, float], target_entropy: float | None
     return exponent, raised(exponent)
 
 
-def target_weights(sizes: Mapping[str, float], targets: Mapping[str, tuple[float, int]], budget: float | None = None) -> tuple[float, float, dict[str, float]]:
-    """(exponent, budget, weights) for sources with token counts ``sizes`` and (share, max repeats) in ``targets``."""
+class Plan(NamedTuple):
+    """How far from the natural mix (0) to the targets (1), the size in tokens, and weight and exponent by source."""
+
+    along: float
+    size: float
+    weights: dict[str, float]
+    exponents: dict[str, float]
+
+
+def exponents_to(shares: Mapping[str, float], goal: Mapping[str, float]) -> dict[str, float]:
+    """The power that each share must be raised to to become its goal."""
+    out = {}
+    for k, share in shares.items():
+        high = 1.0
+        while share < 1 and share**high > goal[k]:
+            high *= 2
+        out[k] = bisect(lambda t: share**t >= goal[k], 0.0, high, 100) if share < 1 else 1.0
+    return out
+
+
+def target_weights(sizes: Mapping[str, float], targets: Mapping[str, tuple[float, int]], budget: float | None = None) -> Plan:
+    """The plan for sources with token counts ``sizes`` and (share, max repeats) in ``targets``."""
     usable = {k: t for k, t in targets.items() if sizes.get(k, 0) > 0 and (t[0] or 0) > 0 and (t[1] if t[1] is not None else 1) > 0}
     if not usable:
-        return 1.0, 0.0, {}
+        return Plan(1.0, 0.0, {}, {})
     goal = normalised({k: float(t[0]) for k, t in usable.items()})
-    cap = {k: float(sizes[k]) * (t[1] if t[1] is not None else 1) for k, t in usable.items()}
-    if budget is None:
-        return 1.0, min(cap[k] / goal[k] for k in goal), goal
     natural = normalised({k: float(sizes[k]) for k in usable})
-    mixed = lambda a: normalised({k: natural[k] ** (1 - a) * goal[k] ** a for k in goal})
-    exponent = bisect(lambda a: all(w * budget <= cap[k] * (1 + 1e-12) for k, w in mixed(a).items()), 0.0, 1.0)
-    weights = mixed(exponent)
-    return exponent, min(budget, min(cap[k] / weights[k] for k in weights)), weights
+    cap = {k: float(sizes[k]) * (t[1] if t[1] is not None else 1) for k, t in usable.items()}
+    to_goal = exponents_to(natural, goal)
+    powers = lambda a: {k: 1 + a * (t - 1) for k, t in to_goal.items()}
+    mixed = lambda a: normalised({k: natural[k] ** t for k, t in powers(a).items()})
+    most = lambda w: min(cap[k] / w[k] for k in w if w[k] > 0)
+    along = 1.0 if budget is None else bisect(lambda a: budget <= most(mixed(a)) * (1 + 1e-12), 0.0, 1.0)
+    weights = mixed(along)
+    return Plan(along, most(weights) if budget is None else min(budget, most(weights)), weights, powers(along))
 
 
 def document_sizes(documents: DataFrame, vocabulary: str = VOCABULARY, folder: str = TOKENIZERS) -> DataFrame:
-    """(doc_id, source, n_tokens) of all documents with a text."""
-    return documents.where("doc_id IS NOT NULL").select("doc_id", "source", n_tokens("text", vocabulary, folder).alias("n_tokens")).where("n_tokens > 0")
+    """(doc_id, source, n_tokens, row) of all documents with a text; ``row`` tells repeated ids apart once the table is written."""
+    sized = documents.where("doc_id IS NOT NULL").select("doc_id", "source", n_tokens("text", vocabulary, folder).alias("n_tokens")).where("n_tokens > 0")
+    return sized.withColumn("row", F.monotonically_increasing_id())
 
 
 def _fill_room(docs: pd.DataFrame) -> pd.DataFrame:
@@ -107,6 +130,19 @@ def _fill_room(docs: pd.DataFrame) -> pd.DataFrame:
     return docs.assign(extra=extra)[["doc_id", "source", "n_tokens", "passes", "extra"]]
 
 
+def _held(sizes: DataFrame, targets: DataFrame) -> tuple[dict, dict]:
+    """({source: (share, repeats)}, {source: (tokens, documents)}) of the sources with a target."""
+    wanted = {r["source"]: (r["target_share"], r["max_repeats"]) for r in targets.where("source IS NOT NULL").collect()}
+    named = sizes.join(targets.where("source IS NOT NULL").select("source").distinct(), "source", "left_semi")
+    return wanted, {r["source"]: (int(r["tokens"]), int(r["docs"])) for r in named.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs")).collect()}
+
+
+def plan_of(sizes: DataFrame, targets: DataFrame, budget: float | None = None) -> Plan:
+    """The plan that ``mix`` follows."""
+    wanted, held = _held(sizes, targets)
+    return target_weights({k: v[0] for k, v in held.items()}, wanted, budget)
+
+
 def mix(sizes: DataFrame, targets: DataFrame, budget: float | None = None, seed: int = 17, block_docs: int = BLOCK_DOCS) -> DataFrame:
     """(doc_id, source, n_tokens, repeats) of the chosen documents.
 
@@ -114,15 +150,14 @@ def mix(sizes: DataFrame, targets: DataFrame, budget: float | None = None, seed:
     The number of sources must be small (they have target shares); documents aren't collected.
     """
     spark = sizes.sparkSession
-    wanted = {r["source"]: (r["target_share"], r["max_repeats"]) for r in targets.where("source IS NOT NULL").collect()}
-    named = sizes.join(targets.where("source IS NOT NULL").select("source").distinct(), "source", "left_semi")
-    held = {r["source"]: (int(r["tokens"]), int(r["docs"])) for r in named.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs")).collect()}
-    _, size, weights = target_weights({k: v[0] for k, v in held.items()}, wanted, budget)
+    wanted, held = _held(sizes, targets)
+    _, size, weights, _ = target_weights({k: v[0] for k, v in held.items()}, wanted, budget)
     # whole passes, tokens of the last pass, blocks
     plan = [(k, int(w * size // held[k][0]), float(w * size % held[k][0]), max(1, held[k][1] // block_docs)) for k, w in weights.items()]
     plan = [(k, p, r, b) if r > 0.5 else (k, p, 0.0, b) for k, p, r, b in plan]
     budgets = spark.createDataFrame(plan, "source string, passes int, rest double, blocks int")
-    hashed = F.xxhash64(F.lit(seed), "doc_id")
+    # rows repeated under one id, if the table says which is which, fall into different blocks
+    hashed = F.xxhash64(F.lit(seed), "doc_id", *(["row"] if "row" in sizes.columns else []))
     docs = sizes.join(budgets, "source").select("doc_id", "source", "n_tokens", "passes", "rest", hashed.alias("rank"), F.pmod(F.shiftright(hashed, 20), F.col("blocks")).cast("int").alias("block"))
     totals = docs.groupBy("source", "block").agg(F.sum("n_tokens").alias("tokens"))
     run = Window.partitionBy("source").orderBy(F.xxhash64(F.lit(seed), "block"), "block")
@@ -141,11 +176,15 @@ def mix_documents(documents: DataFrame, targets: DataFrame, budget: float | None
     return mix(cut(document_sizes(documents, vocabulary, folder), "sizes"), targets, budget)
 
 
-def shares(chosen: DataFrame, sizes: DataFrame, targets: DataFrame) -> DataFrame:
-    """Per target source: wanted share, share reached, tokens used, the documents and the greatest repeat."""
+def shares(chosen: DataFrame, sizes: DataFrame, targets: DataFrame, plan: Plan | None = None) -> DataFrame:
+    """Per target source: wanted share, share reached, tokens used, the documents and the greatest repeat; with a plan also weight and exponent."""
     used = chosen.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("used_tokens"), F.count("*").alias("n_docs"), F.max("repeats").alias("most_repeats"))
     held = sizes.groupBy("source").agg(F.sum("n_tokens").alias("source_tokens"))
     everything = Window.partitionBy()  # one row per source
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     joined = targets.join(held, "source", "left").join(used, "source", "left").select("source", "target_share", "max_repeats", zero("source_tokens"), zero("used_tokens"), zero("n_docs"), zero("most_repeats"))
-    return joined.withColumn("share", F.coalesce(F.col("used_tokens") / F.nullif(F.sum("used_tokens").over(everything), F.lit(0)), F.lit(0.0)))
+    reached = joined.withColumn("share", F.coalesce(F.col("used_tokens") / F.nullif(F.sum("used_tokens").over(everything), F.lit(0)), F.lit(0.0)))
+    if plan is None:
+        return reached
+    planned = chosen.sparkSession.createDataFrame([(k, w, plan.exponents[k]) for k, w in plan.weights.items()], "source string, weight double, exponent double")
+    return reached.join(planned, "source", "left")

@@ -25,7 +25,7 @@ def _mix(spark: SparkSession, d: str) -> DataFrame:
 
 def _shares(spark: SparkSession, d: str) -> DataFrame:
     sizes, targets = cut(mixing.document_sizes(table(spark, d, "documents")), "sizes"), table(spark, d, "mix_targets")
-    return mixing.shares(mixing.mix(sizes, targets), sizes, targets)
+    return mixing.shares(mixing.mix(sizes, targets), sizes, targets, mixing.plan_of(sizes, targets))
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -37,7 +37,7 @@ def _texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _classes(spark: SparkSession, d: str) -> DataFrame:
-    return canonical.look_alikes(table(spark, d, "documents"))
+    return canonical.look_alike_classes(table(spark, d, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -32,7 +32,8 @@ def test_targets_are_reached_within_limits(spark, docs):
     got = {r.doc_id: r for r in chosen.collect()}
     limits = {"big": 1, "small": 3, "mid": 1}
     assert all(1 <= r.repeats <= limits[r.source] for r in got.values())
-    report = {r.source: r for r in mixing.shares(chosen, sizes, targets).collect()}
+    report = {r.source: r for r in mixing.shares(chosen, sizes, targets, mixing.plan_of(sizes, targets)).collect()}
+    assert report["big"].weight == pytest.approx(0.625) and report["big"].exponent > 1 > report["small"].exponent and report["absent"].weight is None
     for source, share in (("big", 0.625), ("small", 0.25), ("mid", 0.125)):
         assert abs(report[source].share - share) < 0.002
     assert report["absent"].used_tokens == 0 and report["none"].share == 0
@@ -51,15 +52,26 @@ def test_the_mix_is_the_same_each_time_and_moves_with_the_seed(spark, docs):
 def test_a_budget_beyond_the_limits_bends_the_weights(spark, docs):
     held = {"big": 90_000, "small": 3000, "mid": 12_000}
     goal = {"big": (0.5, 1), "small": (0.3, 2), "mid": (0.2, 1)}
-    a, size, w = mixing.target_weights(held, goal, 40_000)
+    a, size, w, t = mixing.target_weights(held, goal, 40_000)
+    total = sum(held.values())
+    raised = {k: (held[k] / total) ** t[k] for k in held}  # weights are shares raised to the exponents
+    assert all(w[k] == pytest.approx(raised[k] / sum(raised.values())) for k in held)
     assert 0 < a < 1 and size == pytest.approx(40_000)
     assert all(w[k] * size <= held[k] * goal[k][1] * 1.000001 for k in w)
     assert any(w[k] * size > held[k] * goal[k][1] * 0.999 for k in w)
     assert mixing.target_weights(held, goal, 1000)[0] == 1.0
-    a, size, w = mixing.target_weights(held, goal, 10**9)
+    a, size, w, _ = mixing.target_weights(held, goal, 10**9)
     assert a == 0 and abs(size - 105_000) < 1e-6
 
 
+def test_an_exponent_for_each_target():
+    shares, goal = {"a": 0.9, "b": 0.0999, "c": 0.0001}, {"a": 0.01, "b": 0.49, "c": 0.5}
+    t = mixing.exponents_to(shares, goal)
+    assert all(shares[k] ** t[k] == pytest.approx(goal[k], rel=1e-9) for k in shares)
+    assert t["a"] > 1 > t["b"] > 0 and mixing.exponents_to({"a": 1.0}, {"a": 1.0}) == {"a": 1.0}
+    assert mixing.target_weights({"a": 900, "b": 100}, {"a": (0.2, 1), "b": (0.8, 2)}).weights == pytest.approx({"a": 0.2, "b": 0.8})
+
+
 def test_plain_temperature():
     sizes = {"a": 900, "b": 90, "c": 10}
     t, w = mixing.temperature_weights(sizes, target_entropy=0.9)
