@@ -5,8 +5,8 @@ containers with that gap smallest; for integer sizes this wastes only a vanishin
 passage larger than the capacity, and no other, is split: into pieces as large as a container
 and a rest, which is packed like the others.
 
-Passages are cut into blocks by a hash of their place in the input's keys, so a hot source or
-work never meets in one task, and each block is packed by itself: only sizes and ids travel,
+Passages are cut into blocks by a hash of their id and row, so a hot source or
+work, or rows repeated under one id, never meet in one task, and each block is packed by itself: only sizes and ids travel,
 ``block_items`` of them a block, and a block's open containers are the only loss against one
 packing of everything. Blocks of a fixed size keep time and memory per task the same at any
 scale.
@@ -86,9 +86,9 @@ def _pack_block(table):
 
 
 def passage_sizes(documents: DataFrame, vocabulary: str = VOCABULARY, folder: str = TOKENIZERS) -> DataFrame:
-    """(doc_id, text, tgt_text, both): sizes in tokens of the sides of each document."""
+    """(doc_id, text, tgt_text, both, row): sizes in tokens of the sides of each document; ``row`` tells repeated ids apart once the table is written."""
     sized = documents.where("doc_id IS NOT NULL").select("doc_id", n_tokens("text", vocabulary, folder).alias("text"), n_tokens("tgt_text", vocabulary, folder).alias("tgt_text"))
-    return sized.select("*", (F.col("text") + F.col("tgt_text")).alias("both"))
+    return sized.select("*", (F.col("text") + F.col("tgt_text")).alias("both"), F.monotonically_increasing_id().alias("row"))
 
 
 def pack(documents: DataFrame, specs: DataFrame, vocabulary: str = VOCABULARY, folder: str = TOKENIZERS, block_items: int = BLOCK_ITEMS) -> DataFrame:
@@ -103,8 +103,8 @@ def pack(documents: DataFrame, specs: DataFrame, vocabulary: str = VOCABULARY, f
     wanted = F.broadcast(wanted) if wanted.limit(1001).count() <= 1000 else wanted  # three small columns of a thousand rows at most
     sides = F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("n_tokens")) for s in ("text", "tgt_text", "both")])
     items = (
-        sizes.select("doc_id", F.inline(sides)).where("n_tokens > 0").join(wanted, "side")
-        .select("spec_id", "capacity", "doc_id", "n_tokens", F.xxhash64("doc_id").alias("mixed"))
+        sizes.select("doc_id", "row", F.inline(sides)).where("n_tokens > 0").join(wanted, "side")
+        .select("spec_id", "capacity", "doc_id", "n_tokens", F.xxhash64("doc_id", "row").alias("mixed"))
         .withColumn("block", F.pmod("mixed", F.lit(blocks)).cast("int"))
     )
     return items.groupBy("spec_id", "block").applyInArrow(_pack_block, PLACED)

@@ -94,6 +94,12 @@ def test_every_passage_is_whole_and_containers_hold(packed):
     assert {r[0] for r in got} == {1, 2, 3}
 
 
+def test_rows_repeated_under_one_id_share_no_block(spark):
+    df = spark.createDataFrame([(7, "one two three", None, "", "", "")] * 600, SCHEMA)
+    got = packing.pack(df, spark.createDataFrame([(1, "text", 50, 0)], SPECS), block_items=100).groupBy("block").count().collect()
+    assert len(got) == 6 and all(50 < r["count"] < 200 for r in got)
+
+
 def test_empty_tables(spark):
     docs, specs = spark.createDataFrame([], SCHEMA), spark.createDataFrame([], SPECS)
     some = spark.createDataFrame([(1, "a", "b", "", "", "")], SCHEMA)
