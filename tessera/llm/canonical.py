@@ -14,7 +14,8 @@ its letters. Two texts therefore have equal canonical forms if and only if they
 
 The vocabulary is that of a public tokenizer: a file of fixed size, a parameter, loaded once per
 Python worker; nothing about the corpus is collected or broadcast. Texts run through in Arrow
-batches, whole; the words' spellings are kept in a bounded cache.
+batches, whole, and are cut at blanks; what stands between two blanks is worked once and kept in a bounded
+cache, which changes no result: a blank is no part of a word and joins with nothing.
 
 Defined results: NULL stays NULL and empty stays empty; neither is in a pair (equal code points
 are no case). Case, accents, punctuation, digits, raised digits and the number of blanks are
@@ -34,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.tokens import TOKENIZERS, VOCABULARY
-from tessera.session import cut
+from tessera.session import cut, discard
 
 # Letters of the same shape, as Latin, Greek, Cyrillic ('-' where a script has none).
 SAME_SHAPE = """
@@ -49,7 +50,7 @@ VISIBLE_FORMATS = {*range(0x0600, 0x0606), 0x06DD, 0x070F, 0x0890, 0x0891, 0x08E
 #: Ignorables that aren't of category Cf: grapheme joiner, Hangul fillers, Mongolian and other variation selectors, Khmer inherent vowels.
 OTHER_IGNORABLES = {0x034F, 0x115F, 0x1160, 0x3164, 0xFFA0, 0x17B4, 0x17B5, *range(0x180B, 0x1810), *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0)}
 
-#: Spellings kept by a worker, and the longest word kept.
+#: Forms kept by a worker, and the longest part of a text kept.
 CACHE_WORDS, CACHE_LENGTH = 200_000, 64
 SCRIPTS = ("Latin", "Cyrillic", "Greek")
 
@@ -170,16 +171,16 @@ class Table:
         return unicodedata.normalize("NFC", "".join(self.class_of(u) for u in units))
 
 
-class Canonical:
-    """From a text to its canonical form."""
+class Canonical(dict):
+    """From a text to its canonical form; as a dictionary, from what stands between two blanks to its form."""
 
     def __init__(self, vocabulary: Iterable[tuple[str, int]]):
+        super().__init__()
         self.table = Table()
         self.trie = Trie(self.table)
         for word, rank in vocabulary:
             if self._clean(word):
                 self.trie.add(word, rank)
-        self.cache: dict[str, str] = {}
 
     def _clean(self, word: str) -> bool:
         """Fit to be a canonical spelling: composed, of one script, without forms that stand for others."""
@@ -187,25 +188,26 @@ class Canonical:
         return ok and bool(word) and any(r.fullmatch(unicodedata.normalize("NFD", word)) for r in self.table.script.values())
 
     def word(self, word: str) -> str:
-        known = self.cache.get(word)
-        if known is None:
-            hits = self.trie.search(self.table.units(word))
-            known = hits[0][2] if hits else self.table.spell(word)
-            if len(word) <= CACHE_LENGTH:
-                if len(self.cache) >= CACHE_WORDS:
-                    self.cache.clear()
-                self.cache[word] = known
-        return known
+        hits = self.trie.search(self.table.units(word))
+        return hits[0][2] if hits else self.table.spell(word)
 
-    def text(self, text: str) -> str:
+    def __missing__(self, part: str) -> str:
         out, end = [], 0
-        for m in self.table.words.finditer(text):
+        for m in self.table.words.finditer(part):
             if m.start() > end:
-                out.append(text[end : m.start()].translate(self.table.both))
+                out.append(part[end : m.start()].translate(self.table.both))
             out.append(self.word(m[0]))
             end = m.end()
-        out.append(text[end:].translate(self.table.both))
-        return unicodedata.normalize("NFC", "".join(out))
+        out.append(part[end:].translate(self.table.both))
+        form = "".join(out)
+        if len(part) <= CACHE_LENGTH:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[part] = form
+        return form
+
+    def text(self, text: str) -> str:
+        return unicodedata.normalize("NFC", " ".join(map(self.__getitem__, text.split(" "))))
 
 
 def vocabulary_words(path: str) -> Iterator[tuple[str, int]]:
@@ -254,6 +256,24 @@ def look_alikes(documents: DataFrame, vocabulary: str = VOCABULARY, folder: str
     return own.select("doc_id", F.md5("canonical").alias("class_id"), F.md5("text").alias("variant"))
 
 
+def _linked_variants(rows: DataFrame) -> DataFrame:
+    """(class_id, variant, n_docs, n_class) of the classes with several variants."""
+    variants = rows.groupBy("class_id", "variant").agg(F.count("*").alias("n_docs"))
+    classes = variants.groupBy("class_id").agg(F.count("*").alias("n_variants"), F.sum("n_docs").alias("n_class")).where("n_variants > 1")
+    return variants.join(classes.drop("n_variants"), "class_id")
+
+
+def look_alike_classes(documents: DataFrame, vocabulary: str = VOCABULARY, folder: str = TOKENIZERS) -> DataFrame:
+    """``look_alikes`` without repeated rows, with ``n_links``: how many documents of the class have another text.
+
+    The counts are one row per variant of the classes that have several; the documents meet them by
+    class and variant, so copies of one text, however many, are never paired.
+    """
+    rows = cut(look_alikes(documents, vocabulary, folder).distinct(), "forms")
+    counts = _linked_variants(rows).select("class_id", "variant", (F.col("n_class") - F.col("n_docs")).alias("n_links"))
+    return rows.join(counts, ["class_id", "variant"], "left").select("doc_id", "class_id", "variant", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
 def same_looking_pairs(documents: DataFrame, vocabulary: str = VOCABULARY, folder: str = TOKENIZERS) -> DataFrame:
     """(doc_id_a, doc_id_b), a < b: documents that differ in code points and look the same.
 
@@ -261,9 +281,9 @@ def same_looking_pairs(documents: DataFrame, vocabulary: str = VOCABULARY, folde
     rows that come out, however large a group of exact copies is.
     """
     rows = cut(look_alikes(documents, vocabulary, folder), "forms")
-    variants = rows.groupBy("class_id", "variant").agg(F.count("*").alias("copies"))
-    several = variants.groupBy("class_id").agg(F.count("*").alias("n")).where("n > 1").select("class_id")
+    several = _linked_variants(rows).select("class_id").distinct()
     kept = cut(rows.join(several, "class_id", "left_semi").distinct(), "forms")
+    discard(rows)
     v = kept.select("class_id", "variant").distinct()
     links = v.alias("a").join(v.alias("b"), "class_id").where("a.variant < b.variant").select("class_id", F.col("a.variant").alias("va"), F.col("b.variant").alias("vb"))
     left = kept.select("class_id", F.col("variant").alias("va"), F.col("doc_id").alias("x"))

@@ -114,11 +114,22 @@ def test_pairs_against_brute_force(spark, form):
             want.add((min(i, j), max(i, j)))
     assert set(got) == want and (200, 201) in want
     assert sum(1 for p in got if p[1] == 400) == 60
+    classes = [tuple(r) for r in ca.look_alike_classes(df).collect()]
+    links = {i: n for i, _, _, n in classes if i != 5}
+    assert len(classes) == len(set(classes)) and links[400] == 60 and links[300] == 1
+    assert all(n == sum(1 for p in want if i in p and 5 not in p) + sum(1 for j, t in set(docs) if j == 5 and t != dict(docs)[i] and form.text(t) == form.text(dict(docs)[i])) for i, n in links.items())
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from([" ", "a", "а", "é", "\u0301", "\u200b", "\u00a0", "ﬁ", "."]), max_size=10).map("".join))
+def test_cutting_at_blanks_changes_nothing(form, text):
+    whole = form.__class__.__missing__(form, text)
+    assert form.text(text) == unicodedata.normalize("NFC", whole)
 
 
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
-    assert ca.same_looking_pairs(df).count() == 0 and ca.look_alikes(df).count() == 0
+    assert ca.same_looking_pairs(df).count() == 0 and ca.look_alikes(df).count() == 0 and ca.look_alike_classes(df).count() == 0
     one = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
     assert {tuple(r) for r in ca.canonical_documents(one).collect()} == {(1, None), (2, "")}
 
