@@ -9,9 +9,10 @@
    ending and a single start under one parent with equal types is 'renamed', the others are
    'removed' and 'added'.
 4. The changes, and the names that entries, positions and chunks hold one by one, give an alias
-   table, from every spelling of a field to its first one, and the alias table gives the columns
-   and casts that read all files into one consistent table. A spelling that can't be linked is a
-   field, and a column, of its own; ``spellings`` lists all of them with their numbers of values.
+   table, from every spelling of a field to its first one, with the type that holds all values of the field
+   in whatever shape any file writes them. The columns and casts that read all files into one consistent
+   table are generated from it: no field's name or type is written here. A spelling that can't be linked is a
+   field, and a column, of its own; ``spellings`` lists all of them with their types and numbers of values.
 
 Only the catalogue is collected to the driver, and only to write the casts: it has one row per
 spelling of a field and per pair of spellings, whatever the number of rows or files.
@@ -100,24 +101,67 @@ def _footers(batches: Iterator) -> Iterator:
         yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(cols, types)], ["tab", "shard", "file_no", "path", "kind"])
 
 
-def _shape(x) -> str:
-    """What a value is, however it is written; '' if it doesn't tell."""
+class _TextShapes(dict):
+    """What texts are: 'number', 'fraction', 'numbers' joined by '|', 'place' (file-rem@pos) or 'text'."""
+
+    KEPT = 100_000
+
+    def __missing__(self, x: str) -> str:
+        if re.fullmatch(r"\s*[-+]?\d+(\.0*)?\s*", x):
+            shape = "number"
+        elif re.fullmatch(r"\s*[-+]?\d*\.?\d+([eE][-+]?\d+)?\s*", x):
+            shape = "fraction"
+        elif re.fullmatch(r"-?\d+(\|-?\d+)+", x):
+            shape = "numbers"
+        else:
+            shape = "place" if re.fullmatch(r".*-\d+@\d+", x) else "text"
+        if len(self) >= self.KEPT:
+            self.clear()
+        if len(x) <= 100:
+            self[x] = shape
+        return shape
+
+
+_TEXTS = _TextShapes()
+_LISTS = {frozenset(["number"]): "numbers", frozenset(["text"]): "names", frozenset(["text", "number"]): "place", frozenset(["fraction"]): "fractions", frozenset(["number", "fraction"]): "fractions"}
+
+
+def _scalar(x) -> str:
+    """The shape of a value in a list or object, by its type alone."""
     if isinstance(x, bool):
         return "boolean"
-    if isinstance(x, (int, float)):
+    if isinstance(x, int):
         return "number"
+    return ("number" if x.is_integer() else "fraction") if isinstance(x, float) else "text"
+
+
+def _shape(x) -> str:
+    """What a value is, however it is written; '' if it doesn't tell. An object's shape ends with the order of its names."""
     if isinstance(x, str):
-        if re.fullmatch(r"\s*[-+]?\d+(\.\d*)?([eE][-+]?\d+)?\s*", x):
-            return "number"
-        if re.fullmatch(r"-?\d+(\|-?\d+)+", x):
-            return "numbers"
-        return "place" if re.fullmatch(r".*-\d+@\d+", x) else "text"
-    parts = {_shape(y) for y in (x if isinstance(x, list) else x.values()) if not isinstance(y, (list, dict, type(None)))}
-    return {frozenset(["number"]): "numbers", frozenset(["text"]): "names", frozenset(["text", "number"]): "place"}.get(frozenset(parts), "")
+        return _TEXTS[x]
+    if not isinstance(x, (list, dict)):
+        return _scalar(x)
+    parts = list(x if isinstance(x, list) else x.values())
+    if any(isinstance(y, (list, dict)) for y in parts):
+        return ""
+    shape = _LISTS.get(frozenset(_scalar(y) for y in parts if y is not None), "")
+    return shape if isinstance(x, list) or not shape else f"{shape}:{','.join(x)}"
 
 
 def _kept(record: dict) -> tuple:
-    return tuple([(k, _kept(x) if type(x) is dict else type(x)) for k, x in record.items() if x is not None])
+    """What tells records apart that don't give the same names and shapes."""
+    out = []
+    for k, x in record.items():
+        kind = type(x)
+        if kind is str:
+            out.append((k, _TEXTS[x]))
+        elif kind is dict:
+            out.append((k, _kept(x)))
+        elif kind is list:
+            out.append((k, frozenset(map(type, x)) if float not in map(type, x) else _shape(x)))
+        elif x is not None:
+            out.append((k, _scalar(x)))
+    return tuple(out)
 
 
 def _named(record: dict, path: str, skip: tuple = ()) -> list:
@@ -255,18 +299,38 @@ def found_changes(diffs: DataFrame, revisions: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Alias:
-    """A spelling of a field and the name that its values get."""
+    """A spelling of a field, the name that its values get and the type that holds those of all spellings."""
 
     path: str
     canonical: str
     types: str
     values: int
+    cast: str
+    orders: tuple = ()  # of the names in objects that stand for lists, the usual order of each set of names
+
+
+#: Fields of the form that the first files have (as the store's description gives it); two of them are never one field.
+FIRST_FORM = frozenset([*(f"{CHUNK}.{n}" for n in ("id", "min", "max", "count", "measures")), *(f"{POSITION}.{n}" for n in ("log", "from", "to"))])
 
+PLACE = "struct<file:string,rem:bigint,pos:bigint>"
 
-#: Fields with a column and a cast of their own; two of them are never one field.
-CHUNK_COLUMNS = {"id": "chunk_id", "min": "min_key", "max": "max_key", "count": "row_count", "measures": "measures", "sealed": "sealed", "tier": "tier", "bytes": "bytes"}
-POSITION_COLUMNS = ("log", "from", "to", "lag")
-_OWN = {f"{CHUNK}.{n}" for n in CHUNK_COLUMNS} | {f"{POSITION}.{n}" for n in POSITION_COLUMNS}
+
+def cast_of(types: set[str], shapes: set[str]) -> str:
+    """The type that holds all values of a field with these JSON types and shapes without loss; STRING, the text as it is, if nothing better does.
+
+    What was never anything but a text stays one. Whole numbers are BIGINT even if some files write them with a point, unless all do.
+    """
+    if types <= {"string"} or not shapes:
+        return "string"
+    if shapes <= {"boolean"}:
+        return "boolean"
+    if shapes <= {"number", "fraction"}:
+        return "double" if "fraction" in shapes or types == {"double"} else "bigint"
+    if shapes <= {"numbers", "fractions", "number"}:  # a list of one may be written as its element
+        return "array<double>" if "fractions" in shapes else "array<bigint>"
+    if shapes <= {"names", "text"} and "array" in types:
+        return "array<string>"
+    return PLACE if shapes <= {"place"} else "string"
 
 
 def roll_outs(records: DataFrame) -> DataFrame:
@@ -304,8 +368,8 @@ def _links(footer: DataFrame, change_log: DataFrame) -> list[tuple[str, str]]:
     return sorted((r["old"], r["new"]) for r in links.collect())
 
 
-def alias_table(footer: DataFrame, change_log: DataFrame, records: DataFrame) -> list[Alias]:
-    """Every spelling of a field with its canonical path.
+def alias_table(footer: DataFrame, change_log: DataFrame, records: DataFrame, apart_always: frozenset = FIRST_FORM) -> list[Alias]:
+    """Every spelling of a field with its canonical path and type.
 
     Renames lead to the older name. Where several fields under one parent change at once, the
     catalogue says removed and added; a removed and an added field of one producer and file are
@@ -313,24 +377,30 @@ def alias_table(footer: DataFrame, change_log: DataFrame, records: DataFrame) ->
     holds the other ('max' and 'max_key') and the types agree. Names that take turns from record
     to record (``roll_outs``) are one field if their values have one shape, however written; of
     several old names the one with the same or a like name counts, then the only one, else none.
-    Names that one record holds together are never one field. The older of two names is the one
+    Names that one record holds together are never one field, nor are two of ``apart_always``. The older of two names is the one
     seen in the earliest file, then the one in more files.
     """
     all_types = F.array_distinct(F.flatten(F.collect_set(F.split("types", r"\|"))))
     spellings = footer.where("path <> ''").groupBy("path").agg(F.min("file_no").alias("first"), F.count("*").alias("files"), F.array_join(F.array_sort(all_types), "|").alias("types"))
     seen = {r["path"]: r for r in spellings.collect()}
-    shapes: dict[str, set] = {}
+    own: dict[str, set] = {}
+    orders: dict[str, Counter] = {}
     values: Counter = Counter()
-    for r in records.select("n", F.explode("fields").alias("f")).groupBy("f.name").agg(F.sum("n").alias("n"), F.collect_set("f.shape").alias("shapes")).collect():
-        values[r["name"]] = r["n"]
-        shapes[r["name"]] = {"names" if x == "text" else x for x in r["shapes"]} - {""}
+    for r in records.select("n", F.explode("fields").alias("f")).groupBy("f.name", "f.shape").agg(F.sum("n").alias("n")).collect():
+        shape, _, order = r["shape"].partition(":")
+        values[r["name"]] += r["n"]
+        own.setdefault(r["name"], set()).update({shape} - {""})
+        if order:
+            orders.setdefault(r["name"], Counter())[tuple(order.split(","))] += r["n"]
+    alike = {"text": "names", "fraction": "number", "fractions": "numbers"}  # what can stand for the same
+    shapes = {n: {alike.get(x, x) for x in found} for n, found in own.items()}
     pairs = records.select(F.explode("names").alias("a"), "names").select("a", F.explode("names").alias("b")).where("a < b").distinct().collect()
     together = {(r["a"], r["b"]) for r in pairs}
     turns = roll_outs(records.select("tab", "shard", "file_no", "below", "names", "n")).collect()
     group = {p: {p} for p in seen}
 
     def apart(a: str, b: str) -> bool:
-        return any((min(x, y), max(x, y)) in together or x in _OWN and y in _OWN for x in group[a] for y in group[b])
+        return any((min(x, y), max(x, y)) in together or x in apart_always and y in apart_always for x in group[a] for y in group[b])
 
     def link(a: str, b: str) -> None:
         if group[a] is not group[b] and not apart(a, b):
@@ -366,7 +436,19 @@ def alias_table(footer: DataFrame, change_log: DataFrame, records: DataFrame) ->
                 link(old, new)
                 left = True
     older = lambda p: (seen[p]["first"], -seen[p]["files"], p)
-    return [Alias(p, min(group[p], key=older), seen[p]["types"], values[p]) for p in sorted(seen)]
+
+    def usual(members: set) -> tuple:
+        """Of each set of names the order in which most objects write it."""
+        counted: Counter = sum((orders.get(p, Counter()) for p in sorted(members)), Counter())
+        best: dict[frozenset, tuple] = {}
+        for order, _ in sorted(counted.items(), key=lambda o: (-o[1], o[0])):
+            best.setdefault(frozenset(order), order)
+        return tuple(sorted(best.values()))
+
+    def cast(members: set) -> str:
+        return cast_of({t for p in members for t in seen[p]["types"].split("|")}, set().union(*[own.get(p, set()) for p in members]))
+
+    return [Alias(p, min(group[p], key=older), seen[p]["types"], values[p], cast(group[p]), usual(group[p])) for p in sorted(seen)]
 
 
 def _first_of(record: str, leaves: list[str]) -> str:
@@ -378,11 +460,6 @@ def _first_of(record: str, leaves: list[str]) -> str:
     return f"coalesce({', '.join(gets)})" if gets else "CAST(NULL AS STRING)"
 
 
-def _heads(leaves: list[list[str]], always: str) -> list[str]:
-    """The fields to read: first names of all spellings."""
-    return sorted({always} | {x.partition(".")[0] for own in leaves for x in own})
-
-
 def _level(path: str) -> str | None:
     """The record that a path is a field of; None for the lists that hold the records."""
     if path.startswith(CHUNK + "."):
@@ -392,8 +469,18 @@ def _level(path: str) -> str | None:
     return None if path in (POSITION, AGGREGATIONS) or path.startswith(AGGREGATIONS + ".") else ENTRY
 
 
-def _columns(aliases: list[Alias], below: str, own: Sequence[str]) -> tuple[dict[str, list[str]], dict[str, tuple[str, list[str], str]]]:
-    """The spellings of the fields with a cast of their own, by field, and (name, spellings, types) of all others, by a number.
+@dataclass(frozen=True)
+class Field:
+    """A column of a consistent table: how its values are spelled in the files and what they become."""
+
+    name: str
+    spellings: tuple
+    cast: str
+    orders: tuple
+
+
+def _fields_of(aliases: list[Alias], below: str) -> list[Field]:
+    """The columns of entries, positions or chunks, generated from the alias table.
 
     An object whose spellings are always objects is read as the fields in it; the fields in any
     other object belong to its value.
@@ -404,50 +491,51 @@ def _columns(aliases: list[Alias], below: str, own: Sequence[str]) -> tuple[dict
     for a in mine:
         groups.setdefault(a.canonical, []).append(a)
     of = {a.path: a.canonical for a in mine}
-    special = {of[at + n]: n for n in own if at + n in of}
-
-    def value(canonical: str) -> bool:
-        return canonical in special or any(a.types != "object" for a in groups[canonical])
+    value = lambda canonical: any(a.types != "object" for a in groups[canonical])
 
     def inside(path: str) -> bool:
         above = [path[:i] for i in range(len(at), len(path)) if path[i] == "."]
         return any(a in of and value(of[a]) for a in above)
 
-    def spelled(canonical: str) -> list[str]:
-        return [a.path[len(at) :] for a in sorted(groups[canonical], key=lambda a: (a.path != canonical, a.path))]
-
-    found = {n: spelled(of[at + n]) if at + n in of else [] for n in own}
-    rest = {}
-    for canonical, spellings in groups.items():
-        has_fields = any(p.startswith(f"{a.path}.") for a in spellings for p in of)
-        if canonical in special or all(inside(a.path) for a in spellings) or has_fields and not value(canonical):
+    out = []
+    for canonical, own in groups.items():
+        has_fields = any(p.startswith(f"{a.path}.") for a in own for p in of)
+        if all(inside(a.path) for a in own) or has_fields and not value(canonical):
             continue
-        types = "|".join(sorted({t for a in spellings for t in a.types.split("|")}))
-        rest[f"x{len(rest)}"] = (canonical[len(at) :].replace(".", "_"), spelled(canonical), types)
-    return found, rest
-
-
-def _by_types(name: str, types: str) -> Column:
-    """The value of a field without a cast of its own: BIGINT, DOUBLE or BOOLEAN if all its values are, else the text it has."""
-    text = F.col(name)
-    if types == "int":
-        return text.try_cast("bigint")
-    if types in ("double", "double|int"):
-        return text.try_cast("double")
-    return text.try_cast("boolean") if types == "boolean" else text
+        spelled = sorted(own, key=lambda a: (a.path != canonical, a.path))
+        out.append(Field(canonical[len(at) :].replace(".", "_"), tuple(a.path[len(at) :] for a in spelled), own[0].cast, own[0].orders))
+    return out
 
 
-def _others(rest: dict[str, tuple[str, list[str], str]], taken: Sequence[str]) -> list[Column]:
-    """Columns of the fields without a cast of their own, under names that aren't taken."""
+def _columns(fields: list[Field], taken: Sequence[str]) -> list[Column]:
+    """The cast of each field, read under ``t_`` and its place, under a name that isn't taken; a place is three columns."""
     names, out = {t.lower() for t in taken}, []
-    for key, (name, _, types) in rest.items():
+
+    def free(name: str) -> str:
         while name.lower() in names:
             name += "_"
         names.add(name.lower())
-        out.append(_by_types(f"t_{key}", types).alias(name))
+        return name
+
+    for i, f in enumerate(fields):
+        value = _cast(f"t_{i}", f)
+        parts = [(f"{f.name}_{part}", value[part]) for part in ("file", "rem", "pos")] if f.cast == PLACE else [(f.name, value)]
+        out += [v.alias(free(n)) for n, v in parts]
     return out
 
 
+def _cast(name: str, field: Field) -> Column:
+    if field.cast == "bigint":
+        return as_number(name)
+    if field.cast in ("double", "boolean"):
+        return F.col(name).try_cast(field.cast)
+    if field.cast in ("array<bigint>", "array<double>"):
+        return list_of_numbers(name, field.orders, field.cast)
+    if field.cast == "array<string>":
+        return list_of_names(name)
+    return log_place(name) if field.cast == PLACE else F.col(name)
+
+
 def as_number(name: str) -> Column:
     """A whole number written as int, double or text."""
     return F.expr(f"try_cast(try_cast(`{name}` AS DECIMAL(38,6)) AS BIGINT)")
@@ -456,17 +544,19 @@ def as_number(name: str) -> Column:
 _KEY, _OBJECT = r"^\s*\[", r"^\s*\{"
 
 
-def list_of_numbers(name: str, order: tuple = ("day", "adv")) -> Column:
-    """ARRAY<BIGINT> from a JSON list of numbers, from an object of numbers, or from numbers joined by '|'.
+def list_of_numbers(name: str, orders: Sequence[tuple] = (), cast: str = "array<bigint>") -> Column:
+    """A list from a JSON list of numbers, from an object of numbers, or from numbers joined by '|'.
 
-    An object with exactly the fields of ``order`` gives them in that order, another one in the
+    An object with exactly the names of one of ``orders`` gives its numbers in that order, another one in the
     order they are written in. What isn't a number becomes NULL.
     """
     held = F.from_json(name, "map<string,string>")
-    named = F.array(*[F.element_at(held, f) for f in order])
-    of_object = F.when(F.array_sort(F.map_keys(held)) == F.array(*[F.lit(f) for f in sorted(order)]), named).otherwise(F.map_values(held))
+    of_object = F.map_values(held)
+    for order in orders:
+        same = F.array_sort(F.map_keys(held)) == F.array(*[F.lit(f) for f in sorted(order)])
+        of_object = F.when(same, F.array(*[F.element_at(held, f) for f in order])).otherwise(of_object)
     texts = F.when(F.col(name).rlike(_KEY), F.from_json(name, "array<string>")).when(F.col(name).rlike(_OBJECT), of_object).otherwise(F.split(name, r"\|"))
-    return texts.try_cast("array<bigint>")
+    return F.transform(texts, lambda x: x.try_cast("decimal(38,6)").try_cast("bigint")) if cast == "array<bigint>" else texts.try_cast(cast)
 
 
 def list_of_names(name: str) -> Column:
@@ -504,69 +594,56 @@ def _catalogue(diffs: DataFrame, revisions: DataFrame) -> list[Alias]:
 
 
 def spellings(diffs: DataFrame, revisions: DataFrame) -> DataFrame:
-    """(path, canonical, types, n_values, is_linked): every spelling of a field of an entry, position or chunk.
+    """(path, canonical, types, cast, n_values, is_linked): every spelling of a field of an entry, position or chunk.
 
-    ``n_values`` counts the records that hold it; ``is_linked`` says that other spellings share its canonical path.
+    ``cast`` is the type of the canonical column; ``n_values`` counts the records that hold the spelling; ``is_linked`` says that
+    other spellings share its canonical path.
     """
     aliases = [a for a in _catalogue(diffs, revisions) if _level(a.path) is not None]
     sizes = Counter(a.canonical for a in aliases)
-    rows = [(a.path, a.canonical, a.types, a.values, sizes[a.canonical] > 1) for a in aliases]
-    return diffs.sparkSession.createDataFrame(rows, "path string, canonical string, types string, n_values bigint, is_linked boolean")
+    rows = [(a.path, a.canonical, a.types, a.cast, a.values, sizes[a.canonical] > 1) for a in aliases]
+    return diffs.sparkSession.createDataFrame(rows, "path string, canonical string, types string, cast string, n_values bigint, is_linked boolean")
 
 
-def _spelled(record: str, own: dict[str, list[str]], rest: dict[str, tuple[str, list[str], str]]) -> tuple[list[list[str]], str]:
-    """All spellings of all fields, and the SQL that reads each field of a record under ``t_`` and its name."""
-    leaves = own | {key: spelled for key, (_, spelled, _) in rest.items()}
-    return list(leaves.values()), ", ".join(f"{_first_of(record, x)} AS t_{n}" for n, x in leaves.items())
+def _heads(fields: list[Field], always: Sequence[str] = ()) -> list[str]:
+    """The fields to read: first names of all spellings."""
+    return sorted({*always, *(x.partition(".")[0] for f in fields for x in f.spellings)})
 
 
-def consistent_entries(diffs: DataFrame, revisions: DataFrame) -> DataFrame:
-    """All entries of all files, with every field but their positions and ops, of which they have the numbers."""
-    _, rest = _columns(_catalogue(diffs, revisions), ENTRY, ())
-    leaves, found = _spelled("e.x", {}, rest)
-    fields = sorted({x.partition(".")[0] for own in leaves for x in own})
-    schema = "array<struct<" + "".join(f"`{f}`:string," for f in fields) + "positions:array<string>,ops:array<string>>>"
-    numbers = "coalesce(size(e.x.positions), 0) AS n_positions, coalesce(size(e.x.ops), 0) AS n_ops"
-    rows = f"transform({flatten._list('entries')}, e -> struct(e.i AS entry_no, {numbers}{', ' + found if found else ''}))"
+def _reads(record: str, fields: list[Field]) -> str:
+    """The SQL that reads each field of a record under ``t_`` and its place, after what comes before it in a struct."""
+    return "".join(f", {_first_of(record, list(f.spellings))} AS t_{i}" for i, f in enumerate(fields))
+
+
+def _consistent(diffs: DataFrame, revisions: DataFrame, schema: str, rows: str, fields: list[Field]) -> DataFrame:
     parts = [flatten.parsed(df, text, keys, schema).selectExpr(*keys, f"inline({rows})") for df, text, keys in _sources(diffs, revisions)]
     texts = parts[0].unionByName(parts[1])
     kept = [c for c in texts.columns if not c.startswith("t_")]
-    return texts.select(*kept, *_others(rest, kept))
+    return texts.select(*kept, *_columns(fields, kept))
+
+
+def consistent_entries(diffs: DataFrame, revisions: DataFrame) -> DataFrame:
+    """All entries of all files, with every field but their positions and ops, of which they have the numbers."""
+    fields = _fields_of(_catalogue(diffs, revisions), ENTRY)
+    schema = "array<struct<" + "".join(f"`{f}`:string," for f in _heads(fields)) + "positions:array<string>,ops:array<string>>>"
+    numbers = "coalesce(size(e.x.positions), 0) AS n_positions, coalesce(size(e.x.ops), 0) AS n_ops"
+    rows = f"transform({flatten._list('entries')}, e -> struct(e.i AS entry_no, {numbers}{_reads('e.x', fields)}))"
+    return _consistent(diffs, revisions, schema, rows, fields)
 
 
 def consistent_chunks(diffs: DataFrame, revisions: DataFrame) -> DataFrame:
     """All chunks of all files under the oldest names, cast to one type each, with every field that any file has."""
-    own, rest = _columns(_catalogue(diffs, revisions), CHUNK, list(CHUNK_COLUMNS))
-    leaves, found = _spelled("c.x", own, rest)
-    schema = flatten.commit_schema(_heads(leaves, "id"))
-    side = lambda name: f"transform({flatten._list(f'm.value.{name}')}, c -> struct(e.i AS entry_no, o.i AS op_no, m.key AS aggregation, '{name}' AS action, c.i AS chunk_no, {found}))"
+    fields = _fields_of(_catalogue(diffs, revisions), CHUNK)
+    schema = flatten.commit_schema(_heads(fields, ["id"]))
+    reads = _reads("c.x", fields)
+    side = lambda name: f"transform({flatten._list(f'm.value.{name}')}, c -> struct(e.i AS entry_no, o.i AS op_no, m.key AS aggregation, '{name}' AS action, c.i AS chunk_no{reads}))"
     rows = f"flatten(transform({flatten._list('entries')}, e -> flatten(transform({flatten._list('e.x.ops')}, o -> flatten(transform(map_entries(o.x), m -> concat({side('added')}, {side('removed')})))))))"
-    parts = [flatten.parsed(df, text, keys, schema).selectExpr(*keys, f"inline({rows})") for df, text, keys in _sources(diffs, revisions)]
-    texts = parts[0].unionByName(parts[1])
-    kept = [c for c in texts.columns if not c.startswith("t_")]
-    return texts.select(
-        *kept,
-        as_number("t_id").alias("chunk_id"), list_of_numbers("t_min").alias("min_key"), list_of_numbers("t_max").alias("max_key"),
-        as_number("t_count").alias("row_count"), list_of_names("t_measures").alias("measures"),
-        F.expr("try_cast(t_sealed AS BOOLEAN)").alias("sealed"), F.expr("try_cast(t_tier AS INT)").alias("tier"), as_number("t_bytes").alias("bytes"),
-        *_others(rest, [*kept, *CHUNK_COLUMNS.values()]),
-    )
+    return _consistent(diffs, revisions, schema, rows, fields)
 
 
 def consistent_positions(diffs: DataFrame, revisions: DataFrame) -> DataFrame:
-    """All log positions of all files under the oldest names, with from and to as (file, rem, pos), with every field that any file has."""
-    own, rest = _columns(_catalogue(diffs, revisions), POSITION, POSITION_COLUMNS)
-    leaves, found = _spelled("p.x", own, rest)
-    schema = flatten.commit_schema(["id"], _heads(leaves, "log"))
-    rows = f"flatten(transform({flatten._list('entries')}, e -> transform({flatten._list('e.x.positions')}, p -> struct(e.i AS entry_no, p.i AS position_no, {found}))))"
-    parts = [flatten.parsed(df, text, keys, schema).selectExpr(*keys, f"inline({rows})") for df, text, keys in _sources(diffs, revisions)]
-    texts = parts[0].unionByName(parts[1])
-    kept = [c for c in texts.columns if not c.startswith("t_")]
-    places = ["from_file", "from_rem", "from_pos", "to_file", "to_rem", "to_pos"]
-    place = texts.select("*", log_place("t_from").alias("t_f"), log_place("t_to").alias("t_t"))
-    return place.select(
-        *kept, F.col("t_log").alias("log"),
-        F.col("t_f.file").alias("from_file"), F.col("t_f.rem").alias("from_rem"), F.col("t_f.pos").alias("from_pos"),
-        F.col("t_t.file").alias("to_file"), F.col("t_t.rem").alias("to_rem"), F.col("t_t.pos").alias("to_pos"),
-        F.expr("try_cast(t_lag AS INT)").alias("lag"), *_others(rest, [*kept, "log", "lag", *places]),
-    )
+    """All log positions of all files under the oldest names, places in the log as (file, rem, pos), with every field that any file has."""
+    fields = _fields_of(_catalogue(diffs, revisions), POSITION)
+    schema = flatten.commit_schema(["id"], _heads(fields, ["log"]))
+    rows = f"flatten(transform({flatten._list('entries')}, e -> transform({flatten._list('e.x.positions')}, p -> struct(e.i AS entry_no, p.i AS position_no{_reads('p.x', fields)}))))"
+    return _consistent(diffs, revisions, schema, rows, fields)
