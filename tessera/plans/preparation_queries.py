@@ -55,8 +55,7 @@ def _orphans(op: Callable) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def _descendants(spark: SparkSession, d: str) -> DataFrame:
-    pairs = hierarchy.closure(hierarchy.parent_links(table(spark, d, "ot_diffs")))
-    return pairs.groupBy(F.col("ancestor").alias("revision_id")).agg(F.count("*").alias("n_descendants"), F.max("distance").alias("height"))
+    return hierarchy.descendant_counts(hierarchy.parent_links(table(spark, d, "ot_diffs"))).withColumnRenamed("id", "revision_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -119,6 +118,11 @@ tree AS (
         CASE WHEN NOT looped THEN 'tree' WHEN first_at = 0 THEN 'cycle' ELSE 'below_cycle' END AS kind, way
     FROM ends)"""
 
+_PAIRS = """
+pairs AS (
+    SELECT ancestor, id, min(distance) AS distance FROM (SELECT id, unnest(way[2:]) AS ancestor, unnest(range(1, len(way))) AS distance FROM ends) AS steps
+    WHERE ancestor <> id GROUP BY ancestor, id)"""
+
 _REFERENCES = """
 refs AS (
     SELECT 'parent_id' AS ref_field, revision_id, parent_id AS ref_id, min(file_no) AS first_file, min(arrived_at) AS first_at FROM ot_diffs WHERE parent_id > 0 GROUP BY revision_id, parent_id
@@ -153,9 +157,8 @@ def oracle_sql() -> dict[str, str]:
             WHERE t.kind = 'tree' AND a.level <> b.level + t.depth""",
         "p5_hierarchy": f"""WITH RECURSIVE {_LINKS} SELECT id AS revision_id, root AS root_id, depth, kind,
             array_to_string(list_reverse(way[:depth + 1]), '/') AS path FROM tree""",
-        "p5_descendants": f"""WITH RECURSIVE {_LINKS},
-            pairs AS (SELECT unnest(way[2:]) AS ancestor, unnest(range(1, len(way))) AS distance FROM tree WHERE kind = 'tree')
-            SELECT ancestor AS revision_id, count(*) AS n_descendants, max(distance) AS height FROM pairs GROUP BY ancestor""",
+        "p5_descendants": f"""WITH RECURSIVE {_LINKS}, {_PAIRS} SELECT ancestor AS revision_id, count(*) AS n_descendants, max(distance) AS height FROM pairs GROUP BY ancestor""",
+        "p5_closure": f"WITH RECURSIVE {_LINKS}, {_PAIRS} SELECT ancestor, id, distance FROM pairs",
         "p6_found": f"WITH {_TEXTS} SELECT DISTINCT tab, revision_id, parent_id, entry_no, op_no, aggregation, action, chunk_id FROM chunks",
         "p6_entries": f"""WITH {_TEXTS} SELECT tab, revision_id, parent_id, feed_seq, entry_no, coalesce(json_array_length(entry, '$.positions'), 0)::INT AS n_positions,
             coalesce(json_array_length(entry, '$.ops'), 0)::INT AS n_ops FROM entries""",

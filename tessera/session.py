@@ -15,7 +15,8 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _own_root: str | None = None
 _shipped: set[str] = set()
@@ -89,6 +90,13 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     return out
 
 
+def cut_counting(df: DataFrame, test: Column, label: str = "cut") -> tuple[DataFrame, int]:
+    """``cut``, and how many rows meet ``test``, counted as they are written."""
+    seen = Observation()
+    out = cut(df.observe(seen, F.count(F.when(test, 1)).alias("n")), label)
+    return out, seen.get["n"]
+
+
 def discard(*tables: DataFrame | None) -> None:
     """Removes tables made by ``cut``; nothing that still reads them may run afterwards."""
     for df in tables:

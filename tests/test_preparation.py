@@ -349,7 +349,7 @@ def test_p5_shapes(spark):
 
 
 def test_p5_descendants_on_and_below_circles(spark):
-    links = [(2, 1), (3, 2), (9, 9), (10, 9), (20, 21), (21, 22), (22, 20), (30, 22), (31, 30)]
+    links = [(2, 1), (3, 2), (9, 9), (10, 9), (8, 8), (20, 21), (21, 22), (22, 20), (30, 22), (31, 30), (40, 20), *[(50 + i, 49 + i) for i in range(1, 12)], (50, 61), (70, 57), (71, 70), *[(80 + i, 79 + i) for i in range(1, 9)], (80, 31)]
     df = spark.createDataFrame(links, "revision_id long, parent_id long")
     parent, want = dict(links), set()
     for node in parent:
@@ -358,6 +358,11 @@ def test_p5_descendants_on_and_below_circles(spark):
             want |= {(at, node, far)} if at != node and not any(w[:2] == (at, node) for w in want) else set()
             at, far = parent.get(at), far + 1
     assert rows(hierarchy.descendants(hierarchy.parent_links(df))) == want
+    counts: dict = {}
+    for at, _, far in want:
+        n, height = counts.get(at, (0, 0))
+        counts[at] = n + 1, max(height, far)
+    assert {r.id: (r.n_descendants, r.height) for r in hierarchy.descendant_counts(hierarchy.parent_links(df)).collect()} == counts
 
 
 def test_p5_long_chain_with_a_hub(spark):
@@ -365,6 +370,8 @@ def test_p5_long_chain_with_a_hub(spark):
     df = spark.createDataFrame(links, "revision_id long, parent_id long")
     got = {r.id: r.depth for r in hierarchy.hierarchy(hierarchy.parent_links(df)).collect()}
     assert got[299] == 298 and got[1100] == 299 and len(got) == 499
+    counts = {r.id: (r.n_descendants, r.height) for r in hierarchy.descendant_counts(hierarchy.parent_links(df)).collect()}
+    assert counts[1] == (498, 299) and counts[299] == (200, 1) and counts[150] == (349, 150) and 1100 not in counts
 
 
 def test_p6_chunks(data):
