@@ -57,10 +57,22 @@ def flat_map(df: DataFrame, items: Column, name: str, keep: Sequence[str] = ())
 
 
 def take_until(df: DataFrame, test: Column, order: Sequence[Column | str], partition: Sequence[str] = ()) -> DataFrame:
-    """Rows up to and including the first, in ``order``, that meets ``test``; per partition key if given."""
-    w = Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    stopped = F.coalesce(F.max(F.coalesce(test, F.lit(False)).cast("int")).over(w), F.lit(0))
-    return df.withColumn("__stopped", stopped).where("__stopped = 0").drop("__stopped")
+    """Rows up to and including the first, in ``order``, that meets ``test``; per partition key if given.
+
+    Where ``order`` is plain columns, the place of the first hit is a minimum, combined before the
+    shuffle, and every row is compared with it: nothing is sorted and no task holds a partition's rows. ``order``
+    should tell rows apart; rows that tie with the hit come with it. Other orders need a window.
+    """
+    if not all(isinstance(o, str) for o in order):
+        w = Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        stopped = F.coalesce(F.max(F.coalesce(test, F.lit(False)).cast("int")).over(w), F.lit(0))
+        return df.withColumn("__stopped", stopped).where("__stopped = 0").drop("__stopped")
+    place = F.struct(*[F.col(o).alias(f"o{i}") for i, o in enumerate(order)])
+    hits = df.where(test).groupBy(*[F.col(p).alias(f"__p{i}") for i, p in enumerate(partition)]).agg(F.min(place).alias("__stop"))
+    if not partition:  # one row
+        return df.where(F.coalesce(place <= hits.scalar(), F.lit(True)))
+    same = [df[p].eqNullSafe(hits[f"__p{i}"]) for i, p in enumerate(partition)]
+    return df.join(hits, same, "left").where(F.col("__stop").isNull() | (place <= F.col("__stop"))).select(*[df[c] for c in df.columns])
 
 
 def transduce(df: DataFrame, schema: str, on_item: Callable[[pd.DataFrame, dict], pd.DataFrame], on_started: Callable[[], dict] = dict, on_end: Callable[[dict], pd.DataFrame | None] = lambda state: None) -> DataFrame:
@@ -88,6 +100,13 @@ def byte_range(df: DataFrame, column: str, offset: int, length: int | None = Non
     return df.withColumn(column, part)
 
 
+def chunk_bytes(df: DataFrame, column: str, size: int) -> DataFrame:
+    """A binary column cut into pieces of ``size`` bytes at most, a row each, numbered from 0 by ``piece``; an empty value is one empty piece, NULL none."""
+    pieces = F.sequence(F.lit(0), F.greatest(F.floor((F.octet_length(column) - 1) / size), F.lit(0)).cast("int"))
+    spread = df.where(F.col(column).isNotNull()).withColumn("piece", F.explode(pieces))
+    return spread.withColumn(column, F.substring(column, F.col("piece") * size + 1, F.lit(size)))
+
+
 def observed(df: DataFrame, name: str):
     """(``df`` that counts its rows as they pass, the Observation that holds the count)."""
     from pyspark.sql import Observation
@@ -173,14 +192,29 @@ def rendezvous(df: DataFrame, key: str, shards: Mapping[str, int] | Sequence[str
     return placed.join(F.broadcast(ranked), "__bucket").drop("__bucket")
 
 
-def read_settings(df: DataFrame, fields: Sequence[str], filters: Mapping[str, object] | None = None, sort: Mapping[str, str] | None = None, offset: int = 0, limit: int | None = None) -> DataFrame:
-    """A page of a grid: equality filters, sort orders ('asc' or 'desc'), offset and limit."""
+_FILTERS = {
+    "=": lambda c, v: c.eqNullSafe(F.lit(v)), "!=": lambda c, v: ~c.eqNullSafe(F.lit(v)), ">": lambda c, v: c > v, ">=": lambda c, v: c >= v, "<": lambda c, v: c < v, "<=": lambda c, v: c <= v,
+    "in": lambda c, v: c.isin(list(v)), "like": lambda c, v: F.contains(c.cast("string"), F.lit(v)),
+}
+
+
+def read_settings(df: DataFrame, fields: Sequence[str], filters: Mapping[str, object] | None = None, sort: Mapping[str, str] | None = None, offset: int = 0, limit: int | None = None, key: str | None = None, extra: Sequence | None = None) -> DataFrame:
+    """A page of a grid: filters, sort orders ('asc' or 'desc'), offset and limit.
+
+    A filter is a value, or (operator, value) with one of = != > >= < <= in like. ``extra`` are ids (of the
+    column ``key``) whose rows come after the page, whatever the filters say, unless they are on it.
+    """
+    everything = df
     for name, v in (filters or {}).items():
-        df = df.where(F.col(name).eqNullSafe(F.lit(v)))
+        op, value = v if isinstance(v, tuple) else ("=", v)
+        df = df.where(_FILTERS[op](F.col(name), value))
     if sort:
         df = df.orderBy(*[F.col(n).desc_nulls_last() if o == "desc" else F.col(n).asc_nulls_first() for n, o in sort.items()])
     if offset:
         df = df.offset(offset)
     if limit is not None:
         df = df.limit(limit)
-    return df.select(*fields)
+    if not extra:
+        return df.select(*fields)
+    asked = everything.where(F.col(key).isin(list(extra)))
+    return df.select(*fields).unionByName(asked.join(df.select(key), key, "left_anti").select(*fields))

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import flatten
-from tessera.session import cut
+from tessera.session import cut, discard
 
 FOOTER = "tab string, shard int, file_no int, path string, kind string"
 
@@ -590,7 +590,10 @@ def _catalogue(diffs: DataFrame, revisions: DataFrame) -> list[Alias]:
     fields = F.from_json("path", "array<array<string>>")
     named = F.transform(fields, lambda f: F.struct(f[0].alias("name"), f[1].alias("shape")))
     records = per_file.select("tab", "shard", "file_no", F.col("kind").alias("below"), "n", named.alias("fields")).withColumn("names", F.col("fields.name"))
-    return alias_table(footer, cut(changes(footer), "changes"), cut(records, "records"))
+    log, records = cut(changes(footer), "changes"), cut(records, "records")
+    aliases = alias_table(footer, log, records)
+    discard(raw, footer, log, records)
+    return aliases
 
 
 def spellings(diffs: DataFrame, revisions: DataFrame) -> DataFrame:

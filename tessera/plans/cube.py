@@ -22,6 +22,7 @@ from tessera.operators.aggregation import Aggregation, Structure, discard, prepa
 from tessera.operators.chunks import CubeDiff
 from tessera.operators.manifest import Conflict, Manifest
 from tessera.plans.predicates import FALSE, TRUE, And, Predicate, from_json, implies
+from tessera.session import estimated_bytes
 
 METADATA, DATA, DATA_WITH_TOTALS = "METADATA", "DATA", "DATA_WITH_TOTALS"
 
@@ -77,6 +78,10 @@ class StaticAttributes:
         return self.df
 
 
+#: The largest dictionary that is kept in memory and on the executors' disks; larger ones are read each time.
+CACHED_BYTES = 256 << 20
+
+
 class ReloadingAttributes:
     """Reads the dictionary anew when ``seconds`` have passed since it was read."""
 
@@ -87,7 +92,8 @@ class ReloadingAttributes:
 
     def table(self) -> DataFrame:
         if self._df is None or self.clock() - self._at >= self.seconds:
-            old, self._df, self._at = self._df, self.load().cache(), self.clock()
+            old, new = self._df, self.load()
+            self._df, self._at = new.cache() if estimated_bytes(new) <= CACHED_BYTES else new, self.clock()
             if old is not None:
                 old.unpersist()
         return self._df

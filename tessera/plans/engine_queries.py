@@ -187,7 +187,7 @@ class _Range(reducers.Accumulator):
         return None
 
     def accumulate(self, acc, rows):
-        return (float(rows["value"].min()), float(rows["value"].max()))
+        return self.combine(acc, (float(rows["value"].min()), float(rows["value"].max())))
 
     def combine(self, a, b):
         return b if a is None else (min(a[0], b[0]), max(a[1], b[1]))

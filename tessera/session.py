@@ -2,7 +2,7 @@
 
 Results that must outlive a stage (cut lineage, published tables, ledgers) are kept as
 Parquet below the folder in ``spark.checkpoint.dir``. Losing an executor then never
-loses them. Only where the setting is absent, as in local tests, a folder is made here.
+loses them. They are removed when the application ends, or before by ``discard`` and ``scope``. Only where the setting is absent, as in local tests, a folder is made here.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -20,6 +22,9 @@ from pyspark.sql import functions as F
 
 _own_root: str | None = None
 _shipped: set[str] = set()
+_cleaned_at_exit: set[str] = set()
+_made: list[tuple[str, str]] = []  # (application, path) of the tables made in open scopes
+_scopes = 0
 
 
 def get_session(app: str = "tessera", master: str | None = None, **conf) -> SparkSession:
@@ -69,11 +74,42 @@ def shared_root(spark: SparkSession) -> str:
             _own_root = tempfile.mkdtemp(prefix="tessera-")
             atexit.register(shutil.rmtree, _own_root, ignore_errors=True)
         base = f"file://{_own_root}"
-    return f"{base.rstrip('/')}/tessera/{spark.sparkContext.applicationId}"
+    root = f"{base.rstrip('/')}/tessera/{spark.sparkContext.applicationId}"
+    if root not in _cleaned_at_exit:
+        _cleaned_at_exit.add(root)
+        atexit.register(_remove, spark._jvm.org.apache.hadoop.fs.Path(root), spark.sparkContext._jsc.hadoopConfiguration())
+    return root
+
+
+def _remove(path, configuration) -> None:
+    try:
+        path.getFileSystem(configuration).delete(path, True)
+    except Exception:  # the JVM may be gone; nothing can be done any more
+        pass
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+    """A new place in the shared folder; what is there lives as long as the application, or the ``scope`` that is open."""
+    path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+    if _scopes:
+        _made.append((spark.sparkContext.applicationId, path))
+    return path
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end what was put into the shared folder within it; results must have been written elsewhere or used up by then."""
+    global _scopes
+    first = len(_made)
+    _scopes += 1
+    try:
+        yield
+    finally:
+        _scopes -= 1
+        for _, path in _made[first:]:
+            fs, p = hadoop_fs(spark, path)
+            fs.delete(p, True)
+        del _made[first:]
 
 
 def cut(df: DataFrame, label: str = "cut") -> DataFrame:

@@ -18,9 +18,23 @@ def read_sorted(spark: SparkSession, path: str, key: Sequence[str], partitions:
     return (df.repartition(partitions, *key) if partitions else df.repartition(*key)).sortWithinPartitions(*key)
 
 
-def read_records(spark: SparkSession, path: str, schema: str, form: str = "json", skip_bad: bool = False) -> DataFrame:
-    """JSON or CSV records of a given schema; bad records fail, or are skipped."""
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED" if skip_bad else "FAILFAST").format(form).load(path)
+def read_records(spark: SparkSession, path: str, schema: str, form: str = "json", skip_bad: bool = False, max_bytes: int | None = None) -> DataFrame:
+    """JSON or CSV records of a given schema, one a line; bad records fail, or are skipped, and so are those larger than ``max_bytes``."""
+    mode = "DROPMALFORMED" if skip_bad else "FAILFAST"
+    if max_bytes is None:
+        return spark.read.schema(schema).option("mode", mode).format(form).load(path)
+    large = F.octet_length("value") > max_bytes
+    lines = spark.read.text(path)
+    lines = lines.where(~large) if skip_bad else lines.select(F.when(large, F.raise_error(F.lit(f"a record of more than {max_bytes} bytes"))).otherwise(F.col("value")).alias("value"))
+    named = f"{schema}, __bad string"
+    options = {"columnNameOfCorruptRecord": "__bad"}
+    read = (F.from_json if form == "json" else F.from_csv)("value", named, options | {"mode": "PERMISSIVE"})
+    rows = lines.where("value <> ''").select(read.alias("r"))
+    if skip_bad:
+        rows = rows.where("r.__bad IS NULL")
+    else:
+        rows = rows.select(F.when(F.col("r.__bad").isNotNull(), F.raise_error(F.lit("a record that can't be read"))).otherwise(F.col("r")).alias("r"))
+    return rows.select("r.*").drop("__bad")
 
 
 def read_bytes(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:

@@ -36,6 +36,32 @@ def test_take_until_keeps_the_first_hit_and_treats_null_as_no(spark):
     assert rows(dataset.take_until(df, F.col("v") == 9, ["i"]), "i") == [(1,), (2,), (3,)]
 
 
+def test_take_until_without_partition_and_ties(spark):
+    r = random.Random(5)
+    data = [(r.randrange(4), r.choice([None, *range(20)]), r.choice([None, True, False, False, False])) for _ in range(200)]
+    df = spark.createDataFrame(data, "k int, o int, hit boolean").repartition(5)
+    low = lambda v: (v is not None, v or 0)
+    for keys in ([], ["k"]):
+        stop = {}
+        for k, o, hit in data:
+            k = k if keys else 0
+            if hit:
+                stop[k] = min(stop.get(k, low(o)), low(o))
+        want = [x for x in data if low(x[1]) <= stop.get(x[0] if keys else 0, (True, 99))]
+        assert rows(dataset.take_until(df, F.col("hit"), ["o"], keys)) == sorted(want, key=repr)
+    assert dataset.take_until(df, F.lit(False), ["o"]).count() == 200 and dataset.take_until(df.limit(0), F.col("hit"), ["o"]).count() == 0
+
+
+def test_read_settings_and_pieces(spark):
+    df = spark.createDataFrame([(i, f"n{i % 3}") for i in range(10)], "id int, name string")
+    page = dataset.read_settings(df, ["id"], {"name": ("like", "1"), "id": (">", 1)}, {"id": "desc"}, 0, 2, "id", [0, 7, 99])
+    assert [r.id for r in page.collect()] == [7, 4, 0]
+    assert rows(dataset.read_settings(df, ["id"], {"name": ("in", ["n0"]), "id": ("!=", 3)})) == [(0,), (6,), (9,)]
+    blobs = spark.createDataFrame([(1, b"abcdefg"), (2, b""), (3, None), (4, b"abc")], "k int, b binary")
+    got = rows(dataset.chunk_bytes(blobs, "b", 3).select("k", "piece", F.col("b").cast("string")))
+    assert got == [(1, 0, "abc"), (1, 1, "def"), (1, 2, "g"), (2, 0, ""), (4, 0, "abc")]
+
+
 def test_transduce_ends_each_partition(spark):
     import pandas as pd
 
@@ -135,6 +161,21 @@ def test_reducers(spark):
     assert rows(reducers.fold(df.where("v IS NOT NULL"), ["k"], "v", F.lit(0), lambda a, x: a * 10 + x, "f", ["v"])) == [("a", 12), ("b", 5), (None, 3)]
     part = reducers.partial_reduce(df.where("v IS NOT NULL").repartition(3), ["k"], "k string, s long", {"s": ("sum", "v")})
     assert rows(reducers.reduce_by_key(part, ["k"], s=F.sum("s"))) == [("a", 3), ("b", 5), (None, 3)]
+    many = spark.range(50_000).select((F.col("id") % 3).alias("k"), F.when(F.col("id") % 2 == 0, F.col("id")).alias("v")).repartition(2)
+    stats = {"s": ("sum", "v"), "low": ("min", "v"), "high": ("max", "v"), "n": ("count", "v")}
+    for groups, most in ((1000, 6), (2, 60)):  # once per partition, or when a task holds too many
+        got = reducers.partial_reduce(many, ["k"], "k long, n long, s long, low long, high long", stats, groups).collect()
+        assert 6 <= len(got) <= most and sum(r.n for r in got) == 50_000 and sum(r.s for r in got) == sum(range(0, 50_000, 2)) and min(r.low for r in got) == 0 and max(r.high for r in got) == 49_998
+
+    class Sum(reducers.Accumulator):
+        create = lambda self: 0
+        accumulate = lambda self, a, g: a + int(g["v"].fillna(0).sum())
+        combine = lambda self, a, b: a + b
+        result = lambda self, a: {"s": a}
+
+    for groups in (1, 100):
+        got = reducers.accumulate_by_key(many.withColumn("name", F.when(F.col("k") > 0, F.concat(F.lit("k"), "k"))), ["name"], "name string", Sum(), "s long", 4, groups)
+        assert rows(got) == sorted([(None, sum(range(0, 50_000, 6))), ("k1", sum(range(4, 50_000, 6))), ("k2", sum(range(2, 50_000, 6)))], key=repr)
     other = spark.createDataFrame([("a", 7.0)], "name string, w double")
     got = reducers.merge_reduce(["k"], [(df, {"k": F.col("k"), "v": F.col("v").cast("double")}), (other, {"k": F.col("name"), "v": F.col("w")})], s=F.sum("v"))
     assert rows(got) == [("a", 10.0), ("b", 5.0), (None, 3.0)]
@@ -511,8 +552,14 @@ def test_files(spark, tmp_path):
     assert rows(files.read_records(spark, str(tmp_path / "x.json"), "a int", skip_bad=True)) == [(1,), (2,)]
     with pytest.raises(Exception):
         files.read_records(spark, str(tmp_path / "x.json"), "a int").collect()
+    (tmp_path / "y.jsonl").write_text('{"a": 1}\n{"a": 2, "long": "xxxxxxxxxx"}\nbroken\n')
+    assert rows(files.read_records(spark, str(tmp_path / "y.jsonl"), "a int", skip_bad=True, max_bytes=20)) == [(1,)]
+    for most in (20, 200):
+        with pytest.raises(Exception):
+            files.read_records(spark, str(tmp_path / "y.jsonl"), "a int", max_bytes=most).collect()
     raw = files.read_bytes(spark, str(tmp_path), "*.json")
     assert raw.first().length == 25 and dataset.byte_range(raw, "content", 1, 3).first().content == b'"a"'
-    files.write_parquet(spark.range(10), str(tmp_path / "out"), max_records=3)
+    files.write_parquet(spark.range(10, numPartitions=1), str(tmp_path / "out"), max_records=3)
+    assert sorted(spark.read.parquet(str(f)).count() for f in (tmp_path / "out").glob("*.parquet")) == [1, 3, 3, 3]
     assert files.read_sorted(spark, str(tmp_path / "out"), ["id"], 2).count() == 10
     files.skip(spark.range(3))
