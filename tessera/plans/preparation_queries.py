@@ -103,6 +103,22 @@ chunks AS (
     SELECT * EXCLUDE (agg, i), TRY_CAST(json_extract_string(agg, '$.' || action || '[' || i || '].id') AS BIGINT) AS chunk_id
     FROM (SELECT *, unnest(range(coalesce(json_array_length(agg, '$.' || action), 0)::BIGINT)) AS i FROM sides) AS listed)"""
 
+
+
+def _text_of(value: str) -> str:
+    """The text of a JSON value, a string without its quotes; NULL for null."""
+    return f"CASE json_type({value}) WHEN 'VARCHAR' THEN json_extract_string({value}, '$') WHEN 'NULL' THEN NULL ELSE json({value})::VARCHAR END"
+
+
+def _record(record: str, columns: tuple, named: tuple) -> str:
+    """Fields of a JSON object as texts, and ``rest``: its other fields as an object of texts."""
+    own = "".join(f"{_text_of(f"json_extract({record}, '$.{c}')")} AS \"{c}\", " for c in columns)
+    value = f"json_extract({record}, '$.\"' || k || '\"')"
+    keep = f"lambda k: k NOT IN ({', '.join(repr(n) for n in named)}) AND json_type({value}) <> 'NULL'"
+    parts = f"list_transform(list_filter(json_keys({record}), {keep}), lambda k: to_json(k)::VARCHAR || ':' || to_json({_text_of(value)})::VARCHAR)"
+    return f"{own}CASE WHEN len({parts}) > 0 THEN '{{' || array_to_string({parts}, ',') || '}}' END AS rest"
+
+
 _LINKS = """
 links AS (SELECT revision_id AS id, CASE WHEN parent_id > 0 THEN parent_id END AS parent FROM ot_diffs),
 nodes AS (SELECT id, max(parent) AS parent FROM (SELECT * FROM links UNION ALL SELECT parent, NULL FROM links WHERE parent IS NOT NULL) AS x GROUP BY id),
@@ -162,6 +178,17 @@ def oracle_sql() -> dict[str, str]:
         "p6_found": f"WITH {_TEXTS} SELECT DISTINCT tab, revision_id, parent_id, entry_no, op_no, aggregation, action, chunk_id FROM chunks",
         "p6_entries": f"""WITH {_TEXTS} SELECT tab, revision_id, parent_id, feed_seq, entry_no, coalesce(json_array_length(entry, '$.positions'), 0)::INT AS n_positions,
             coalesce(json_array_length(entry, '$.ops'), 0)::INT AS n_ops FROM entries""",
+        "p6_entry_fields": f"""WITH {_TEXTS} SELECT tab, revision_id, parent_id, feed_seq, entry_no, coalesce(json_array_length(entry, '$.positions'), 0)::INT AS n_positions,
+            coalesce(json_array_length(entry, '$.ops'), 0)::INT AS n_ops, {_record("entry", (), ("positions", "ops"))} FROM entries""",
+        "p6_positions": f"""WITH {_TEXTS}, listed AS (
+                SELECT * EXCLUDE (entry, i), i::INT AS position_no, json_extract(entry, '$.positions[' || i || ']') AS record
+                FROM (SELECT *, unnest(range(coalesce(json_array_length(entry, '$.positions'), 0)::BIGINT)) AS i FROM entries) AS numbered)
+            SELECT tab, revision_id, parent_id, feed_seq, entry_no, position_no, {_record("record", flatten.POSITION_FIELDS, flatten.POSITION_FIELDS)} FROM listed""",
+        "p6_chunks": f"""WITH {_TEXTS}, listed AS (
+                SELECT * EXCLUDE (agg, i), i::INT AS chunk_no, json_extract(agg, '$.' || action || '[' || i || ']') AS record
+                FROM (SELECT *, unnest(range(coalesce(json_array_length(agg, '$.' || action), 0)::BIGINT)) AS i FROM sides) AS numbered)
+            SELECT tab, revision_id, parent_id, feed_seq, entry_no, op_no, aggregation, action, chunk_no, TRY_CAST(json_extract_string(record, '$.id') AS BIGINT) AS chunk_id,
+                {_record("record", flatten.CHUNK_FIELDS, flatten.CHUNK_FIELDS)} FROM listed""",
         "p6_operations": f"""WITH {_TEXTS} SELECT tab, revision_id, parent_id, feed_seq, entry_no, op_no, aggregation,
             coalesce(json_array_length(agg, '$.added'), 0)::INT AS n_added, coalesce(json_array_length(agg, '$.removed'), 0)::INT AS n_removed FROM aggs""",
     }
