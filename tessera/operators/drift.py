@@ -508,7 +508,7 @@ def _fields_of(aliases: list[Alias], below: str) -> list[Field]:
 
 
 def _columns(fields: list[Field], taken: Sequence[str]) -> list[Column]:
-    """The cast of each field, read under ``t_`` and its place, under a name that isn't taken; a place is three columns."""
+    """Each field, cast under ``v_`` and its place, under a name that isn't taken; a place is three columns."""
     names, out = {t.lower() for t in taken}, []
 
     def free(name: str) -> str:
@@ -518,7 +518,7 @@ def _columns(fields: list[Field], taken: Sequence[str]) -> list[Column]:
         return name
 
     for i, f in enumerate(fields):
-        value = _cast(f"t_{i}", f)
+        value = F.col(f"v_{i}")
         parts = [(f"{f.name}_{part}", value[part]) for part in ("file", "rem", "pos")] if f.cast == PLACE else [(f.name, value)]
         out += [v.alias(free(n)) for n, v in parts]
     return out
@@ -550,13 +550,17 @@ def list_of_numbers(name: str, orders: Sequence[tuple] = (), cast: str = "array<
     An object with exactly the names of one of ``orders`` gives its numbers in that order, another one in the
     order they are written in. What isn't a number becomes NULL.
     """
-    held = F.from_json(name, "map<string,string>")
-    of_object = F.map_values(held)
-    for order in orders:
-        same = F.array_sort(F.map_keys(held)) == F.array(*[F.lit(f) for f in sorted(order)])
-        of_object = F.when(same, F.array(*[F.element_at(held, f) for f in order])).otherwise(of_object)
-    texts = F.when(F.col(name).rlike(_KEY), F.from_json(name, "array<string>")).when(F.col(name).rlike(_OBJECT), of_object).otherwise(F.split(name, r"\|"))
-    return F.transform(texts, lambda x: x.try_cast("decimal(38,6)").try_cast("bigint")) if cast == "array<bigint>" else texts.try_cast(cast)
+    # between numbers stand only commas or bars, so lists needn't be parsed again
+    texts = F.when(F.col(name) == "[]", F.array().cast("array<string>")).otherwise(F.split(F.translate(name, "[] ", ""), "[,|]"))
+    if orders:
+        held = F.from_json(name, "map<string,string>")
+        of_object = F.map_values(held)
+        for order in orders:
+            same = F.array_sort(F.map_keys(held)) == F.array(*[F.lit(f) for f in sorted(order)])
+            of_object = F.when(same, F.array(*[F.element_at(held, f) for f in order])).otherwise(of_object)
+        texts = F.when(F.startswith(name, F.lit("{")), of_object).otherwise(texts)
+    whole = lambda x: F.coalesce(x.try_cast("bigint"), x.try_cast("decimal(38,6)").try_cast("bigint"))
+    return F.transform(texts, whole) if cast == "array<bigint>" else texts.try_cast(cast)
 
 
 def list_of_names(name: str) -> Column:
@@ -622,7 +626,8 @@ def _consistent(diffs: DataFrame, revisions: DataFrame, schema: str, rows: str,
     parts = [flatten.parsed(df, text, keys, schema).selectExpr(*keys, f"inline({rows})") for df, text, keys in _sources(diffs, revisions)]
     texts = parts[0].unionByName(parts[1])
     kept = [c for c in texts.columns if not c.startswith("t_")]
-    return texts.select(*kept, *_columns(fields, kept))
+    cast = texts.select(*kept, *[_cast(f"t_{i}", f).alias(f"v_{i}") for i, f in enumerate(fields)])
+    return cast.select(*kept, *_columns(fields, kept))
 
 
 def consistent_entries(diffs: DataFrame, revisions: DataFrame) -> DataFrame:
