@@ -1,6 +1,6 @@
 """Problem 6: deeply nested records to related flat tables, by higher-order SQL projection.
 
-A nested text is parsed once with ``from_json``. For each target table one expression of
+A nested text is parsed once with ``from_json``, which also says whether it is readable. For each target table one expression of
 nested ``transform`` calls attaches the ancestors' keys and positions to every element,
 ``flatten`` joins the arrays, and a single ``inline`` emits the rows. Everything stays in
 the JVM and needs no shuffle; children find their parent by the positions they carry.
@@ -17,7 +17,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.json_text import readable_payload
+from tessera.functions.json_text import json_values
 
 #: Fields of a chunk and of a position are read as text, so no change of type loses a value.
 CHUNK_FIELDS = ("id", "min", "max", "count", "measures")
@@ -36,14 +36,8 @@ def commit_schema(chunk_fields: Sequence[str], position_fields: Sequence[str] =
 
 
 def parsed(df: DataFrame, text: str, keep: Mapping[str, Column], schema: str) -> DataFrame:
-    """The columns in ``keep`` and ``entries``, the readable text of each row in ``schema``."""
-    payload = F.col("__payload")  # Spark takes a bare entry for a list of one only where entries are structs
-    entries = F.from_json(F.when(payload.rlike(r"^\s*\{"), F.concat(F.lit("["), payload, F.lit("]"))).otherwise(payload) if schema.startswith("array<map") else payload, schema)
-    return (
-        df.select(*[c.alias(n) for n, c in keep.items()], readable_payload(F.col(text)).alias("__payload"))
-        .where(F.col("__payload").isNotNull())
-        .select(*keep, entries.alias("entries"))
-    )
+    """The columns in ``keep`` and ``entries``, the readable text of each row in ``schema``; NULL if it is unreadable."""
+    return json_values(df.where(F.col(text).isNotNull()), F.col(text), keep, "entries", schema)
 
 
 def _list(expr: str) -> str:

@@ -401,6 +401,23 @@ def test_p6_tables_hold_every_field(spark):
     assert {tuple(r) for r in flatten.whole_chunks(df, "t", keep).collect()} == {(1, 0, 0, "a", "added", 0, None, "x", "[1]", None, None, None, '{"n":"5"}'), (1, 0, 0, "a", "removed", 0, 7, "7", None, None, None, None, None)}
 
 
+def test_p6_readable_texts_only(spark):
+    good = '[{"ops":[{"a":{"added":[{"id":1}]}}]}]'
+    texts = [good, good[1:-1], json.dumps(good), json.dumps(good[1:-1]), f" \n{good}\t", f" {json.dumps(good)} ", "[]", '"[]"', "5", '"5"', "null", '"null"', "{}", '[{"ops":5}]', '{"ops":{"a":1}}', '[{"ops":[{"a":{"added":[{"id":2}]}}],"positions":7}]', "[5,null]"]
+    texts += [good + x for x in ("]", "}", "x", ",", " 1", ',"k":[]', "}{", f",{good}", '"')] + [x + good for x in ("]", "}", "x", ",", "1,", '"k":', '"')]
+    texts += ["", " ", '"', '""', '"x', json.dumps(json.dumps(good)), json.dumps(good + "]"), json.dumps(good)[:-1], f"{json.dumps(good)},1", json.dumps(good) + '"', good.replace('"', "'"), '[{"ops":[NaN]}]', '"[NaN]"', good[:-1], "[{]", '[{"ops":[}]', '[{"a":1}}]', None]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    nested = flatten.parsed(df, "t", {"k": F.col("k")}, flatten.commit_schema(["id"], ["log"]))
+    got = {r.k: r.entries for r in nested.collect()}
+    for i, t in enumerate(texts):
+        ok, value = cs.readable(t)
+        value = [value] if isinstance(value, dict) else value
+        want = [v for v in value if isinstance(v, dict)] if ok and isinstance(value, list) else []
+        assert len([e for e in got.get(i) or [] if e is not None]) == len(want), (t, got.get(i))
+    found = {r.k: r.n for r in flatten.chunks_table(nested, ["k"], ["id"]).groupBy("k").agg(F.count("*").alias("n")).collect()}
+    assert found == {i: 1 for i, t in enumerate(texts) if i < 6 or i == 15}
+
+
 def test_p6_quoted_text_after_many_blanks(spark):
     text = "\t\r\n " * 50 + json.dumps('[{"ops":[{"a":{"added":[{"id":7}]}}]}]')
     nested = flatten.parsed(spark.createDataFrame([(1, text)], "k long, t string"), "t", {"k": F.col("k")}, flatten.commit_schema(["id"]))
