@@ -15,9 +15,9 @@ from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
-from tessera.session import hadoop_fs
-from tessera.versions import put_new, read_bytes
+from tessera.versions import Versions, delete, exists, put_new, read_bytes
 
 
 class Conflict(Exception):
@@ -159,45 +159,61 @@ class Repository:
 
 
 class TableRepository(Repository):
-    """A repository whose commits are exclusively created files; heads follow from them.
+    """A repository in the shared folder: a whole, exclusively made file for each commit and snapshot, and versions of the set of heads.
 
-    ``encode`` and ``decode`` turn a diff to JSON and back. Two writers of one id: the second fails.
+    Only what a walk meets is read, so a checkout costs the way to the last snapshot, however large the
+    store; the last ``kept`` commits read stay in memory. ``encode`` and ``decode`` turn a diff to
+    JSON and back. Two writers of one id: the second fails. Heads change by ``update_heads`` in one step.
     """
 
-    def __init__(self, spark: SparkSession, path: str, encode: Callable[[Any], Any], decode: Callable[[Any], Any]):
+    def __init__(self, spark: SparkSession, path: str, encode: Callable[[Any], Any], decode: Callable[[Any], Any], kept: int = 10_000):
         super().__init__()
-        self.spark, self.path, self.encode, self.decode = spark, path.rstrip("/"), encode, decode
-        self.refresh()
-
-    def refresh(self) -> None:
-        for kind, text in self._files():
-            d = json.loads(text)
-            if kind == "commit":
-                self._commits.setdefault(d["id"], Commit(d["id"], {p: tuple(self.decode(x) for x in diffs) for p, diffs in d["parents"]}, d["level"], d["epoch"]))
-            else:
-                self._snapshots[d["id"]] = [self.decode(x) for x in d["diffs"]]
-        parents = {p for c in self._commits.values() for p in c.parents}
-        self._heads = set(self._commits) - parents
-
-    def _files(self):
-        fs, root = hadoop_fs(self.spark, self.path)
-        for s in fs.listStatus(root) if fs.exists(root) else []:
-            if not s.getPath().getName().startswith("."):
-                yield s.getPath().getName().split("-")[0], read_bytes(self.spark, s.getPath().toString()).decode()
-
-    def _create(self, name: str, value: Any, overwrite: bool) -> None:
-        """A whole file; of a snapshot of one commit the first stays, which is the same."""
-        if not put_new(self.spark, f"{self.path}/{name}", json.dumps(value).encode()) and not overwrite:
-            raise FileExistsError(name)
+        self.spark, self.path, self.encode, self.decode, self.kept = spark, path.rstrip("/"), encode, decode, kept
+        self._versions = Versions(spark, f"{self.path}/heads")
+
+    def _file(self, kind: str, id: Any) -> str:
+        return f"{self.path}/{kind}/{id}.json"
+
+    def load(self, id: Any) -> Commit:
+        if id not in self._commits:
+            d = json.loads(read_bytes(self.spark, self._file("commit", id)).decode())
+            while len(self._commits) >= self.kept:
+                del self._commits[next(iter(self._commits))]  # the one read first
+            self._commits[id] = Commit(d["id"], {p: tuple(self.decode(x) for x in diffs) for p, diffs in d["parents"]}, d["level"], d["epoch"])
+        return self._commits[id]
+
+    def heads(self) -> set:
+        held = self._versions.latest()[1]
+        return set(held["heads"]) if held else set()
+
+    def update_heads(self, new: Iterable, gone: Iterable = ()) -> None:
+        new, gone = set(new), set(gone)
+        self._versions.change(lambda held: {"heads": sorted((set(held["heads"] if held else ()) | new) - gone, key=repr)})
 
     def push(self, *commits: Commit) -> None:
         for c in commits:
-            self._create(f"commit-{c.id}.json", {"id": c.id, "level": c.level, "epoch": c.epoch, "parents": [[p, [self.encode(d) for d in diffs]] for p, diffs in c.parents.items()]}, False)
+            held = {"id": c.id, "level": c.level, "epoch": c.epoch, "parents": [[p, [self.encode(d) for d in diffs]] for p, diffs in c.parents.items()]}
+            if not put_new(self.spark, self._file("commit", c.id), json.dumps(held).encode()):
+                raise FileExistsError(c.id)
         super().push(*commits)
 
     def save_snapshot(self, id: Any, diffs: Sequence) -> None:
-        self._create(f"snapshot-{id}.json", {"id": id, "diffs": [self.encode(d) for d in diffs]}, True)
-        super().save_snapshot(id, diffs)
+        """The first snapshot of a commit stays; another would be the same."""
+        put_new(self.spark, self._file("snapshot", id), json.dumps({"id": id, "diffs": [self.encode(d) for d in diffs]}).encode())
+
+    def load_snapshot(self, id: Any) -> list | None:
+        if not exists(self.spark, self._file("snapshot", id)):
+            return None
+        return [self.decode(x) for x in json.loads(read_bytes(self.spark, self._file("snapshot", id)).decode())["diffs"]]
+
+    def cleanup(self, level: int) -> None:
+        """Deletes commits and snapshots below a level; the levels are read by Spark, only the files to delete come to the driver."""
+        super().cleanup(level)
+        commits = self.spark.read.schema("level long").option("wholetext", "true").json(f"{self.path}/commit")
+        for row in commits.where(F.col("level") < level).select(F.input_file_name()).distinct().collect():
+            name = row[0].rsplit("/", 1)[1]
+            for kind in ("commit", "snapshot"):
+                delete(self.spark, f"{self.path}/{kind}/{name}")
 
 
 # -- graph algorithms ---------------------------------------------------------------------------

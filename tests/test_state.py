@@ -347,6 +347,16 @@ def test_table_repository(spark, tmp_path):
     assert again.heads() == {4, 5, 6} and replay(ot.checkout(again, s, 5)) == (11, 7)
     with pytest.raises(Exception):
         again.push(again.make(6, {1: []}))
+    lazy = open_it()
+    assert lazy._commits == {} and replay(ot.checkout(lazy, s, 5)) == (11, 7) and set(lazy._commits) == {3, 5}  # from the snapshot on
+    lazy.update_heads([7], [4])
+    assert again.heads() == {5, 6, 7}
+    small = ot.TableRepository(spark, f"file://{tmp_path}/g", encode, decode, kept=2)
+    assert [small.load(i).id for i in (1, 2, 3, 1)] == [1, 2, 3, 1] and len(small._commits) == 2
+    lazy.cleanup(3)
+    assert lazy.load_snapshot(3) is not None and replay(ot.checkout(open_it(), s, 5)) == (11, 7)
+    with pytest.raises(Exception):
+        open_it().load(1)
 
 
 def test_chunk_conflicts():
