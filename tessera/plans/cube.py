@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.computed import Computed, stored_needs, with_computed
+from tessera.functions.fields import FieldType
 from tessera.functions.measures import Measure, merged
 from tessera.operators.aggregation import Aggregation, Structure, discard, prepare_all
 from tessera.operators.chunks import CubeDiff
@@ -130,9 +131,11 @@ class QueryResult:
 class Cube:
     """Dimensions, measures, computed measures, parents, attributes and aggregations."""
 
-    def __init__(self, spark: SparkSession, path: str, dimensions: Mapping[str, str], measures: Mapping[str, Measure], computed: Mapping[str, Computed] | None = None, parents: Mapping[str, str] | None = None):
+    def __init__(self, spark: SparkSession, path: str, dimensions: Mapping[str, str | FieldType], measures: Mapping[str, Measure], computed: Mapping[str, Computed] | None = None, parents: Mapping[str, str] | None = None):
+        """``dimensions`` have a Spark type each, or a ``FieldType`` that stores them otherwise than they are shown."""
         self.spark, self.path = spark, path.rstrip("/")
-        self.dimensions, self.measures = dict(dimensions), dict(measures)
+        self.fields = {d: t for d, t in dimensions.items() if isinstance(t, FieldType)}
+        self.dimensions, self.measures = {d: t.state if isinstance(t, FieldType) else t for d, t in dimensions.items()}, dict(measures)
         self.computed, self.parents = dict(computed or {}), dict(parents or {})
         self.attributes: dict[str, tuple[tuple, AttributeResolver]] = {}
         self.aggregations: dict[str, Aggregation] = {}
@@ -141,7 +144,7 @@ class Cube:
     # -- definition -----------------------------------------------------------------------
 
     def with_aggregation(self, name: str, dimensions: Sequence[str], measures: Sequence[str], predicate: Predicate = TRUE, ignored: Sequence[str] = (), max_rows_per_chunk: int = 1_000_000, partition_keys: Sequence[str] = ()) -> Cube:
-        s = Structure({d: self.dimensions[d] for d in dimensions}, {m: self.measures[m] for m in measures}, predicate.simplify(), tuple(partition_keys), frozenset(ignored))
+        s = Structure({d: self.dimensions[d] for d in dimensions}, {m: self.measures[m] for m in measures}, self._stored(predicate), tuple(partition_keys), frozenset(ignored))
         self.aggregations[name] = Aggregation(self.spark, f"{self.path}/{name}", s, max_rows_per_chunk, self.manifest, name)
         return self
 
@@ -151,6 +154,13 @@ class Cube:
             self.attributes[f"{dimension}.{n}"] = (tuple(self.chain(dimension)), resolver)
         return self
 
+    def _stored(self, predicate: Predicate) -> Predicate:
+        """A predicate on shown values as one on stored values."""
+        return predicate.converted(lambda d, v: self.fields[d].literal(v) if d in self.fields else v).simplify()
+
+    def _shown(self, df: DataFrame, keys: Sequence[str]) -> DataFrame:
+        return df.withColumns({d: self.fields[d].to_value(F.col(d)) for d in keys if d in self.fields})
+
     def chain(self, dimension: str) -> list[str]:
         """The dimension with its parents, outermost first."""
         out = [dimension]
@@ -166,7 +176,8 @@ class Cube:
         ``dimensions`` and ``measures`` map names of the cube to columns. ``data`` describes the
         input and only rules aggregations out; an aggregation's own predicate filters its rows.
         """
-        named = rows.select(*[F.col(c).alias(d) for d, c in dimensions.items()], *[F.col(c).alias(f"__in_{m}") for m, c in measures.items() if c is not None])
+        data = self._stored(data)
+        named = rows.select(*[(self.fields[d].to_state(F.col(c)) if d in self.fields else F.col(c)).alias(d) for d, c in dimensions.items()], *[F.col(c).alias(f"__in_{m}") for m, c in measures.items() if c is not None])
         targets = {}
         for name, a in self.aggregations.items():
             inputs = {m: None if c is None else f"__in_{m}" for m, c in measures.items() if m in a.structure.offered()}
@@ -238,13 +249,13 @@ class Cube:
 
     def raw(self, dimensions: Sequence[str], measures: Sequence[str], where: Predicate = TRUE) -> DataFrame:
         """Grouped rows of stored measures, neither sorted nor limited; measures that no aggregation offers are left out, and without any there are no rows."""
-        where = where.simplify()
+        where = self._stored(where)
         with self.manifest.pinned():
             plan = self.route(set(dimensions), set(measures), where)
             if not plan:
-                return self.spark.createDataFrame([], ", ".join(f"`{d}` {self.dimensions[d]}" for d in dimensions))
+                return self._shown(self.spark.createDataFrame([], ", ".join(f"`{d}` {self.dimensions[d]}" for d in dimensions)), dimensions)
             got = [m for _, takes in plan for m in takes]
-            return self._finish(self.states(list(dimensions), plan, where), list(dimensions), got)
+            return self._shown(self._finish(self.states(list(dimensions), plan, where), list(dimensions), got), dimensions)
 
     def _finish(self, states: DataFrame, keys: Sequence[str], measures: Sequence[str]) -> DataFrame:
         return states.select(*keys, *[self.measures[m].finish(F.col(m)).alias(m) for m in measures])
@@ -257,7 +268,7 @@ class Cube:
             return self._query(q)
 
     def _query(self, q: CubeQuery) -> QueryResult:
-        where, having = q.where.simplify(), q.having.simplify()
+        where, having = self._stored(q.where), q.having.simplify()
         keys: list[str] = []
         for a in q.attributes:
             if a not in self.dimensions and a not in self.attributes:
@@ -288,7 +299,7 @@ class Cube:
             states = self.states(keys, plan, where)
         else:
             plan, states = [], self._keys_only(keys, where)
-        finished = with_computed(self._finish(states, keys, stored), [*measures, *usable], self.computed)
+        finished = with_computed(self._shown(self._finish(states, keys, stored), keys), [*measures, *usable], self.computed)
         looked_up = finished
         wanted_attributes = [a for a in self.attributes if a in q.attributes or a in having.dimensions() or any(a == f for f, _ in q.order)]
         for a in wanted_attributes:
@@ -310,7 +321,7 @@ class Cube:
         if q.report == DATA_WITH_TOTALS:
             grand = merged(states, [], {m: self.measures[m] for m in stored}) if stored else self.spark.range(1).select()
             totals = with_computed(self._finish(grand, [], stored), measures, self.computed).select(*measures)
-        pinned = where.pinned()
+        pinned = q.where.simplify().pinned()
         filter_attributes = {}
         for a, (path, resolver) in self.attributes.items():
             if set(path) <= set(pinned):
@@ -351,7 +362,7 @@ class Cube:
 
     def backup(self, path: str) -> Cube:
         """A copy of the present state at ``path``, all of it from one version."""
-        other = Cube(self.spark, path, self.dimensions, self.measures, self.computed, self.parents)
+        other = Cube(self.spark, path, self.dimensions | self.fields, self.measures, self.computed, self.parents)
         other.attributes = self.attributes
         for n, a in self.aggregations.items():
             other.aggregations[n] = Aggregation(self.spark, f"{other.path}/{n}", a.structure, a.max_rows, other.manifest, n)

@@ -1,5 +1,6 @@
 """Datasets, joins, reducers, measures, aggregations and the cube."""
 
+import datetime
 import json
 import os
 import random
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import computed as cm
 from tessera.functions import expressions as ex
+from tessera.functions import fields
 from tessera.functions import measures as ms
 from tessera.operators import aggregation as ag
 from tessera.operators import chunks, dataset, joins, manifest, reducers
@@ -531,6 +533,25 @@ def test_consolidation_keeps_answers(cube):
     assert rows(c.raw(["day"], ["imp", "n"])) == rows(df.groupBy("day").agg(2 * F.sum("imp"), 2 * F.count("*")))
 
 
+def test_dimensions_stored_otherwise(spark, tmp_path):
+    day = datetime.date
+    data = [(day(2024, 1, 1 + i % 9), ("low", "high", "mid", "odd")[i % 4], i) for i in range(90)]
+    df = spark.createDataFrame(data, "day date, kind string, v long")
+    c = Cube(spark, f"file://{tmp_path}/c", {"day": fields.days("2020-01-01"), "kind": fields.enum("low", "mid", "high")}, {"v": ms.sum_of()})
+    c.with_aggregation("all", ["day", "kind"], ["v"]).with_aggregation("late", ["day", "kind"], ["v"], p.ge("day", day(2024, 1, 5)))
+    c.with_attributes("kind", StaticAttributes(spark.createDataFrame([("low", "L"), ("high", "H")], "kind string, letter string")), ["letter"])
+    c.consume(df, {"day": "day", "kind": "kind"}, {"v": "v"})
+    assert c.aggregations["all"].chunks()[0].low[0] == (day(2024, 1, 1) - day(2020, 1, 1)).days  # stored as numbers
+    want = lambda w, *k: rows(df.where(f"kind <> 'odd' AND ({w})").groupBy(*k).agg(F.sum("v").alias("v")))
+    assert rows(c.raw(["day", "kind"], ["v"])) == want("true", "day", "kind")
+    q = c.query(CubeQuery(("day", "kind", "kind.letter"), ("v",), p.and_(p.between("day", "2024-01-06", "2024-01-08"), p.is_in("kind", ["low", "mid"])), p.gt("day", day(2024, 1, 6)), (("day", "desc"),)))
+    assert q.aggregations and rows(q.rows, "day", "kind", "v") == want("day BETWEEN '2024-01-07' AND '2024-01-08' AND kind IN ('low', 'mid')", "day", "kind")
+    assert {(r["kind"], r["kind.letter"]) for r in q.rows.collect()} == {("low", "L"), ("mid", None)}
+    assert c.query(CubeQuery(("day",), ("v",), p.eq("kind", "high"))).filter_attributes == {"kind.letter": "H"}
+    assert c.compatible({"day"}, {"v"}, c._stored(p.ge("day", day(2024, 1, 6)))) == ["all", "late"]
+    assert rows(c.backup(f"file://{tmp_path}/b").raw(["kind"], ["v"])) == want("true", "kind")
+
+
 def test_reloading_attributes(spark):
     now, loads = [0.0], []
 
