@@ -588,15 +588,16 @@ def _sources(diffs: DataFrame, revisions: DataFrame) -> list[tuple[DataFrame, st
 
 
 def _catalogue(diffs: DataFrame, revisions: DataFrame) -> list[Alias]:
-    raw = cut(_texts(diffs, revisions).mapInArrow(_contents, FOOTER + ", n bigint"), "contents")
-    footer = cut(_footer(raw.where(~F.startswith("kind", F.lit(RECORD)))), "footers")
-    per_file = raw.where(F.startswith("kind", F.lit(RECORD))).groupBy("tab", "shard", "file_no", "kind", "path").agg(F.sum("n").alias("n"))
+    found = _texts(diffs, revisions).mapInArrow(_contents, FOOTER + ", n bigint")
+    per_file = cut(found.groupBy("tab", "shard", "file_no", "kind", "path").agg(F.sum("n").alias("n")), "contents")
+    footer = cut(_footer(per_file.where(~F.startswith("kind", F.lit(RECORD)))), "footers")
     fields = F.from_json("path", "array<array<string>>")
     named = F.transform(fields, lambda f: F.struct(f[0].alias("name"), f[1].alias("shape")))
-    records = per_file.select("tab", "shard", "file_no", F.col("kind").alias("below"), "n", named.alias("fields")).withColumn("names", F.col("fields.name"))
+    of_records = per_file.where(F.startswith("kind", F.lit(RECORD)))
+    records = of_records.select("tab", "shard", "file_no", F.col("kind").alias("below"), "n", named.alias("fields")).withColumn("names", F.col("fields.name"))
     log, records = cut(changes(footer), "changes"), cut(records, "records")
     aliases = alias_table(footer, log, records)
-    discard(raw, footer, log, records)
+    discard(per_file, footer, log, records)
     return aliases
 
 
