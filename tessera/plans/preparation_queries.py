@@ -119,6 +119,20 @@ def _record(record: str, columns: tuple, named: tuple) -> str:
     return f"{own}CASE WHEN len({parts}) > 0 THEN '{{' || array_to_string({parts}, ',') || '}}' END AS rest"
 
 
+_FOOTERS = r"""
+src AS (SELECT 'ot_diffs' AS tab, shard, file_no, diff AS t FROM ot_diffs UNION ALL SELECT 'ot_revisions', shard, file_no, snapshot FROM ot_revisions),
+outer_json AS (SELECT tab, shard, file_no, TRY_CAST(t AS JSON) AS j FROM src WHERE t IS NOT NULL),
+held AS (SELECT tab, shard, file_no, CASE WHEN json_type(j) = 'VARCHAR' THEN TRY_CAST(json_extract_string(j, '$') AS JSON) ELSE j END AS j FROM outer_json WHERE j IS NOT NULL),
+files AS (SELECT tab, shard, file_no, row_number() OVER (PARTITION BY tab, shard ORDER BY file_no) AS no FROM (SELECT DISTINCT tab, shard, file_no FROM held WHERE j IS NOT NULL) AS f),
+nodes AS (
+    SELECT h.tab, h.shard, h.file_no, n.type,
+        regexp_replace(regexp_replace(substr(regexp_replace(n.fullkey, '\[\d+\]', '', 'g'), 3), '^ops\.("[^"]*"|[^.]+)', 'ops.*'), '^ops\.\*\.(added|removed)\.', 'ops.*.chunk.') AS path
+    FROM held AS h, json_tree(h.j) AS n WHERE h.j IS NOT NULL AND n.type <> 'NULL' AND n.fullkey <> '$' AND NOT n.fullkey LIKE '%]'),
+typed AS (
+    SELECT tab, shard, file_no, no, path, array_to_string(list_sort(list(DISTINCT CASE type WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double' WHEN 'BOOLEAN' THEN 'boolean'
+        WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' ELSE 'int' END)), '|') AS types
+    FROM nodes JOIN files USING (tab, shard, file_no) WHERE path <> 'ops.*' GROUP BY tab, shard, file_no, no, path)"""
+
 _LINKS = """
 links AS (SELECT revision_id AS id, CASE WHEN parent_id > 0 THEN parent_id END AS parent FROM ot_diffs),
 nodes AS (SELECT id, max(parent) AS parent FROM (SELECT * FROM links UNION ALL SELECT parent, NULL FROM links WHERE parent IS NOT NULL) AS x GROUP BY id),
@@ -153,6 +167,23 @@ judged AS (
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_found": rf"""WITH {_FOOTERS},
+            steps AS (SELECT f.tab, f.shard, f.file_no, f.no, f.no - 1 AS before FROM files AS f WHERE f.no > 1),
+            old AS (SELECT s.tab, s.shard, s.file_no, t.path, t.types FROM steps AS s JOIN typed AS t ON t.tab = s.tab AND t.shard = s.shard AND t.no = s.before),
+            new AS (SELECT s.tab, s.shard, s.file_no, t.path, t.types FROM steps AS s JOIN typed AS t ON t.tab = s.tab AND t.shard = s.shard AND t.no = s.no),
+            delta AS (SELECT tab, shard, file_no, path, o.types AS gone, n.types AS come, CASE WHEN contains(path, '.') THEN regexp_replace(path, '\.[^.]*$', '') ELSE '' END AS parent
+                FROM old AS o FULL JOIN new AS n USING (tab, shard, file_no, path) WHERE o.types IS DISTINCT FROM n.types),
+            moves AS (SELECT tab, shard, file_no, parent, max(path) FILTER (come IS NULL) AS from_path, max(path) FILTER (gone IS NULL) AS to_path FROM delta WHERE gone IS NULL OR come IS NULL GROUP BY ALL
+                HAVING count(*) FILTER (come IS NULL) = 1 AND count(*) FILTER (gone IS NULL) = 1 AND max(gone) = max(come))
+            SELECT d.tab, d.shard, d.file_no, d.path, CASE WHEN gone IS NOT NULL AND come IS NOT NULL THEN 'retyped' WHEN m.from_path IS NOT NULL THEN 'renamed' WHEN come IS NULL THEN 'removed' ELSE 'added' END AS change,
+                coalesce(m.to_path, '') AS new_path
+            FROM delta AS d LEFT JOIN moves AS m ON m.tab = d.tab AND m.shard = d.shard AND m.file_no = d.file_no AND m.from_path = d.path
+            WHERE NOT EXISTS (SELECT 1 FROM moves AS x WHERE x.tab = d.tab AND x.shard = d.shard AND x.file_no = d.file_no AND x.to_path = d.path)""",
+        "p1_lifespans": f"""WITH {_FOOTERS},
+            spans AS (SELECT tab, shard, path, types, min(no) AS start_no, max(no) AS end_no, min(file_no) AS start_file, max(file_no) AS end_file
+                FROM (SELECT *, no - row_number() OVER (PARTITION BY tab, shard, path, types ORDER BY no) AS island FROM typed) AS numbered GROUP BY tab, shard, path, types, island)
+            SELECT s.tab, s.shard, path, types, start_no::INT AS start_no, end_no::INT AS end_no, start_file, end_file, f.file_no AS after_file
+            FROM spans AS s LEFT JOIN files AS f ON f.tab = s.tab AND f.shard = s.shard AND f.no = s.end_no + 1""",
         "p2_found": f"""WITH {_TEXTS},
             last AS (SELECT repo, aggregation, chunk_id,
                 arg_max({{'live': action = 'added', 'revision_id': revision_id}}, {{'a': revision_id, 'b': parent_id, 'c': entry_no, 'd': op_no, 'e': action = 'added'}}) AS s

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tessera import session
 from tessera.functions import measures as ms
 from tessera.operators import crdt, ot
 from tessera.operators.chunks import Chunk, ChunkDiff, CubeDiff
@@ -13,6 +14,7 @@ from tessera.operators.manifest import Conflict
 from tessera.plans.cube import Cube, CubeQuery
 from tessera.sources.multilog import Multilog
 from tessera.streaming import etl
+from tessera.versions import Stale
 
 
 def rows(df, *cols):
@@ -78,6 +80,41 @@ def test_store(spark, tmp_path):
     assert rows(s.download()) == [*want, ("c", 8, 2)]
 
 
+def test_store_consolidates_beside_uploads_and_readers(spark, tmp_path, monkeypatch):
+    s = store(spark, tmp_path)
+    s.upload(data(spark, ("a", 1, 5)))
+    reader = s.download()  # planned, not run
+    spark.createDataFrame([], s.schema).write.parquet(f"{s.path}/.staging/half")  # an upload in flight is no upload
+    real = s.base.publish
+
+    def slow(df, after=None, **more):
+        s.upload(data(spark, ("b", 2, 7)))  # comes while the base is made
+        return real(df, after, **more)
+
+    monkeypatch.setattr(s.base, "publish", slow)
+    s.consolidate()
+    monkeypatch.setattr(s.base, "publish", real)
+    assert rows(s.download()) == [("a", 1, 5), ("b", 2, 7)] and rows(reader) == [("a", 1, 5)]
+    for _ in range(3):
+        s.consolidate()
+        assert rows(s.download()) == [("a", 1, 5), ("b", 2, 7)]
+    assert s._uploads() == [] and len(list((tmp_path / "base").glob("data-*"))) <= 2
+    number = s.base.versions.latest()[0]
+    with pytest.raises(Stale):  # another one was faster
+        s.base.publish(s.download(), number - 1)
+
+
+def test_scope_removes_what_was_made_in_it(spark):
+    outer = session.cut(spark.range(3))
+    with session.scope(spark):
+        inner, n = session.cut_counting(spark.range(10), F.col("id") > 6)
+        assert inner.count() == 10 and n == 3
+        with session.scope(spark):
+            session.cut(spark.range(2))
+    fs, p = session.hadoop_fs(spark, inner.tessera_path)
+    assert not fs.exists(p) and outer.count() == 3 and session._made == []
+
+
 def test_cluster(spark, tmp_path):
     stores = {n: store(spark, tmp_path / n) for n in "pqr"}
     c = crdt.CrdtCluster(stores, copies=2)
