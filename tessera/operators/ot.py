@@ -279,15 +279,46 @@ def find_parent(repo: Repository, heads: Iterable, matches: Callable[[Commit], b
 
 
 def exclude_parents(repo: Repository, nodes: Iterable) -> set:
-    """Nodes that aren't before another of them."""
+    """Nodes that aren't before another of them: one walk, down to the lowest of their levels."""
     nodes = set(nodes)
-    return {n for n in nodes if not any(n != m and n in ancestors(repo, m) for m in nodes)}
+    lowest = min((repo.load(n).level for n in nodes), default=0)
+    before: set = set()
+    w = walk(repo, nodes) if len(nodes) > 1 else iter(())
+    try:
+        commit = next(w)
+        while True:
+            before |= nodes & commit.parents.keys()
+            commit = w.send(commit.level <= lowest)
+    except StopIteration:
+        return nodes - before
 
 
 def find_all_common_parents(repo: Repository, nodes: Iterable) -> set:
-    """The latest commits before all nodes."""
-    common = set.intersection(*(ancestors(repo, n) for n in nodes))
-    return exclude_parents(repo, common)
+    """The latest commits before all nodes, a node itself included.
+
+    One walk by falling level hands on which nodes reach a commit; one that all reach is an answer unless
+    it is before an answer, and the walk ends when only such are left.
+    """
+    reached = {n: 1 << i for i, n in enumerate(dict.fromkeys(nodes))}
+    every = (1 << len(reached)) - 1
+    queue = [(-repo.load(n).level, repr(n), n) for n in reached]
+    heapq.heapify(queue)
+    found, below, waiting = set(), set(), set(reached)  # answers, what is before them, what is neither
+    while waiting:
+        at = heapq.heappop(queue)[2]
+        waiting.discard(at)
+        if reached[at] == every and at not in below:
+            found.add(at)
+        for p in repo.load(at).parents:
+            if p not in reached:
+                reached[p] = 0
+                waiting.add(p)
+                heapq.heappush(queue, (-repo.load(p).level, repr(p), p))
+            reached[p] |= reached[at]
+            if at in found or at in below:
+                below.add(p)
+                waiting.discard(p)
+    return found
 
 
 def find_any_common_parent(repo: Repository, nodes: Iterable) -> Any:

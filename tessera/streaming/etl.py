@@ -9,6 +9,7 @@ checkpointed comes again after a failure and changes nothing.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
@@ -23,14 +24,20 @@ from tessera.operators.chunks import CubeDiff
 from tessera.plans.cube import Cube
 from tessera.plans.predicates import TRUE, Predicate
 from tessera.sources.multilog import Multilog
+from tessera.versions import read_bytes
 
 
 def log_to_cube(stream: DataFrame, cube: Cube, dimensions: Mapping[str, str], measures: Mapping[str, str | None], checkpoint: str, data: Predicate = TRUE, transform: Callable[[DataFrame], DataFrame] = lambda df: df, name: str = "log") -> int:
-    """Takes all that is new in ``stream`` into the cube and returns; the number of batches. ``name`` belongs to the checkpoint."""
-    taken = []
+    """Takes all that is new in ``stream`` into the cube and returns; the number of batches.
+
+    Batches are known by ``name``, the identity that Spark gave the checkpoint, and their number: another checkpoint counts anew.
+    """
+    taken, source = [], []
 
     def ingest(batch: DataFrame, number: int) -> None:
-        cube.consume(transform(batch), dimensions, measures, data, commit=(name, number))
+        if not source:
+            source.append(f"{name}:{json.loads(read_bytes(cube.spark, f'{checkpoint}/metadata').decode())['id']}")
+        cube.consume(transform(batch), dimensions, measures, data, commit=(source[0], number))
         taken.append(number)
 
     query = stream.writeStream.foreachBatch(ingest).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -223,6 +223,8 @@ def test_stream_into_cube_exactly_once(spark, tmp_path):
             f.unlink()
     run()
     assert total() == (15, sum(range(15)))
+    other = f"file://{tmp_path}/other"  # a checkpoint of its own is a source of its own
+    assert etl.log_to_cube(log.stream(), cube, {"kind": "kind"}, {"n": None, "v": "v"}, other) == 1 and total()[0] == 30
 
 
 def test_splitter(spark):
@@ -349,6 +351,21 @@ def test_merge_makes_all_heads_equal():
     assert repo.load(head).id == head and pytest.raises(KeyError, repo.load, 1)
 
 
+def test_common_parents_equal_brute_force():
+    r = random.Random(6)
+    for _ in range(60):
+        repo, n = ot.Repository(), r.randrange(2, 14)
+        repo.push(repo.make(0, {}))
+        for i in range(1, n):
+            repo.push(repo.make(i, {p: [] for p in r.sample(range(i), min(i, r.choice([1, 1, 2, 3])))}))
+        nodes = r.sample(range(n), r.randrange(1, min(n, 4) + 1))
+        before = {k: ot.ancestors(repo, k) for k in range(n)}
+        latest = lambda group: {a for a in group if not any(a != b and a in before[b] for b in group)}
+        assert ot.exclude_parents(repo, nodes) == latest(set(nodes))
+        assert ot.find_all_common_parents(repo, nodes) == latest(set.intersection(*(before[k] for k in nodes)))
+    assert ot.exclude_parents(repo, []) == set()
+
+
 def test_criss_cross_merge():
     repo, s = ot.Repository(), system()
     for id, parents in ((1, {}), (2, {1: [Add(1)]}), (3, {1: [Add(2)]}), (4, {2: [Add(2), Add(4)], 3: [Add(1), Add(4)]}), (5, {2: [Add(2), Add(8)], 3: [Add(1), Add(8)]})):
