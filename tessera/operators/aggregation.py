@@ -161,8 +161,11 @@ class Aggregation:
         """Rows of any subset of keys, filtered, with merged measures; ``finish`` turns states to values."""
         offered = [m for m in measures if m in self.structure.offered()]
         p = predicate.simplify()
-        rows = self.states(self.find_chunks(p, offered), offered).where(p.column(F.col, [*self.structure.keys, *offered]))
-        out = merged(rows, keys, {m: self.structure.measures[m] for m in offered})
+        chunks = self.find_chunks(p, offered)
+        rows = self.states(chunks, offered).where(p.column(F.col, [*self.structure.keys, *offered]))
+        # chunks hold each key once: all keys of chunks that don't overlap are merged already
+        once = offered and set(keys) == set(self.structure.keys) and ch.overlap(chunks) <= 1
+        out = rows.select(*keys, *offered) if once else merged(rows, keys, {m: self.structure.measures[m] for m in offered})
         return out.select(*keys, *[self.structure.measures[m].finish(F.col(m)).alias(m) for m in offered]) if finish else out
 
     # -- consolidation --------------------------------------------------------------------

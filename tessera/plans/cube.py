@@ -43,6 +43,16 @@ class CubeQuery:
     offset: int = 0
     report: str = DATA_WITH_TOTALS
 
+    def to_params(self) -> dict[str, str]:
+        """The report parameters that ``parse_query`` reads."""
+        out = {"attributes": json.dumps(self.attributes), "measures": json.dumps(self.measures), "offset": str(self.offset), "reportType": self.report}
+        for key, p in (("where", self.where), ("having", self.having)):
+            if p != TRUE:
+                out[key] = json.dumps(p.json(), default=str)
+        if self.order:
+            out["sort"] = json.dumps([f"{name}:{way.upper()}" for name, way in self.order])
+        return out | ({} if self.limit is None else {"limit": str(self.limit)})
+
 
 def parse_query(params: Mapping[str, Any]) -> CubeQuery:
     """From report parameters: attributes, measures, where, having, sort, limit, offset, reportType (JSON or comma lists)."""

@@ -4,6 +4,7 @@ import datetime
 import json
 import os
 import random
+from urllib.error import HTTPError
 
 import pytest
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from tessera.operators import aggregation as ag
 from tessera.operators import chunks, dataset, joins, manifest, reducers
 from tessera.plans import predicates as p
 from tessera.plans.cube import DATA, METADATA, ConsolidationController, Cube, CubeQuery, QueryError, ReloadingAttributes, StaticAttributes, parse_query
+from tessera.plans.report_service import ReportClient, ReportService
 from tessera.sources import files
 
 
@@ -273,6 +275,8 @@ def test_aggregation_life(spark, tmp_path):
         a.consolidate(picked)
     assert a.overlap() == 1 < before
     check()
+    plan = lambda *k: a.query(list(k), ["m1", "u"])._jdf.queryExecution().toString()
+    assert "Exchange" not in plan("k1", "k2") and "Exchange" in plan("k1")  # nothing left to merge
     a.max_rows = 60
     small = a.pick_min_key(6)
     assert len(small) == 6
@@ -522,6 +526,24 @@ def test_report_types_filter_attributes_and_json(cube):
     assert c.query(CubeQuery(("adv",), (), NOT0)).rows.count() == 4
 
 
+def test_reports_over_http(cube):
+    c, _ = cube
+    service = ReportService(c)
+    try:
+        client = ReportClient(service.url)
+        q = CubeQuery(("adv", "adv.name"), ("clicks", "ctr"), p.and_(NOT0, p.or_(p.between("day", 2, 8), p.eq("day", 9))), p.not_eq("adv.name", None), (("clicks", "desc"),), 2, 0)
+        assert parse_query(q.to_params()) == q
+        got = client.query(q)
+        assert got == json.loads(c.query(q).to_json()) and len(got["records"]) == 2 and got["totalCount"] == 2
+        assert "records" not in client.query(CubeQuery(("adv",), ("imp",), NOT0, report=METADATA))
+        with pytest.raises(QueryError):
+            client.query(CubeQuery(("planet",), ("imp",)))
+        with pytest.raises(HTTPError):
+            ReportClient(service.url + "nowhere").query(q)
+    finally:
+        service.close()
+
+
 def test_consolidation_keeps_answers(cube):
     c, df = cube
     c.consume(df, {k: k for k in ("day", "adv", "camp")}, {"imp": "imp", "clicks": "clicks", "n": None}, p.eq("adv", 0))
