@@ -451,13 +451,39 @@ def alias_table(footer: DataFrame, change_log: DataFrame, records: DataFrame, ap
     return [Alias(p, min(group[p], key=older), seen[p]["types"], values[p], cast(group[p]), usual(group[p])) for p in sorted(seen)]
 
 
-def _first_of(record: str, leaves: list[str]) -> str:
-    """SQL for the first non-null of the spellings in a record whose fields are read as texts."""
-    gets = []
-    for leaf in leaves:
-        head, _, rest = leaf.partition(".")
-        gets.append(f"get_json_object({record}.`{head}`, '$.{rest}')" if rest else f"{record}.`{head}`")
-    return f"coalesce({', '.join(gets)})" if gets else "CAST(NULL AS STRING)"
+class _Reading:
+    """How the fields of a record are read as texts: as a struct of the names wanted, or, where names differ only in case, as a map of all."""
+
+    def __init__(self, fields: Sequence[Field], always: Sequence[str] = ()):
+        self.fields = list(fields)
+        self.heads = sorted({*always, *(x.partition(".")[0] for f in fields for x in f.spellings)})
+        self.as_map = len({h.lower() for h in self.heads}) < len(self.heads)
+
+    def schema(self) -> str:
+        return "map<string,string>" if self.as_map else "struct<" + ",".join(f"{_quoted(h)}:string" for h in self.heads) + ">"
+
+    def _get(self, record: str, head: str) -> str:
+        return f"{record}[{_literal(head)}]" if self.as_map else f"{record}.{_quoted(head)}"
+
+    def reads(self, record: str) -> str:
+        """The SQL that reads each field under ``t_`` and its place, after what comes before it in a struct: the first spelling that isn't NULL."""
+        out = ""
+        for i, f in enumerate(self.fields):
+            gets = []
+            for spelling in f.spellings:
+                head, _, rest = spelling.partition(".")
+                got = self._get(record, head)
+                gets.append(f"get_json_object({got}, {_literal('$' + ''.join(f"['{x}']" for x in rest.split('.')))})" if rest else got)
+            out += f", coalesce({', '.join(gets)}) AS t_{i}"
+        return out
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _literal(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def _level(path: str) -> str | None:
@@ -613,16 +639,6 @@ def spellings(diffs: DataFrame, revisions: DataFrame) -> DataFrame:
     return diffs.sparkSession.createDataFrame(rows, "path string, canonical string, types string, cast string, n_values bigint, is_linked boolean")
 
 
-def _heads(fields: list[Field], always: Sequence[str] = ()) -> list[str]:
-    """The fields to read: first names of all spellings."""
-    return sorted({*always, *(x.partition(".")[0] for f in fields for x in f.spellings)})
-
-
-def _reads(record: str, fields: list[Field]) -> str:
-    """The SQL that reads each field of a record under ``t_`` and its place, after what comes before it in a struct."""
-    return "".join(f", {_first_of(record, list(f.spellings))} AS t_{i}" for i, f in enumerate(fields))
-
-
 def _consistent(diffs: DataFrame, revisions: DataFrame, schema: str, rows: str, fields: list[Field]) -> DataFrame:
     parts = [flatten.parsed(df, text, keys, schema).selectExpr(*keys, f"inline({rows})") for df, text, keys in _sources(diffs, revisions)]
     texts = parts[0].unionByName(parts[1])
@@ -634,25 +650,25 @@ def _consistent(diffs: DataFrame, revisions: DataFrame, schema: str, rows: str,
 def consistent_entries(diffs: DataFrame, revisions: DataFrame) -> DataFrame:
     """All entries of all files, with every field but their positions and ops, of which they have the numbers."""
     fields = _fields_of(_catalogue(diffs, revisions), ENTRY)
-    schema = "array<struct<" + "".join(f"`{f}`:string," for f in _heads(fields)) + "positions:array<string>,ops:array<string>>>"
-    numbers = "coalesce(size(e.x.positions), 0) AS n_positions, coalesce(size(e.x.ops), 0) AS n_ops"
-    rows = f"transform({flatten._list('entries')}, e -> struct(e.i AS entry_no, {numbers}{_reads('e.x', fields)}))"
-    return _consistent(diffs, revisions, schema, rows, fields)
+    read = _Reading(fields, ["positions", "ops"])
+    lists = lambda n: f"coalesce(json_array_length({read._get('e.x', n)}), 0) AS n_{n}"
+    rows = f"transform({flatten._list('entries')}, e -> struct(e.i AS entry_no, {lists('positions')}, {lists('ops')}{read.reads('e.x')}))"
+    return _consistent(diffs, revisions, f"array<{read.schema()}>", rows, fields)
 
 
 def consistent_chunks(diffs: DataFrame, revisions: DataFrame) -> DataFrame:
     """All chunks of all files under the oldest names, cast to one type each, with every field that any file has."""
     fields = _fields_of(_catalogue(diffs, revisions), CHUNK)
-    schema = flatten.commit_schema(_heads(fields, ["id"]))
-    reads = _reads("c.x", fields)
-    side = lambda name: f"transform({flatten._list(f'm.value.{name}')}, c -> struct(e.i AS entry_no, o.i AS op_no, m.key AS aggregation, '{name}' AS action, c.i AS chunk_no{reads}))"
+    read = _Reading(fields, ["id"])
+    side = lambda name: f"transform({flatten._list(f'm.value.{name}')}, c -> struct(e.i AS entry_no, o.i AS op_no, m.key AS aggregation, '{name}' AS action, c.i AS chunk_no{read.reads('c.x')}))"
     rows = f"flatten(transform({flatten._list('entries')}, e -> flatten(transform({flatten._list('e.x.ops')}, o -> flatten(transform(map_entries(o.x), m -> concat({side('added')}, {side('removed')})))))))"
+    schema = f"array<struct<ops:array<map<string,struct<added:array<{read.schema()}>,removed:array<{read.schema()}>>>>>>"
     return _consistent(diffs, revisions, schema, rows, fields)
 
 
 def consistent_positions(diffs: DataFrame, revisions: DataFrame) -> DataFrame:
     """All log positions of all files under the oldest names, places in the log as (file, rem, pos), with every field that any file has."""
     fields = _fields_of(_catalogue(diffs, revisions), POSITION)
-    schema = flatten.commit_schema(["id"], _heads(fields, ["log"]))
-    rows = f"flatten(transform({flatten._list('entries')}, e -> transform({flatten._list('e.x.positions')}, p -> struct(e.i AS entry_no, p.i AS position_no{_reads('p.x', fields)}))))"
-    return _consistent(diffs, revisions, schema, rows, fields)
+    read = _Reading(fields, ["log"])
+    rows = f"flatten(transform({flatten._list('entries')}, e -> transform({flatten._list('e.x.positions')}, p -> struct(e.i AS entry_no, p.i AS position_no{read.reads('p.x')}))))"
+    return _consistent(diffs, revisions, f"array<struct<positions:array<{read.schema()}>>>", rows, fields)

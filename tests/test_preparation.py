@@ -112,6 +112,18 @@ def test_p1_casts_come_from_the_alias_table(spark):
     assert {x.path: x.cast for x in drift.spellings(d, r).collect()}["ops.*.chunk.key"] == "array<bigint>"
 
 
+def test_p1_names_that_clash_or_are_odd(spark):
+    chunk = {"id": 1, "n": 5, "N": "x", "it's": 2, "a`b": 3, "meta": {"k": 1, "K": 2}}
+    e = with_chunks(chunk, note="a", Note=2, **{"we'd": True})
+    for x in e:
+        x["positions"] = [{"log": "l", "Log": 7}]
+    d, r = drifting(spark, [e])
+    got = drift.consistent_chunks(d, r)
+    assert got.columns[-7:] == ["N", "a`b", "id", "it's", "meta_K", "meta_k_", "n_"] and tuple(got.first())[-7:] == ("x", 3, 1, 2, 2, 1, 5)
+    assert tuple(drift.consistent_positions(d, r).first())[-2:] == (7, "l") and tuple(drift.consistent_entries(d, r).first())[-5:] == (1, 1, 2, "a", True)
+    assert {tuple(x)[:2] for x in drift.found_changes(d, r).collect()} == set()
+
+
 def test_p1_casts(spark):
     texts = [('["f",1,2]',), ('{"file":"f","rem":1,"pos":2}',), ("f-1@2",), (None,)]
     got = spark.createDataFrame(texts, "x string").select(drift.log_place("x").alias("p")).collect()
