@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import time
 import uuid
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import asdict, dataclass, replace
@@ -188,15 +189,19 @@ class IncrementalRunner:
     reads its own files and a few tables, of which only the ids that its files touch go on.
     """
 
-    def __init__(self, spark: SparkSession, path: str, key: str = "id", lease_seconds: float = 3600.0, max_layers: int = 8):
-        self.spark, self.path, self.key, self.lease_seconds, self.max_layers = spark, path.rstrip("/"), key, lease_seconds, max_layers
+    def __init__(self, spark: SparkSession, path: str, key: str = "id", lease_seconds: float = 3600.0, max_layers: int = 8, clock: Callable[[], float] = time.time):
+        """``clock`` is asked where no time is given: then a lease that ran out during the work is noticed, too."""
+        self.spark, self.path, self.key, self.lease_seconds, self.max_layers, self.clock = spark, path.rstrip("/"), key, lease_seconds, max_layers, clock
         self.ledger = WorkLedger(spark, f"{self.path}/ledger")
 
-    def begin(self, owner: str, files: Iterable[int], now: float) -> tuple[int, list[str]]:
+    def _at(self, now: float | None) -> float:
+        return self.clock() if now is None else now
+
+    def begin(self, owner: str, files: Iterable[int], now: float | None = None) -> tuple[int, list[str]]:
         """Leases the delivered files that no run has completed."""
         files = [str(f) for f in files]
         self.ledger.add(files)
-        return self.ledger.lease(owner, now, self.lease_seconds, files)
+        return self.ledger.lease(owner, self._at(now), self.lease_seconds, files)
 
     def _publish(self, df: DataFrame, target: str, allowed: Callable[[], None]) -> None:
         """``df`` under the name ``target``, unless an earlier attempt left it there."""
@@ -211,11 +216,11 @@ class IncrementalRunner:
         finally:
             delete(self.spark, staging)
 
-    def work(self, run_id: int, rows: DataFrame, token: int, taken: Sequence[str], now: float) -> dict:
+    def work(self, run_id: int, rows: DataFrame, token: int, taken: Sequence[str], now: float | None = None) -> dict:
         """Publishes what the run's files hold; what ``finish`` has to record."""
         before = self.ledger.results()
         layers = before[-1]["layers"] if before else []
-        allowed = lambda: self.ledger.check(token, taken, now)
+        allowed = lambda: self.ledger.check(token, taken, self._at(now))
         target = work_path(f"{self.path}/moved", taken, len(before))
         done = self.spark.createDataFrame([(int(f), run_id) for f in taken], "file_no int, run_id int")
         fresh = rows.where(F.col("file_no").isin([int(f) for f in taken]))
@@ -233,19 +238,19 @@ class IncrementalRunner:
         parts = self.spark.read.parquet(*layers).select(self.key, "version")
         return parts.groupBy(self.key).agg(F.max("version").alias("version")) if len(layers) > 1 else parts
 
-    def finish(self, token: int, taken: Sequence[str], result: dict, now: float) -> None:
-        self.ledger.complete(token, taken, now, result, result["after"])
+    def finish(self, token: int, taken: Sequence[str], result: dict, now: float | None = None) -> None:
+        self.ledger.complete(token, taken, self._at(now), result, result["after"])
 
-    def run(self, owner: str, run_id: int, rows: DataFrame, files: Iterable[int], now: float, done_at: float | None = None) -> int:
+    def run(self, owner: str, run_id: int, rows: DataFrame, files: Iterable[int], now: float | None = None) -> int:
         """A whole run; the number of files it processed."""
         token, taken = self.begin(owner, files, now)
         while taken:
             result = self.work(run_id, rows, token, taken, now)
             try:
-                self.finish(token, taken, result, now if done_at is None else done_at)
+                self.finish(token, taken, result, now)
                 break
             except StaleWriter:
-                self.ledger.check(token, taken, now if done_at is None else done_at)  # the lease is lost, or else another run came between
+                self.ledger.check(token, taken, self._at(now))  # the lease is lost, or else another run came between
         return len(taken)
 
     def changed(self) -> DataFrame:

@@ -252,6 +252,16 @@ def test_p4_runs_that_die_and_writers_that_come_late(data, spark, tmp_path, laye
     assert rows(runner.changed()) == cs.p4(revisions, log)
 
 
+def test_p4_a_lease_that_runs_out_during_the_work(data, spark, tmp_path):
+    _, _, _, r = data
+    times = iter([0.0, 1.0, 50.0])
+    runner = ledger.IncrementalRunner(spark, f"file://{tmp_path}/inc", lease_seconds=10, clock=lambda: next(times))
+    with pytest.raises(ledger.StaleWriter):
+        runner.run("slow", 1, r, [1])
+    assert not (tmp_path / "inc" / "moved").exists() and runner.ledger.results() == []
+    assert ledger.IncrementalRunner(spark, runner.path).run("next", 2, r, [1]) == 1
+
+
 def test_p4_two_live_runs_on_different_files(data, spark, tmp_path):
     _, revisions, _, r = data
     runner = ledger.IncrementalRunner(spark, f"file://{tmp_path}/inc")
