@@ -12,8 +12,8 @@ The weights are realised as budgeted block permutations: whole passes over a sou
 the budget holds one, and of the last pass the front of a permutation. The permutation orders
 blocks of documents, then documents in a block, by hash. Blocks that fit wholly are taken by a
 running total over one row per block; only in the block in which the budget ends are documents
-taken one by one, each if it still fits, so a source with a third of all documents isn't
-gathered in one task and a share is off by less than the smallest document left.
+taken one by one, each if it still fits, and a few exchanged if only larger ones are left, so a source with a third of all
+documents isn't gathered in one task and a share is off by a few tokens, where its documents allow that.
 
 Defined results: a NULL source is a source that no target names and gets nothing; targets of
 sources without tokens are reported as 0; targets are taken relative to their sum over sources
@@ -121,13 +121,39 @@ def document_sizes(documents: DataFrame, vocabulary: str = VOCABULARY, folder: s
 
 
 def _fill_room(docs: pd.DataFrame) -> pd.DataFrame:
-    """The block in which the budget ends: documents in the order of the permutation, each taken if it still fits."""
-    docs = docs.sort_values(["rank", "doc_id", "n_tokens"])
-    room, extra = float(docs["room"].iloc[0]), []
-    for n in docs["n_tokens"]:
-        extra.append(int(n <= room))
-        room -= n * extra[-1]
-    return docs.assign(extra=extra)[["doc_id", "source", "n_tokens", "passes", "extra"]]
+    """The block in which the budget ends: documents in the order of the permutation, each taken if it still fits.
+
+    What stays free because all documents left are larger is then made smaller: the smallest of them
+    comes in for taken ones that are together just large enough, as long as that leaves less room.
+    """
+    docs = docs.sort_values(["rank", "doc_id", "n_tokens"], ignore_index=True)
+    sizes, room = docs["n_tokens"].tolist(), float(docs["room"].iloc[0])
+    taken = [False] * len(sizes)
+    for i, n in enumerate(sizes):
+        if n <= room:
+            taken[i], room = True, room - n
+    by_size = sorted(range(len(sizes)), key=lambda i: (sizes[i], i))
+    while room >= 1:
+        new = next((i for i in by_size if not taken[i]), None)
+        if new is None:
+            break
+        need, out = sizes[new] - room, []
+        for i in reversed(by_size):
+            if taken[i] and sizes[i] <= need:
+                out.append(i)
+                need -= sizes[i]
+        if need > 0:  # what is missing: the smallest taken one that is large enough
+            last = next((i for i in by_size if taken[i] and i not in out and sizes[i] >= need), None)
+            if last is None:
+                break
+            out.append(last)
+            need -= sizes[last]
+        if -need >= room:
+            break
+        taken[new], room = True, -need
+        for i in out:
+            taken[i] = False
+    return docs.assign(extra=[int(t) for t in taken])[["doc_id", "source", "n_tokens", "passes", "extra"]]
 
 
 def _held(sizes: DataFrame, targets: DataFrame) -> tuple[dict, dict]:

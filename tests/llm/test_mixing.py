@@ -49,6 +49,24 @@ def test_the_mix_is_the_same_each_time_and_moves_with_the_seed(spark, docs):
     assert run(sizes, 1) == run(sizes.repartition(7), 1) != run(sizes, 2)
 
 
+def test_room_that_only_larger_documents_leave_is_filled_by_exchange():
+    import pandas as pd
+
+    r = random.Random(8)
+    for _ in range(200):
+        sizes = [r.choice([r.randrange(1, 30), r.randrange(20, 60), r.randrange(200, 900)]) for _ in range(r.randrange(1, 40))]
+        room = r.randrange(1, sum(sizes) + 50)
+        docs = pd.DataFrame({"doc_id": range(len(sizes)), "source": "s", "n_tokens": sizes, "passes": 2, "rank": [r.random() for _ in sizes], "room": float(room)})
+        got = mixing._fill_room(docs)
+        used = int((got["n_tokens"] * got["extra"]).sum())
+        greedy = 0
+        for n in docs.sort_values("rank")["n_tokens"]:
+            greedy += n if greedy + n <= room else 0
+        assert greedy <= used <= min(room, sum(sizes)) and set(got["extra"]) <= {0, 1} and sorted(got["doc_id"]) == list(range(len(sizes)))
+    long = pd.DataFrame({"doc_id": range(101), "source": "s", "n_tokens": [7] * 100 + [1000], "passes": 0, "rank": [*range(100), 200], "room": 1200.0})
+    assert (lambda g: int((g["n_tokens"] * g["extra"]).sum()))(mixing._fill_room(long)) == 1196
+
+
 def test_a_budget_beyond_the_limits_bends_the_weights(spark, docs):
     held = {"big": 90_000, "small": 3000, "mid": 12_000}
     goal = {"big": (0.5, 1), "small": (0.3, 2), "mid": (0.2, 1)}
