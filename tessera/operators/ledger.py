@@ -157,8 +157,8 @@ def progress(rows: DataFrame, done: DataFrame, key: str = "id", state: DataFrame
     """(run_id, key, version, changed) of each key that a run's files hold: its current version and whether it must be processed.
 
     ``done`` (file_no, run_id) says which run completed a file; rows of other files are not
-    seen. ``state`` (key, version) is what the run before the first one here ended with; it
-    lets a single run read only its own files.
+    seen. ``state`` (key, version) is what the runs before the first one here left, of which the greatest version of a
+    key counts; it lets a single run read only its own files, and only the keys in them go on from it.
     """
     best = versions(rows, key).join(done, "file_no").groupBy(key, "run_id").agg(F.max("version").alias("best"))
     if state is not None:
@@ -224,20 +224,16 @@ class IncrementalRunner:
         target = work_path(f"{self.path}/moved", taken, len(before))
         done = self.spark.createDataFrame([(int(f), run_id) for f in taken], "file_no int, run_id int")
         fresh = rows.where(F.col("file_no").isin([int(f) for f in taken]))
-        state = self._state(layers) if layers else None
+        state = self.spark.read.parquet(*layers).select(self.key, "version") if layers else None
         self._publish(progress(fresh, done, self.key, state).drop("run_id"), target, allowed)
         layers = [*layers, target]
         if len(layers) > self.max_layers:
             merged = work_path(f"{self.path}/merged", taken, len(before))
-            self._publish(self._state(layers), merged, allowed)
+            every = self.spark.read.parquet(*layers)
+            self._publish(every.groupBy(self.key).agg(F.max("version").alias("version")), merged, allowed)
             layers = [merged]
         return {"run_id": run_id, "moved": target, "layers": layers, "after": len(before)}
 
-    def _state(self, layers: Sequence[str]) -> DataFrame:
-        """(key, version) of all layers; a key may have several rows, of which the greatest version counts."""
-        parts = self.spark.read.parquet(*layers).select(self.key, "version")
-        return parts.groupBy(self.key).agg(F.max("version").alias("version")) if len(layers) > 1 else parts
-
     def finish(self, token: int, taken: Sequence[str], result: dict, now: float | None = None) -> None:
         self.ledger.complete(token, taken, self._at(now), result, result["after"])
 
@@ -339,3 +335,27 @@ def changed_ids(revisions: DataFrame, runs: DataFrame, path: str | None = None)
     if not paths:
         return spark.createDataFrame([], "run_id int, id long")
     return spark.read.option("basePath", f"{root}/changed").schema("id long, run_id int, after string").parquet(*paths).select("run_id", "id")
+
+
+def live_ids(revisions: DataFrame, runs: DataFrame, path: str | None = None, lease_seconds: float = 3600.0) -> DataFrame:
+    """(run_id, id), as ``changed_ids``, by live runs one after the other, each reading only its own files and what the runs before left.
+
+    A failed run leases its files and gives them back, a killed one leaves its lease to expire.
+    """
+    spark = revisions.sparkSession
+    files = [r[0] for r in revisions.where("file_no IS NOT NULL").select("file_no").distinct().collect()]
+    runner = IncrementalRunner(spark, path or new_path(spark, "live-runs"), lease_seconds=lease_seconds)
+    clock = 0.0
+    for run_id, start, last_file, status in schedule(runs):
+        clock = max(clock, start)
+        seen = [f for f in files if f <= last_file]
+        if status == "ok":  # as in ``replay``: no living run is beside it
+            clock = max([clock, *(i.expires for i in runner.ledger.items() if i.state == LEASED)])
+            runner.run(f"run-{run_id}", run_id, revisions, seen, clock)
+        else:
+            token, taken = runner.begin(f"run-{run_id}", seen, clock)
+            if status == "failed":
+                runner.ledger.release(token, taken, clock)
+    if not runner.ledger.results():
+        return spark.createDataFrame([], "run_id int, id long")
+    return runner.changed()

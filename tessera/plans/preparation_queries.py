@@ -70,6 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p3_found": _orphans(orphans.orphan_references),
         "p3_counts": _orphans(orphans.orphan_counts),
         "p4_found": lambda spark, d: ledger.changed_ids(table(spark, d, "ot_revisions"), table(spark, d, "ingest_runs")),
+        "p4_live": lambda spark, d: ledger.live_ids(table(spark, d, "ot_revisions"), table(spark, d, "ingest_runs")),
         "p5_found": _both(hierarchy.contradictions),
         "p5_hierarchy": lambda spark, d: hierarchy.hierarchy(hierarchy.parent_links(table(spark, d, "ot_diffs")), with_path=True).withColumnRenamed("id", "revision_id").withColumnRenamed("root", "root_id"),
         "p5_descendants": _descendants,
@@ -166,6 +167,12 @@ judged AS (
 
 
 def oracle_sql() -> dict[str, str]:
+    changed = """WITH ok AS (SELECT run_id, last_file, lag(run_id) OVER (ORDER BY run_id) AS before FROM ingest_runs WHERE status = 'ok'),
+            cur AS (SELECT o.run_id, o.before, r.* FROM ok AS o JOIN ot_revisions AS r ON r.file_no <= o.last_file
+                QUALIFY row_number() OVER (PARTITION BY o.run_id, r.id ORDER BY r.timestamp DESC NULLS LAST, r.feed_seq DESC) = 1)
+            SELECT c.run_id, c.id FROM cur AS c LEFT JOIN cur AS p ON p.run_id = c.before AND p.id = c.id
+            WHERE p.id IS NULL OR c.epoch IS DISTINCT FROM p.epoch OR c.level IS DISTINCT FROM p.level OR c.type IS DISTINCT FROM p.type
+                OR c.created_by IS DISTINCT FROM p.created_by OR (c.snapshot IS NULL) <> (p.snapshot IS NULL)"""
     return {
         "p1_found": rf"""WITH {_FOOTERS},
             steps AS (SELECT f.tab, f.shard, f.file_no, f.no, f.no - 1 AS before FROM files AS f WHERE f.no > 1),
@@ -192,12 +199,8 @@ def oracle_sql() -> dict[str, str]:
         "p3_found": f"WITH {_REFERENCES} SELECT ref_field, revision_id, ref_id, kind, period FROM judged WHERE kind IS NOT NULL",
         "p3_counts": f"""WITH {_REFERENCES} SELECT ref_field, period, count(*) AS n_refs, count(*) FILTER (kind = 'missing') AS n_missing,
             count(*) FILTER (kind = 'deleted') AS n_deleted, count(*) FILTER (kind = 'late') AS n_late FROM judged GROUP BY ref_field, period""",
-        "p4_found": """WITH ok AS (SELECT run_id, last_file, lag(run_id) OVER (ORDER BY run_id) AS before FROM ingest_runs WHERE status = 'ok'),
-            cur AS (SELECT o.run_id, o.before, r.* FROM ok AS o JOIN ot_revisions AS r ON r.file_no <= o.last_file
-                QUALIFY row_number() OVER (PARTITION BY o.run_id, r.id ORDER BY r.timestamp DESC NULLS LAST, r.feed_seq DESC) = 1)
-            SELECT c.run_id, c.id FROM cur AS c LEFT JOIN cur AS p ON p.run_id = c.before AND p.id = c.id
-            WHERE p.id IS NULL OR c.epoch IS DISTINCT FROM p.epoch OR c.level IS DISTINCT FROM p.level OR c.type IS DISTINCT FROM p.type
-                OR c.created_by IS DISTINCT FROM p.created_by OR (c.snapshot IS NULL) <> (p.snapshot IS NULL)""",
+        "p4_found": changed,
+        "p4_live": changed,
         "p5_found": f"""WITH RECURSIVE {_LINKS}, levels AS (SELECT id, max(level) AS level FROM ot_revisions GROUP BY id)
             SELECT id AS revision_id, root AS root_id, depth, kind FROM tree WHERE kind <> 'tree'
             UNION ALL SELECT t.id, t.root, t.depth, 'level' FROM tree AS t JOIN levels AS a ON a.id = t.id JOIN levels AS b ON b.id = t.root

@@ -208,7 +208,8 @@ def runs_table(spark):
 def test_p4_changed_ids(data, spark):
     _, revisions, _, r = data
     log, runs = runs_table(spark)
-    assert rows(ledger.changed_ids(r, runs)) == cs.p4(revisions, log)
+    assert rows(ledger.changed_ids(r, runs)) == cs.p4(revisions, log) == rows(ledger.live_ids(r, runs))
+    assert ledger.live_ids(r, runs.where("status <> 'ok'")).count() == 0
 
 
 def test_p4_one_run_at_a_time_equals_the_replay(data, spark):
