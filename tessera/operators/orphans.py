@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.session import cut
+
 
 def references(diffs: DataFrame) -> DataFrame:
     """Distinct references (ref_field, revision_id, ref_id) with first file and first arrival."""
@@ -36,7 +38,10 @@ def references(diffs: DataFrame) -> DataFrame:
 
 def orphan_references(diffs: DataFrame, revisions: DataFrame, backup: DataFrame) -> DataFrame:
     """Each reference to a revision that is 'missing', 'deleted' (only in the backup) or 'late', with its month."""
-    refs = references(diffs)
+    return _orphans(references(diffs), revisions, backup)
+
+
+def _orphans(refs: DataFrame, revisions: DataFrame, backup: DataFrame) -> DataFrame:
     keys = refs.groupBy("ref_id").agg(F.min("first_file").alias("earliest"))
     parents = revisions.where("id IS NOT NULL").groupBy(F.col("id").alias("ref_id")).agg(F.min("file_no").alias("parent_file"))
     saved = backup.where("id IS NOT NULL").select(F.col("id").alias("ref_id")).distinct()
@@ -57,10 +62,11 @@ def orphan_references(diffs: DataFrame, revisions: DataFrame, backup: DataFrame)
 
 def orphan_counts(diffs: DataFrame, revisions: DataFrame, backup: DataFrame) -> DataFrame:
     """Per field and month: references, and how many of them are missing, deleted and late."""
-    found = orphan_references(diffs, revisions, backup)
+    refs = cut(references(diffs), "references")
+    found = _orphans(refs, revisions, backup)
     n = lambda kind: F.count(F.when(F.col("kind") == kind, 1)).alias(f"n_{kind}")
     bad = found.groupBy("ref_field", "period").agg(n("missing"), n("deleted"), n("late"))
-    total = references(diffs).groupBy("ref_field", F.date_format("first_at", "yyyy-MM").alias("period")).agg(F.count("*").alias("n_refs"))
+    total = refs.groupBy("ref_field", F.date_format("first_at", "yyyy-MM").alias("period")).agg(F.count("*").alias("n_refs"))
     same = total["ref_field"].eqNullSafe(bad["ref_field"]) & total["period"].eqNullSafe(bad["period"])
     zero = lambda c: F.coalesce(bad[c], F.lit(0)).cast("long").alias(c)
     return total.join(bad, same, "left").select(total["ref_field"], total["period"], "n_refs", zero("n_missing"), zero("n_deleted"), zero("n_late"))
